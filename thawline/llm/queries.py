@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thawline.llm import langid, secrets, tokenfiles
+from thawline.llm import jaccard, langid, secrets, suffixes, tokenfiles
 from thawline.llm.common import bucket_of, shared_dir, table
 
 
@@ -19,6 +19,14 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(rows, profiles).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random")
@@ -32,7 +40,40 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_language_id": op2_language_id,
+    "op3_suffix_dedup": op3_suffix_dedup,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_secret_scan": op7_secret_scan,
     "op9_token_files": op9_token_files,
 }
-ORACLES: dict[str, str] = {}
+LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES: dict[str, str] = {
+    "op3_suffix_dedup": rf"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all({LOWER.format("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+), s AS (
+  SELECT doc_id, unnest([{{'x': md5(array_to_string(words[i:i + 49], ' ')), 'start': i - 1}} FOR i IN range(1, len(words) - 48)], recursive := true)
+  FROM w WHERE len(words) >= 50
+), g AS (SELECT x, min(doc_id) AS first_doc_id FROM s GROUP BY x HAVING min(doc_id) < max(doc_id)),
+k AS (SELECT doc_id, start, first_doc_id, CASE WHEN start <= lag(start) OVER (PARTITION BY doc_id ORDER BY start) + 50 THEN 0 ELSE 1 END AS new FROM s JOIN g USING (x)),
+i AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY start) AS span FROM k)
+SELECT doc_id, CAST(min(start) AS INT) AS start_word, CAST(max(start) + 50 AS INT) AS end_word, CAST(max(start) + 50 - min(start) AS INT) AS n_words, min(first_doc_id) AS first_doc_id
+FROM i GROUP BY doc_id, span
+""",
+    "op6_jaccard_join": rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct([array_to_string(words[i:i + 4], ' ') FOR i IN range(1, len(words) - 3)]) END AS shingles FROM w
+), e AS (SELECT doc_id, unnest(shingles) AS x FROM s),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (
+  SELECT a, b FROM c JOIN s p ON p.doc_id = a JOIN s q ON q.doc_id = b
+  WHERE 100 * n >= 75 * (len(p.shingles) + len(q.shingles) - n)
+), both_ways AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, t.b FROM r JOIN both_ways t ON r.b = t.a)
+SELECT s.doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, min(r.b) AS component_id
+FROM s JOIN r ON r.a = s.doc_id GROUP BY ALL
+""",
+}
