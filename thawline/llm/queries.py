@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thawline.llm import jaccard, langid, secrets, suffixes, tokenfiles
+from thawline.llm import jaccard, knn, langid, secrets, suffixes, tokenfiles
 from thawline.llm.common import bucket_of, shared_dir, table
 
 
@@ -38,12 +38,17 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.token_index(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_secret_scan": op7_secret_scan,
     "op9_token_files": op9_token_files,
+    "op10_top_k": op10_top_k,
 }
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -75,5 +80,16 @@ l AS (
 r AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, t.b FROM r JOIN both_ways t ON r.b = t.a)
 SELECT s.doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, min(r.b) AS component_id
 FROM s JOIN r ON r.a = s.doc_id GROUP BY ALL
+""",
+    "op10_top_k": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+), s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.q::DOUBLE[], b.q::DOUBLE[]) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score
+FROM s QUALIFY rank <= 20
 """,
 }
