@@ -7,10 +7,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thawline.llm import jaccard, knn, langid, secrets, suffixes, tokenfiles
+from thawline.llm import decontam, jaccard, knn, langid, secrets, suffixes, tokenfiles
 from thawline.llm.common import bucket_of, shared_dir, table
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(bucket_of("doc_id", 4) == 2, F.lit(False))
@@ -43,6 +48,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_language_id": op2_language_id,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op6_jaccard_join": op6_jaccard_join,
@@ -53,6 +59,25 @@ QUERIES = {
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES: dict[str, str] = {
+    "op1_decontaminate": rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark
+), bw AS (
+  SELECT DISTINCT item_id, unnest(CASE WHEN len(words) < 10 THEN [array_to_string(words, ' ')]
+    ELSE [array_to_string(words[i:i + 9], ' ') FOR i IN range(1, len(words) - 8)] END) AS x, least(len(words), 10) AS m FROM b WHERE len(words) > 0
+), ms AS (SELECT DISTINCT m FROM bw),
+dw AS (
+  SELECT doc_id, m, unnest([{{'x': array_to_string(words[i:i + m - 1], ' '), 'i': i}} FOR i IN range(1, len(words) - m + 2)], recursive := true)
+  FROM d, ms WHERE len(words) >= m
+), h AS (SELECT doc_id, i, dw.m, item_id FROM dw JOIN bw USING (x, m)),
+c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT DISTINCT doc_id, unnest(range(i, i + m)) AS p FROM h) GROUP BY doc_id),
+l AS (SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS items FROM h GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(c.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
+  sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, c.n IS NOT NULL AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN l USING (doc_id)
+""",
     "op3_suffix_dedup": rf"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all({LOWER.format("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
