@@ -88,10 +88,10 @@ def test_held_out_language_accuracy(spark):
 
 @pytest.mark.parametrize("cache", [1 << 20, 3])
 def test_token_files_round_trip(spark, tmp_path, monkeypatch, cache):
-    monkeypatch.setattr(tokenfiles, "CACHE_WORDS", cache)
+    monkeypatch.setattr(tokenfiles, "CACHE_PIECES", cache)
     rng = random.Random(3)
     letters = "aB é'9.\n \x1cΣßİ́"
-    texts = [None, "", "don't stop", "<|endoftext|> x", *("".join(rng.choice(letters) for _ in range(rng.randint(0, 80))) for _ in range(40)), "word " * 30_000]
+    texts = [None, "", "don't stop", "<|endoftext|> x", "a<|ENDoftext|>b don'tis x's", "word,word... 3rd", *("".join(rng.choice(letters) for _ in range(rng.randint(0, 80))) for _ in range(120)), "word " * 30_000]
     rows = [(None, "no id"), *((i * 3, t) for i, t in enumerate(texts)), (9, "twice"), (9, "twice")]
     frame = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, shard int")
     tokenfiles.write_tokens(frame, path := str(tmp_path / "ids.orc"), shards=3)

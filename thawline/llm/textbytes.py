@@ -76,8 +76,8 @@ class Words(NamedTuple):
     hash: np.ndarray
 
 
-def scan(data: np.ndarray, offsets: np.ndarray, word: np.ndarray, hashed: bool = True) -> Words:
-    """All words of a batch in order."""
+def scan(data: np.ndarray, offsets: np.ndarray, word: np.ndarray, hashed: bool = True, split=None) -> Words:
+    """All words of a batch in order. split: gives for bytes where else, within words, a new one starts."""
     total, a, out = len(data), 0, []
     breaks = offsets[1:-1]
     while a < total:
@@ -90,6 +90,10 @@ def scan(data: np.ndarray, offsets: np.ndarray, word: np.ndarray, hashed: bool =
         first, last = m.copy(), m.copy()
         first[1:] &= ~m[:-1]
         last[:-1] &= ~m[1:]
+        if split is not None and len(seg) > 1:
+            more = split(seg)
+            first |= more
+            last[:-1] |= more[1:]
         cut = breaks[np.searchsorted(breaks, a, "right") : np.searchsorted(breaks, b, "left")] - a
         first[cut] = m[cut]
         last[cut - 1] = m[cut - 1]

@@ -22,71 +22,115 @@ from pyspark.sql import functions as F
 from thawline.llm import textbytes as tb
 from thawline.llm.common import shuffle_parts
 
-#: Words a Python worker remembers with their ids; others are encoded again.
-CACHE_WORDS = 1 << 20
-#: Not white space for the tokenizer, though for str.split().
-_ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
+#: Pieces a Python worker remembers with their ids; others are encoded again.
+CACHE_PIECES = 1 << 20
 _workers: dict[str, "_Encoder"] = {}
 SCHEMA = "shard int, doc_id long, first long, n_tokens int, ids array<int>"
 
+_LETTER = tb.byte_set((0x41, 0x5A), (0x61, 0x7A))
+_OTHER = tb.byte_set((0x00, 0x7F)) & ~_LETTER & tb.NOT_SPACE & (np.arange(256) != ord("'"))
+
+
+def _splits(seg: np.ndarray) -> np.ndarray:
+    """Between an ASCII letter and another ASCII character, but an apostrophe, the tokenizer always splits."""
+    letter, other, out = _LETTER[seg], _OTHER[seg], np.zeros(len(seg), bool)
+    out[1:] = (letter[:-1] & other[1:]) | (other[:-1] & letter[1:])
+    return out
+
 
 class _Encoder:
-    """Encodes texts word by word. The tokenizer never joins over white space, so words can be encoded once each."""
+    """Encodes texts piece by piece. The tokenizer never joins over white space, nor where ``_splits`` does, and
+    lower-cases, so that equal pieces have equal ids and are encoded once. Pieces are known by their 64-bit hash.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, int] = {}
+        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
         self.forget()
 
     def forget(self) -> None:
-        self.words.clear()
-        self.ids, self.first, self.size = np.zeros(1 << 20, np.int32), np.zeros(1 << 20, np.int64), np.zeros(1 << 20, np.int32)
+        self.known: dict[int, int] = {}
+        self.ids, self.first, self.size = np.zeros(1 << 20, np.int32), np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int32)
         self.used = 0
 
-    def add(self, words: list[str]) -> None:
-        """New words, in batches of known size."""
-        for a in range(0, len(words), 20_000):
-            part = words[a : a + 20_000]
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            n = len(self.words)
-            sizes = np.fromiter(map(len, got), np.int32, len(got))
-            total = int(sizes.sum())
-            while n + len(part) > len(self.first):
-                self.first, self.size = np.concatenate((self.first, np.zeros_like(self.first))), np.concatenate((self.size, np.zeros_like(self.size)))
-            while self.used + total > len(self.ids):
-                self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-            self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(got), np.int32, total)
-            self.first[n : n + len(part)] = self.used + np.cumsum(sizes) - sizes
-            self.size[n : n + len(part)] = sizes
-            self.words.update(zip(part, range(n, n + len(part)), strict=True))
-            self.used += total
-
-    def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces one after the other, and their numbers."""
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter(chain.from_iterable(got), np.int32, int(sizes.sum())), sizes
+
+    def _encode_letters(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for pieces of letters alone: many in a text, told apart by the ids that end a word."""
+        ids, _ = self._encode([" ".join(pieces[a : a + 100]) for a in range(0, len(pieces), 100)])
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(pieces):
+            return self._encode(pieces)
+        return ids, np.diff(np.concatenate(([0], ends)))
+
+    def add(self, hashes: list[int], pieces: list[str]) -> None:
+        for letters, encode in ((True, self._encode_letters), (False, self._encode)):
+            own = [i for i, p in enumerate(pieces) if p.isalpha() == letters]
+            for a in range(0, len(own), 20_000):
+                part = own[a : a + 20_000]
+                ids, sizes = encode([pieces[i] for i in part])
+                n = len(self.known)
+                while n + len(part) > len(self.first):
+                    self.first, self.size = np.concatenate((self.first, np.zeros_like(self.first))), np.concatenate((self.size, np.zeros_like(self.size)))
+                while self.used + len(ids) > len(self.ids):
+                    self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+                self.ids[self.used : self.used + len(ids)] = ids
+                self.first[n : n + len(part)] = self.used + np.cumsum(sizes) - sizes
+                self.size[n : n + len(part)] = sizes
+                self.known.update(zip([hashes[i] for i in part], range(n, n + len(part)), strict=True))
+                self.used += len(ids)
+
+    def encode(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of each text's with its end id."""
-        if len(self.words) > CACHE_WORDS:
+        if len(self.known) > CACHE_PIECES:
             self.forget()
-        odd = {i: t for i, t in enumerate(texts) if any(c in t for c in _ODD)}
-        split = [[] if i in odd else (t.lower() if t.isascii() else t).split() for i, t in enumerate(texts)]
-        known = self.words
-        for part in split:
-            if fresh := [w for w in dict.fromkeys(part) if w not in known]:
-                self.add(fresh)
-        at = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
+        data, offsets = tb.buffers(column)
+        rows = len(offsets) - 1
+        words = tb.scan(data, offsets, tb.NOT_SPACE, split=_splits)
+        unique, sample, at = np.unique(words.hash, return_index=True, return_inverse=True)
+        hashes = unique.tolist()
+        if fresh := [i for i, h in enumerate(hashes) if h not in self.known]:
+            raw = data.tobytes()
+            start, end = words.start[sample].tolist(), words.end[sample].tolist()
+            self.add([hashes[i] for i in fresh], [raw[start[i] : end[i]].decode() for i in fresh])
+        at = np.fromiter(map(self.known.__getitem__, hashes), np.int64, len(hashes))[at]
         n = self.size[at].astype(np.int64)
-        before = np.cumsum(n) - n
-        ids = self.ids[np.repeat(self.first[at] - before, n) + np.arange(int(n.sum()))]
-        ends = np.concatenate(([0], np.cumsum(n)))[np.cumsum([len(x) for x in split])] if split else np.zeros(0, np.int64)
-        ids = np.insert(ids, ends, end_id)
+        done = np.concatenate(([0], np.cumsum(n)))
+        total = int(done[-1])
+        ends = done[np.cumsum(np.bincount(words.doc, minlength=rows))]
         sizes = np.diff(np.concatenate(([0], ends))) + 1
-        if odd:
-            parts = np.split(ids, np.cumsum(sizes)[:-1])
-            for i, t in odd.items():
-                parts[i] = np.array([*self.tokenizer.encode(t, add_special_tokens=False).ids, end_id], np.int32)
-            ids, sizes = np.concatenate(parts), np.array([len(p) for p in parts])
-        return ids.astype(np.int32), sizes
+        # each piece's ids move on by the end ids of the rows before it
+        out = np.full(total + rows, end_id, np.int32)
+        place = np.ones(total, np.int64)
+        if total:
+            some = np.flatnonzero(n)
+            place[done[some]] = self.first[at[some]] - np.concatenate(([0], (self.first[at[some]] + n[some] - 1)[:-1]))
+            to = np.ones(total + rows, bool)
+            to[np.cumsum(sizes) - 1] = False
+            out[to] = self.ids[np.cumsum(place)]
+        odd = np.unique(np.searchsorted(offsets, _find(data, b"<|"), "right") - 1)
+        if len(odd):  # may hold special tokens, which know no pieces
+            parts = np.split(out, np.cumsum(sizes)[:-1])
+            for i in odd:
+                parts[i] = np.array([*self.tokenizer.encode(column[int(i)].as_py(), add_special_tokens=False).ids, end_id], np.int32)
+            out, sizes = np.concatenate(parts), np.array([len(p) for p in parts])
+        return out, sizes
+
+
+def _find(data: np.ndarray, what: bytes) -> np.ndarray:
+    raw, at, out = data.tobytes(), -1, []
+    while (at := raw.find(what, at + 1)) >= 0:
+        out.append(at)
+    return np.array(out, np.int64)
 
 
 def write_tokens(
@@ -117,7 +161,7 @@ def write_tokens(
         before = 0
         for big in batches:
             for batch in tb.slices(big, "text"):
-                ids, n = encoder.encode(batch.column(2).to_pylist(), end_id)
+                ids, n = encoder.encode(batch.column(2), end_id)
                 offsets = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
                 first = before + offsets[:-1].astype(np.int64)
                 before += len(ids)
