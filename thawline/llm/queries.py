@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thawline.llm import decontam, jaccard, knn, langid, secrets, suffixes, tokenfiles
+from thawline.llm import decontam, htmltext, jaccard, knn, langid, secrets, suffixes, tokenfiles
 from thawline.llm.common import bucket_of, shared_dir, table
 
 
@@ -28,6 +28,10 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_language_id": op2_language_id,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op5_main_text": op5_main_text,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_secret_scan": op7_secret_scan,
     "op9_token_files": op9_token_files,
