@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thawline.llm import decontam, htmltext, jaccard, knn, langid, secrets, suffixes, tokenfiles
+from thawline.llm import decontam, htmltext, jaccard, knn, langid, secrets, suffixes, tokenfiles, toxicity
 from thawline.llm.common import bucket_of, shared_dir, table
 
 
@@ -41,6 +41,19 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random")
 
 
+def toxicity_scores(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Columns of ``docs`` with score and predicted; learned from labels whose crc32(doc_id) mod 3 isn't 1."""
+    labels = toxicity.may_learn(table(spark, sf_dir, "labels"), bucket_of("doc_id", 3) != 1)
+    return toxicity.score(docs, toxicity.fit(docs, labels))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(bucket_of("doc_id", 3) == 1, F.lit(False))
+    scored = toxicity_scores(spark, docs.select("doc_id", "text"), sf_dir)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted", "evidence")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/thawline/{uuid.uuid4().hex}/tokens.orc"
     tokenfiles.write_tokens(table(spark, sf_dir, "documents"), path)
@@ -58,6 +71,7 @@ QUERIES = {
     "op5_main_text": op5_main_text,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_secret_scan": op7_secret_scan,
+    "op8_toxicity": op8_toxicity,
     "op9_token_files": op9_token_files,
     "op10_top_k": op10_top_k,
 }
