@@ -56,6 +56,10 @@ def with_least(df: DataFrame, hashes: str, width: int, out: str) -> DataFrame:
     return df.withColumn(out, F.array_distinct(least)).drop(*[c for c in df.columns if c.startswith("_m")])
 
 
+def _told(marks: str, g: int) -> Column:
+    return F.transform(marks, lambda m: F.struct(F.lit(g).alias("g"), m.alias("mark")))
+
+
 def benchmark_windows(benchmark: DataFrame, item_id: str, text: str, span: int) -> DataFrame:
     """(item_id, words) of every window of every item."""
     items = benchmark.select(F.col(item_id).cast("string").alias("item_id"), words_of(F.col(text)).alias("all")).where(F.size("all") > 0)
@@ -103,13 +107,12 @@ def decontaminate(
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     rows = rows.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     split = with_least(with_hashes(rows.withColumn("words", words_of(F.col("text"))), "words", gram, "h"), "h", width, "kept")
-    pairs = F.transform("kept", lambda m: F.struct(F.lit(0).alias("g"), m.alias("mark")))
     none = F.array(F.struct(F.lit(-1).alias("g"), F.size("words").cast("long").alias("mark")))
-    parts = [none, pairs]
+    parts = [none, _told("kept", 0)]
     for g in grams:
         if g != gram:
             split = with_hashes(split, "words", g, f"h{g}")
-        parts.append(F.transform("h" if g == gram else f"h{g}", lambda m, g=g: F.struct(F.lit(g).alias("g"), m.alias("mark"))))
+        parts.append(_told("h" if g == gram else f"h{g}", g))
     marks = split.select("doc_id", "text_hash", F.explode(F.concat(*parts)).alias("m")).select("doc_id", "text_hash", "m.g", "m.mark")
     marks = marks.withColumn("key", key).join(keys, ["g", "key"], "left").where("known or g = -1")
     marks = materialize(marks.select("doc_id", "text_hash", "g", "key", "mark"), "marks")

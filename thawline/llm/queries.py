@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thawline.llm import decontam, htmltext, jaccard, knn, langid, secrets, suffixes, tokenfiles, toxicity
+from thawline.llm import decontam, htmltext, jaccard, knn, langid, mixing, secrets, suffixes, tokenfiles, toxicity
 from thawline.llm.common import bucket_of, shared_dir, table
 
 
@@ -28,6 +28,19 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def domains_of(labels: DataFrame) -> DataFrame:
+    """(doc_id, domain) of labelled documents: toxic, else high or low by quality."""
+    kind = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "high").when(F.col("quality") == 0, "low")
+    return labels.select("doc_id", kind.alias("domain"))
+
+
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    out = mixing.mix(docs, domains_of(table(spark, sf_dir, "labels")), {"high": 0.95, "low": 0.04, "toxic": 0.01})
+    p = {f"p_{d}": F.element_at("posterior", i + 1) for i, d in enumerate(("high", "low", "toxic"))}
+    return out.withColumns(p).select("doc_id", "source", "n_tokens", *p, "rate", (F.col("rate") * F.col("n_tokens")).alias("expected_tokens"))
+
+
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
@@ -68,6 +81,7 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_language_id": op2_language_id,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_mix_sources": op4_mix_sources,
     "op5_main_text": op5_main_text,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_secret_scan": op7_secret_scan,
