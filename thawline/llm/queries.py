@@ -54,10 +54,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random")
 
 
-def toxicity_scores(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def toxicity_scores(spark: SparkSession, docs: DataFrame, sf_dir: str, keep_text: bool = False) -> DataFrame:
     """Columns of ``docs`` with score and predicted; learned from labels whose crc32(doc_id) mod 3 isn't 1."""
     labels = toxicity.may_learn(table(spark, sf_dir, "labels"), bucket_of("doc_id", 3) != 1)
-    return toxicity.score(docs, toxicity.fit(docs, labels))
+    return toxicity.score(docs, toxicity.fit(docs, labels), keep_text=keep_text)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -207,16 +207,16 @@ def fit(
     return model._replace(curve=_curve(x, z, share[z.astype(int)]))
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.7, evidence: int = 5) -> DataFrame:
+def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.7, evidence: int = 5, keep_text: bool = False) -> DataFrame:
     """Add ``score`` (0 to 1), ``predicted`` (1 at ``threshold`` or more) and ``evidence`` to every row of ``docs``.
 
     evidence: nearest examples as (doc_id, label, cosine). Null and empty texts, and those without any word of the
-    model, have no neighbour and the score of the base rate. Other columns stay, of the same name are replaced;
-    repeated rows are treated alike; an empty table gives an empty result.
+    model, have no neighbour and the score of the base rate. Other columns stay (``text`` with ``keep_text``), of the same
+    name are replaced; repeated rows are treated alike; an empty table gives an empty result.
     """
     names = ("score", "predicted", "evidence")
     docs = docs.drop(*[c for c in docs.columns if c.lower() in names])
-    kept = [c for c in docs.columns if c != text]
+    kept = [c for c in docs.columns if c != text or keep_text]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
 
@@ -239,7 +239,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
                 )
 
     schema = with_fields(docs, kept, "score double, predicted int, evidence array<struct<doc_id:long,label:int,cosine:double>>")
-    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`")).mapInArrow(work, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns]).mapInArrow(work, schema)
 
 
 def may_learn(labels: DataFrame, learn: Column) -> DataFrame:
