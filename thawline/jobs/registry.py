@@ -1,6 +1,6 @@
 """All queries over the given tables, and the SQL that each must agree with."""
 
-from __future__ import annotations
+from thawline.jobs.oracles import ORACLES
+from thawline.jobs.queries import QUERIES
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
