@@ -142,7 +142,7 @@ def test_model_trains_and_predicts(spark):
     jump = spark.createDataFrame([(k, 0.0 if k == 0 else 4.0) for k in range(n)], "k int, f double")
     got = model.predict(jump, "tas", "co2x2").toPandas().sort_values(["time", "cell"])
     assert got.time.min() == 1850 and len(got) == n * 4
-    np.testing.assert_allclose(got.value.to_numpy().reshape(n, 4)[1:], np.outer(u, [1, 2, 3, 4])[:-1] * 1.0 + np.outer(np.diff(u), [1, 2, 3, 4]) * 0 + np.outer(u[1:] - u[:-1], [1, 2, 3, 4]), atol=0.02)
+    np.testing.assert_allclose(got.value.to_numpy().reshape(n, 4)[1:], np.outer(u[1:], [1, 2, 3, 4]), atol=0.02)
     species = jump.withColumn("species", F.lit("CO2")).unionByName(jump.withColumn("species", F.lit("CH4")))
     both = model.predict_scenario(species, ["base", "co2x2"], ["tas"]).toPandas()
     assert str(both.time.dtype).startswith("datetime64") and np.isclose(both.value.max(), 2 * got.value.max())
