@@ -5,20 +5,23 @@ documents, then the hash). Two sets whose overlap must be o share a shingle amon
 order, so only those prefixes are shuffled. Equal sets are one node. The rows of a prefix shingle form a run, in
 order of set size:
 
-1. Each row is paired with the row before it and with the first of its run. Length and positional filters, then a
-   suffix filter (sizes of 64 hash ranges bound the overlap), leave pairs that are verified on their whole sets.
-   In a group of near copies these few pairs a row join nearly all.
+1. Each row is paired with the row before it and with the first of its run. Rows with the fewest rare shingles of
+   their own come first, in a group of near copies those nearest to its centre, so that these few pairs a row join
+   nearly all of the group. Length and positional filters, then a suffix filter (sizes of 64 hash ranges bound the
+   overlap), leave pairs that are verified on their whole sets.
 2. Runs of more than two rows that still hold several components give the other pairs across components, each row
    outside the run's most frequent component with the rest. These are all pairs that can still change a component.
 
 So no link between components is lost, no pair is verified twice, and a group of copies never gives all its pairs.
-A frequent shingle's run is dealt to several tasks by salt; step 2 meets all of it again through a join.
+A frequent shingle's run is dealt to several tasks by salt; its first row over all tasks is found by aggregation, and
+step 2 meets all of it again through a join.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +30,7 @@ from thawline.llm import textbytes as tb
 from thawline.llm.common import materialize, shuffle_parts
 from thawline.llm.components import components
 
-SKETCH_BITS = 20
+SKETCH_BITS = 22
 BLOCK_BITS = 16
 RANGES = 64
 #: Rows of a run that one task gets, by the sketch.
@@ -98,24 +101,26 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _pack(counts: np.ndarray) -> bytes:
-    """Non-zero counts as (place, count) or, if they are many, all."""
+    """Non-zero counts as (place, count) or, if they are many, all, in as few bytes each as the greatest needs."""
     at = np.flatnonzero(counts)
-    if 2 * len(at) < len(counts):
-        return b"s" + np.concatenate((at, counts[at])).astype("<u8").tobytes() if counts.dtype == np.uint64 else b"p" + np.concatenate((at, counts[at])).astype("<u4").tobytes()
-    return b"d" + counts.astype("<u8").tobytes()
+    some = 4 * len(at) < len(counts)
+    values = counts[at] if some else counts
+    kind = next(k for k in ("<u1", "<u2", "<u4", "<u8") if int(values.max(initial=0)) <= np.iinfo(k).max)
+    return (b"s" if some else b"d") + kind[1:].encode() + (at.astype("<u2").tobytes() if some else b"") + values.astype(kind).tobytes()
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    out = np.zeros(1 << BLOCK_BITS, np.uint64)
+    kind, body = f"<{data[1:3].decode()}", data[3:]
     if data[:1] == b"d":
-        return np.frombuffer(data, "<u8", offset=1).copy()
-    both = np.frombuffer(data, "<u8" if data[:1] == b"s" else "<u4", offset=1)
-    out[both[: len(both) // 2].astype(np.int64)] = both[len(both) // 2 :]
+        return np.frombuffer(body, kind).astype(np.uint64)
+    n = len(body) // (2 + np.dtype(kind).itemsize)
+    out = np.zeros(1 << BLOCK_BITS, np.uint64)
+    out[np.frombuffer(body, "<u2", n)] = np.frombuffer(body, kind, n, 2 * n)
     return out
 
 
 def sketch(described: DataFrame) -> np.ndarray:
-    """Counts of all documents by hash range: 2^20 numbers, whatever the input. Tasks' counts are added 256 at a time."""
+    """Counts of all documents by hash range: 2^22 numbers, whatever the input. Tasks' counts are added 256 at a time."""
 
     def add(key, table):
         total = sum(_unpack(x.as_py()) for x in table.column("data"))
@@ -127,13 +132,14 @@ def sketch(described: DataFrame) -> np.ndarray:
     out = np.zeros((1 << (SKETCH_BITS - BLOCK_BITS), 1 << BLOCK_BITS), np.uint64)
     for r in rows.toLocalIterator():
         out[r["block"]] += _unpack(bytes(r["data"]))
-    return out.ravel()
+    return np.minimum(out.ravel(), np.iinfo(np.uint32).max).astype(np.uint32)
 
 
 def prefixes(docs: DataFrame, counts: np.ndarray, k: int, num: int, den: int) -> DataFrame:
-    """Rows (token, salt, sig, n, pos) of every set's prefix; equal sets of a task once."""
+    """Rows (token, salt, own, sig, n, pos) of every set's prefix; equal sets of a task once. own: its rare shingles."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
     usual = float(np.median(counts))
+    rare = usual + max(2, 6 * usual**0.5)
     hot = usual + max(RUN_ROWS, 6 * usual**0.5)
 
     def work(batches):
@@ -144,6 +150,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray, k: int, num: int, den: int) ->
                 sig, n = signatures(g, offsets), np.diff(offsets)
                 df = counts[g >> np.uint64(64 - SKETCH_BITS)]
                 doc = np.repeat(np.arange(len(n)), n)
+                own = np.bincount(doc[df <= rare], minlength=len(n))
                 order = np.lexsort((g, df, doc))
                 pos = np.arange(len(g)) - offsets[doc]
                 fresh = np.zeros(len(n), bool)
@@ -159,11 +166,11 @@ def prefixes(docs: DataFrame, counts: np.ndarray, k: int, num: int, den: int) ->
                 salts = np.where(over > hot, np.ceil((over - usual) / RUN_ROWS), 1).astype(np.int64)
                 salt = np.where(salts > 1, 1 + (sig[doc] & 0x7FFFFFFF) % salts, 0)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(token.view(np.int64)), pa.array(salt, pa.int32()), pa.array(sig[doc]), pa.array(n[doc], pa.int32()), pa.array(pos, pa.int32())],
-                    names=["token", "salt", "sig", "n", "pos"],
-                )
+                    [pa.array(token.view(np.int64)), pa.array(salt, pa.int32()), pa.array(own[doc], pa.int32()), pa.array(sig[doc]), pa.array(n[doc], pa.int32()), pa.array(pos, pa.int32())],
+                    names=["token", "salt", "own", "sig", "n", "pos"],
+                )
 
-    return docs.mapInArrow(work, "token long, salt int, sig long, n int, pos int")
+    return docs.mapInArrow(work, "token long, salt int, own int, sig long, n int, pos int")
 
 
 def _can_link(n1, p1, n2, p2, num: int, den: int):
@@ -173,16 +180,16 @@ def _can_link(n1, p1, n2, p2, num: int, den: int):
 
 
 def runs(rows: DataFrame, num: int, den: int, parts: int) -> DataFrame:
-    """Rows of runs of two and more: (token, sig, n, pos, whole, size, before, head), the last two where they pass the filters.
+    """Rows of runs of two and more: (token, own, sig, n, pos, whole, size, before, head), the last two where they pass the filters.
 
     whole: the run isn't dealt to several tasks.
     """
-    dealt = rows.repartition(parts, "token", "salt").sortWithinPartitions("token", "n", "sig")
+    dealt = rows.repartition(parts, "token", "salt").sortWithinPartitions("token", "own", "n", "sig")
 
     def work(batches):
         held = None
         for batch in _with_end(batches):
-            now = None if batch is None else [_column(batch, c).to_numpy() for c in ("token", "salt", "sig", "n", "pos")]
+            now = None if batch is None else [_column(batch, c).to_numpy() for c in ("token", "salt", "own", "sig", "n", "pos")]
             if held is not None:
                 now = held if now is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
             if now is None or not len(now[0]):
@@ -192,12 +199,12 @@ def runs(rows: DataFrame, num: int, den: int, parts: int) -> DataFrame:
                 held, now = [x[last:] for x in now], [x[:last] for x in now]
             else:
                 held = None
-            token, salt, sig, n, pos = now
+            token, salt, own, sig, n, pos = now
             if not len(token):
                 continue
             once = np.ones(len(token), bool)
             once[1:] = (token[1:] != token[:-1]) | (sig[1:] != sig[:-1])
-            token, salt, sig, n, pos = (x[once] for x in (token, salt, sig, n, pos))
+            token, salt, own, sig, n, pos = (x[once] for x in (token, salt, own, sig, n, pos))
             first = np.ones(len(token), bool)
             first[1:] = token[1:] != token[:-1]
             start = np.flatnonzero(first)
@@ -213,13 +220,13 @@ def runs(rows: DataFrame, num: int, den: int, parts: int) -> DataFrame:
                 j = i[s]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(token[j]), pa.array(sig[j]), pa.array(n[j]), pa.array(pos[j]), pa.array(salt[j] == 0), pa.array(size[j], pa.int64()),
+                        pa.array(token[j]), pa.array(own[j]), pa.array(sig[j]), pa.array(n[j]), pa.array(pos[j]), pa.array(salt[j] == 0), pa.array(size[j], pa.int64()),
                         pa.array(sig[prev[s]], mask=~ok_prev[s]), pa.array(sig[h[s]], mask=~ok_head[s]),
                     ],
-                    names=["token", "sig", "n", "pos", "whole", "size", "before", "head"],
+                    names=["token", "own", "sig", "n", "pos", "whole", "size", "before", "head"],
                 )
 
-    return dealt.mapInArrow(work, "token long, sig long, n int, pos int, whole boolean, size long, before long, head long")
+    return dealt.mapInArrow(work, "token long, own int, sig long, n int, pos int, whole boolean, size long, before long, head long")
 
 
 def _with_end(batches):
@@ -227,45 +234,57 @@ def _with_end(batches):
     yield None
 
 
-def candidate_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(sig, n, sizes of hash ranges, sorted shingles as bytes)."""
+def candidate_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(sig, n, sizes of hash ranges, text compressed) of the documents with ``ids``; compressed texts are what is shuffled."""
+
+    def pack(batches):
+        press = zstandard.ZstdCompressor(3).compress
+        for big in batches:
+            for batch in tb.slices(big, "text"):
+                packed = [press(x.as_buffer()) if x.is_valid else press(b"") for x in _column(batch, "text")]
+                yield pa.RecordBatch.from_arrays([_column(batch, "doc_id"), pa.array(packed, pa.binary())], names=["doc_id", "packed"])
 
     def work(batches):
         for big in batches:
-            for batch in tb.slices(big, "text", 1 << 20):
-                g, offsets = shingle_sets(_column(batch, "text"), k)
+            for batch in tb.slices(big, "packed", 1 << 20):
+                g, offsets = shingle_sets(_texts(_column(batch, "packed")), k)
                 n = np.diff(offsets)
                 doc = np.repeat(np.arange(len(n)), n)
-                sizes = np.bincount(doc * RANGES + (g >> np.uint64(58)).astype(np.int64), minlength=len(n) * RANGES).reshape(-1, RANGES)
-                raw = g.astype("<u8").tobytes()
-                data = [raw[8 * a : 8 * b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(signatures(g, offsets)), pa.array(n, pa.int32()), pa.FixedSizeListArray.from_arrays(pa.array(sizes.ravel(), pa.int32()), RANGES).cast(pa.list_(pa.int32())), pa.array(data, pa.binary())],
-                    names=["sig", "n", "sizes", "items"],
-                ).filter(pa.array(n > 0))
+                sizes = np.bincount(doc * RANGES + (g >> np.uint64(58)).astype(np.int64), minlength=len(n) * RANGES)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * RANGES), pa.array(sizes, pa.int32()))
+                out = [pa.array(signatures(g, offsets)), pa.array(n, pa.int32()), lists, _column(batch, "packed")]
+                yield pa.RecordBatch.from_arrays(out, names=["sig", "n", "sizes", "packed"]).filter(pa.array(n > 0))
 
-    return docs.mapInArrow(work, "sig long, n int, sizes array<int>, items binary")
+    texts = docs.select("doc_id", "text").mapInArrow(pack, "doc_id long, packed binary")
+    return texts.hint("shuffle_merge").join(ids, "doc_id", "left_semi").mapInArrow(work, "sig long, n int, sizes array<int>, packed binary")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _texts(packed: pa.Array) -> pa.Array:
+    unpress = zstandard.ZstdDecompressor().decompress
+    return pa.array([unpress(x.as_buffer()) for x in packed], pa.binary())
+
+
+def verify(pairs: DataFrame, sets: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that link, by suffix filter and then on whole sets."""
     small = lambda x: sets.select(F.col("sig").alias(x), F.col("n").alias(f"n{x}"), F.col("sizes").alias(f"s{x}"))
     apart = F.expr("aggregate(zip_with(sa, sb, (x, y) -> abs(x - y)), 0, (s, x) -> s + x)")
     total = F.col("na") + F.col("nb")
     near = pairs.join(small("a"), "a").join(small("b"), "b").where((total - apart) * (den + num) >= 2 * num * total)
     near = near.select("a", "b").distinct()
-    full = lambda x: sets.select(F.col("sig").alias(x), F.col("items").alias(f"i{x}"))
+    full = lambda x: sets.select(F.col("sig").alias(x), F.col("packed").alias(f"p{x}"))
 
     def work(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(_column(batch, "ia"), _column(batch, "ib"), strict=True):
-                p, q = (np.frombuffer(z.as_buffer(), "<u8") for z in (x, y))
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(den * both >= num * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([_column(batch, "a"), _column(batch, "b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for big in batches:
+            for batch in tb.slices(big, "pa", 1 << 19):
+                (p, at), (q, to) = (shingle_sets(_texts(_column(batch, c)), k) for c in ("pa", "pb"))
+                keep = []
+                for r in range(batch.num_rows):
+                    x, y = p[at[r] : at[r + 1]], q[to[r] : to[r + 1]]
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    keep.append(den * both >= num * (len(x) + len(y) - both))
+                yield pa.RecordBatch.from_arrays([_column(batch, "a"), _column(batch, "b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return near.join(full("a"), "a").join(full("b"), "b").select("a", "b", "ia", "ib").mapInArrow(work, "a long, b long").distinct()
+    return near.join(full("a"), "a").join(full("b"), "b").select("a", "b", "pa", "pb").mapInArrow(work, "a long, b long").distinct()
 
 
 def _ordered(x: Column | str, y: Column | str) -> list[Column]:
@@ -292,16 +311,17 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     )
     live = materialize(runs(prefixes(named, sketch(described), k, num, den), num, den, parts), "runs")
 
-    pairs = live.select(F.explode(F.array("before", "head")).alias("other"), "sig").where("other is not null")
+    # the first row of a frequent shingle's run over all its tasks
+    dealt = live.where("not whole")
+    lead = dealt.groupBy("token").agg(F.min(F.struct("own", "n", "sig", "pos")).alias("lead"))
+    ok = f"{den} * least(n, lead.n) >= {num} * greatest(n, lead.n) and {den + num} * least(n - pos, lead.n - lead.pos) >= {num} * (n + lead.n)"
+    led = dealt.join(lead, "token").where(f"sig <> lead.sig and {ok}").select("sig", F.col("lead.sig").alias("other"))
+    pairs = live.select("sig", F.explode(F.array("before", "head")).alias("other")).where("other is not null").unionByName(led)
     pairs = materialize(pairs.select(*_ordered("sig", "other")).distinct(), "pairs")
-    sets_of = lambda p: candidate_sets(
-        named.join(
-            p.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(classes, "sig").select(F.col("rep").alias("doc_id")).distinct(),
-            "doc_id", "left_semi",
-        ), k,
-    ).dropDuplicates(["sig"])
-    sets = materialize(sets_of(pairs), "candidates")
-    links = materialize(verify(pairs, sets, num, den), "links")
+    sigs = lambda p: p.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+    ids = lambda s: s.join(classes, "sig").select(F.col("rep").alias("doc_id")).distinct()
+    sets = materialize(candidate_sets(named, ids(sigs(pairs)), k), "candidates")
+    links = materialize(verify(pairs, sets, k, num, den), "links")
     one = components(_by_rep(links, classes))
 
     label = classes.join(one.withColumnRenamed("node", "rep"), "rep", "left").select("sig", F.coalesce("component", "rep").alias("label"))
@@ -317,7 +337,10 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     more = x.join(y, both).select(*_ordered("x.sig", "y.sig")).distinct()
     more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():
-        links = links.unionByName(materialize(verify(more, materialize(sets_of(more), "candidates"), num, den), "links"))
+        missing = materialize(sigs(more).join(sets, "sig", "left_anti"), "missing")
+        if not missing.isEmpty():
+            sets = sets.unionByName(materialize(candidate_sets(named, ids(missing), k), "candidates"))
+        links = links.unionByName(materialize(verify(more, sets, k, num, den), "links"))
         one = components(_by_rep(links, classes))
 
     moved = classes.join(one.withColumnRenamed("node", "rep"), "rep", "left").select(
