@@ -54,9 +54,9 @@ class _Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.ids, self.first, self.size = np.zeros(1 << 20, np.int32), np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int32)
-        self.used = 0
+        """Known pieces: hashes in order, the place of each one's ids and their number."""
+        self.keys, self.first, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.ids, self.used = np.zeros(1 << 16, np.int32), 0
 
     def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pieces one after the other, and their numbers."""
@@ -72,37 +72,37 @@ class _Encoder:
             return self._encode(pieces)
         return ids, np.diff(np.concatenate(([0], ends)))
 
-    def add(self, hashes: list[int], pieces: list[str]) -> None:
+    def add(self, at: np.ndarray, hashes: np.ndarray, pieces: list[str]) -> None:
+        """New pieces, whose hashes belong at ``at`` in the order of the known."""
+        first, size = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int32)
         for letters, encode in ((True, self._encode_letters), (False, self._encode)):
             own = [i for i, p in enumerate(pieces) if p.isalpha() == letters]
             for a in range(0, len(own), 20_000):
                 part = own[a : a + 20_000]
                 ids, sizes = encode([pieces[i] for i in part])
-                n = len(self.known)
-                while n + len(part) > len(self.first):
-                    self.first, self.size = np.concatenate((self.first, np.zeros_like(self.first))), np.concatenate((self.size, np.zeros_like(self.size)))
-                while self.used + len(ids) > len(self.ids):
-                    self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+                if self.used + len(ids) > len(self.ids):
+                    self.ids = np.concatenate((self.ids, np.zeros(max(len(ids), len(self.ids) // 2), np.int32)))
                 self.ids[self.used : self.used + len(ids)] = ids
-                self.first[n : n + len(part)] = self.used + np.cumsum(sizes) - sizes
-                self.size[n : n + len(part)] = sizes
-                self.known.update(zip([hashes[i] for i in part], range(n, n + len(part)), strict=True))
+                first[part], size[part] = self.used + np.cumsum(sizes) - sizes, sizes
                 self.used += len(ids)
+        self.keys, self.first, self.size = np.insert(self.keys, at, hashes), np.insert(self.first, at, first), np.insert(self.size, at, size)
 
     def encode(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of each text's with its end id."""
-        if len(self.known) > CACHE_PIECES:
+        if len(self.keys) > CACHE_PIECES:
             self.forget()
         data, offsets = tb.buffers(column)
         rows = len(offsets) - 1
         words = tb.scan(data, offsets, tb.NOT_SPACE, split=_splits)
         unique, sample, at = np.unique(words.hash, return_index=True, return_inverse=True)
-        hashes = unique.tolist()
-        if fresh := [i for i, h in enumerate(hashes) if h not in self.known]:
-            raw = data.tobytes()
-            start, end = words.start[sample].tolist(), words.end[sample].tolist()
-            self.add([hashes[i] for i in fresh], [raw[start[i] : end[i]].decode() for i in fresh])
-        at = np.fromiter(map(self.known.__getitem__, hashes), np.int64, len(hashes))[at]
+        to = np.searchsorted(self.keys, unique)
+        known = np.zeros(len(unique), bool)
+        inside = np.flatnonzero(to < len(self.keys))
+        known[inside] = self.keys[to[inside]] == unique[inside]
+        if len(fresh := np.flatnonzero(~known)):
+            start, end = words.start[sample[fresh]].tolist(), words.end[sample[fresh]].tolist()
+            self.add(to[fresh], unique[fresh], [data[a:b].tobytes().decode() for a, b in zip(start, end, strict=True)])
+        at = np.searchsorted(self.keys, unique)[at]
         n = self.size[at].astype(np.int64)
         done = np.concatenate(([0], np.cumsum(n)))
         total = int(done[-1])
