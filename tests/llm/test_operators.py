@@ -280,6 +280,44 @@ def test_gradient_steps_reach_the_least_squares_optimum(spark):
     assert mixing.solve(rows.where("false"), [1.0, 1.0]).steps == []
 
 
+def test_mixing_meets_strong_weights_and_reports_unmet_ones(spark):
+    rng = np.random.RandomState(7)
+    n = rng.randint(1, 400, 3000)
+    kind = rng.choice(3, 3000, p=[0.8, 0.1, 0.1])
+    z = rng.randn(3000, 3) + 4 * np.eye(3)[kind]
+    p = np.exp(z) / np.exp(z).sum(1, keepdims=True)
+    rows = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p)], "n_tokens long, posterior array<double>")
+    for weights, least in (([0.05, 0.04, 0.91], 0.0), ([0.02, 0.95, 0.03], 0.0), ([0.3, 0.4, 0.3], 0.5)):
+        plan = mixing.solve(rows, weights, None, least)
+        r = np.full(3000, 1.0)
+        for s in plan.steps:
+            r = np.maximum(least, r - p @ np.array(s))
+        np.testing.assert_allclose((r * n) @ p, plan.reached, rtol=1e-9)
+        np.testing.assert_allclose(plan.reached, plan.targets, rtol=1.01e-3)
+        assert plan.met
+    # no rates meet these: every document is at least 0.2 of the second domain
+    q = [0.2, 0.5, 0.9]
+    docs = spark.createDataFrame([(10, [1 - x, x]) for x in q], "n_tokens long, posterior array<double>")
+    plan = mixing.solve(docs, [0.99, 0.01])
+    g = np.array([sum(10 * (1 - x) ** 2 for x in q), sum(10 * x * x for x in q)])
+    best = min(((np.array([8.0, 2.0]) * r - plan.targets) ** 2 / g).sum() for r in np.linspace(0, 10, 100_001))  # the first alone is seen
+    assert not plan.met and plan.optimal and ((np.array(plan.reached) - plan.targets) ** 2 / g).sum() == pytest.approx(best, rel=1e-4)
+
+
+def test_mixing_reports_what_it_reached(spark, tmp_path):
+    texts, labels = labelled_documents(random.Random(4), 200)
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    known = spark.createDataFrame([(i, "bad" if t else "good") for i, _, t in labels], "doc_id long, domain string")
+    mixing.mix(docs, known, {"good": 0.9, "bad": 0.1}, unmet="raise").write.parquet(str(tmp_path / "mixed"))
+    told = mixing.report(spark.read.parquet(str(tmp_path / "mixed")))
+    assert told["domains"] == ["bad", "good"] and told["met"]
+    np.testing.assert_allclose(told["reached"], told["targets"], rtol=1e-3)
+    with pytest.warns(UserWarning, match="not met"):
+        assert not mixing.report(mixing.mix(docs, known, {"good": 0.5, "bad": 0.25, "none": 0.25}))["met"]
+    with pytest.raises(ValueError, match="not met"):
+        mixing.mix(docs, known, {"good": 0.5, "bad": 0.25, "none": 0.25}, unmet="raise")
+
+
 def test_pipeline_stages(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     sf = "/root/testdata/sf0.001"
