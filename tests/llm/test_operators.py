@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -245,6 +246,37 @@ def test_toxicity(spark):
     assert toxicity.score(docs, model, keep_text=True).columns[:2] == ["doc_id", "text"]
 
 
+def test_toxicity_counts_every_word(spark):
+    rng = random.Random(10)
+    texts, labels = labelled_documents(rng, 400)
+    long = [" ".join([prose(rng, 4000), *["vile"] * bad]) for bad in (0, 1)]
+    outside = [f"vile nasty {' '.join(f'unseen{i}' for i in range(m))}" for m in (0, 40)]
+    docs = spark.createDataFrame([*texts, *enumerate(long + outside, 2000)], "doc_id long, text string")
+    learn = spark.createDataFrame(labels, "doc_id long, quality int, toxic int").where("doc_id % 3 <> 1")
+    model = toxicity.fit(docs, learn)
+    by_id = dict([*texts, *enumerate(long + outside, 2000)])
+    words = {i: ALNUM.findall(lower(t)) for i, t in by_id.items()}
+    assert len(model.words) == len({w for i in model.ids for w in words[i]})
+    hashes, distinct = {}, sorted({w for x in words.values() for w in x})
+    for w in distinct:
+        hashes[w] = int(toxicity.places(model.words, toxicity.word_counts(pa.array([w]))[1])[0])
+
+    def vector(ws):
+        v = {w: (1 + np.log(ws.count(w))) * (model.factor[hashes[w]] if hashes[w] >= 0 else model.other) for w in set(ws)}
+        size = np.sqrt(sum(x * x for x in v.values()))
+        return {w: x / size for w, x in v.items()}
+
+    shown = [vector(words[i]) for i in model.ids]
+    got = {r.doc_id: r for r in toxicity.score(docs, model, evidence=model.k).collect()}
+    for i in [1, 4, 7, 40, 2000, 2001, 2002, 2003]:
+        v = vector(words[i])
+        cosines = sorted((sum(x * e.get(w, 0.0) for w, x in v.items()) for e in shown), reverse=True)
+        np.testing.assert_allclose([e.cosine for e in got[i].evidence], [c for c in cosines[: model.k] if c > 0], atol=1e-9)
+    # one bad word doesn't decide over thousands of others, and words of no example count in the length
+    assert got[2000].score < 0.1 and got[2001].score < 0.5 and not got[2001].predicted
+    assert got[2002].predicted and got[2003].evidence[0].cosine < 0.6 * got[2002].evidence[0].cosine
+
+
 def test_mixing(spark):
     rng = random.Random(4)
     texts, labels = labelled_documents(rng, 300)

@@ -1,11 +1,12 @@
 """Toxicity scores from the nearest labelled examples.
 
-Examples are a bounded sample of labelled documents. Words that go with the label (chi-square over the examples) span
-the space; weights are (1 + ln tf) * idf, idf over all documents, to unit length. The examples lie in an inverted
-index whose postings are cut in blocks of examples, with each word's greatest weight in each block. A document's
-words bound its cosine with any example of a block by these; blocks are scored in order of the bound, until it falls
-below the k-th best cosine found. So the k nearest are exact. Their labels, weighted by cosine, are the vote, and a
-logistic curve, fitted on further labelled documents, makes a probability of it.
+Examples are a bounded sample of labelled documents. Every word counts: weights are (1 + ln tf) * idf * lean, to unit
+length over the whole text. idf is over all documents; a word that no example holds has that of a word of fewer than
+one document in as many as there are examples. lean raises words that go with the label: ``floor`` for a word without
+any association, up to 1 for the strongest (phi coefficient over the examples). The examples lie in an inverted index;
+a document's cosines with all of them are added up from the postings of its words, so the k nearest are exact. Their
+labels, weighted by cosine, are the vote, and a logistic curve, fitted on further labelled documents, makes a
+probability of it.
 """
 
 from __future__ import annotations
@@ -20,18 +21,48 @@ from pyspark.sql import functions as F
 from thawline.llm import textbytes as tb
 from thawline.llm.common import with_fields
 
-BLOCK = 64
+POSTINGS = 1 << 20
+
+
+class Postings(NamedTuple):
+    """Word by example, row by row: those of word w are start[w] to start[w + 1]."""
+
+    start: np.ndarray
+    example: np.ndarray
+    weight: np.ndarray
+    n_examples: int
+
+    def __getitem__(self, terms) -> np.ndarray:
+        """Rows of some words, in full."""
+        out = np.zeros((len(terms), self.n_examples))
+        for i, t in enumerate(terms):
+            s = slice(self.start[t], self.start[t + 1])
+            out[i, self.example[s]] = self.weight[s]
+        return out
+
+    def added(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Sum of the rows of some words times their weights."""
+        out, n = np.zeros(self.n_examples), self.start[terms + 1] - self.start[terms]
+        ends = np.cumsum(n)
+        a = 0
+        while a < len(terms):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + POSTINGS, "right")))
+            m = n[a:b]
+            at = np.arange(m.sum()) + np.repeat(self.start[terms[a:b]] - np.cumsum(m) + m, m)
+            out += np.bincount(self.example[at], self.weight[at] * np.repeat(weights[a:b], m), self.n_examples)
+            a = b
+        return out
 
 
 class Model(NamedTuple):
-    """words: sorted hashes; idf of each; ids and labels of examples; weights: word by example; most: word by block."""
+    """words: sorted hashes; factor: idf * lean of each, and of other words; ids and labels of examples; their index."""
 
     words: np.ndarray
-    idf: np.ndarray
+    factor: np.ndarray
+    other: float
     ids: np.ndarray
     labels: np.ndarray
-    weights: np.ndarray
-    most: np.ndarray
+    weights: Postings
     curve: tuple[float, float]
     base: float
     k: int
@@ -48,48 +79,39 @@ def word_counts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc[at], h[at], np.diff(np.append(at, len(h)))
 
 
-def known_counts(column: pa.Array, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The same for words of ``words`` only, as places in it."""
-    w = tb.scan(*tb.buffers(column), tb.ALNUM)
+def places(words: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Place in ``words`` of each hash, or -1."""
     if not len(words):
-        none = np.zeros(0, np.int64)
-        return none, none, none
-    at = np.searchsorted(words, w.hash)
+        return np.full(len(h), -1)
+    at = np.searchsorted(words, h)
     at[at == len(words)] = 0
-    ok = words[at] == w.hash
-    key, times = np.unique(w.doc[ok] * len(words) + at[ok], return_counts=True)
-    return key // len(words), key % len(words), times
+    return np.where(words[at] == h, at, -1)
 
 
 def nearest(model: Model, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places and cosines of the k nearest examples (of cosine over 0), best first, ties by place."""
-    bound = weights @ model.most[terms]
-    found, cosines, kth = np.zeros(0, np.int64), np.zeros(0), 0.0
-    for b in np.argsort(-bound, kind="stable"):
-        if bound[b] <= 0 or bound[b] < kth - 1e-12:
-            break
-        s = weights @ model.weights[terms, b * BLOCK : (b + 1) * BLOCK]
-        ok = np.flatnonzero((s > 0) & (s >= kth))
-        found, cosines = np.concatenate((found, b * BLOCK + ok)), np.concatenate((cosines, s[ok]))
-        if len(found) > model.k:
-            first = np.lexsort((found, -cosines))[: model.k]
-            found, cosines = found[first], cosines[first]
-        if len(found) == model.k:
-            kth = float(cosines.min())
-    first = np.lexsort((found, -cosines))
-    return found[first], cosines[first]
-
-
-def vote(model: Model, terms: np.ndarray, times: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    s = model.weights.added(terms, weights)
+    found = np.flatnonzero(s > 0)
+    if len(found) > model.k:
+        found = found[s[found] >= np.partition(s[found], -model.k)[-model.k]]
+    found = found[np.lexsort((found, -s[found]))][: model.k]
+    return found, s[found]
+
+
+def unit(words_at: np.ndarray, times: np.ndarray, factor: np.ndarray, other: float) -> tuple[np.ndarray, np.ndarray]:
+    """Words of the examples in a text and their weights, to unit length over all its words (``words_at`` -1: another)."""
+    w = (1 + np.log(times)) * np.where(words_at >= 0, factor[words_at] if len(factor) else 0.0, other)
+    ok = words_at >= 0
+    return words_at[ok], w[ok] / max(1e-12, np.sqrt((w * w).sum()))
+
+
+def vote(model: Model, words_at: np.ndarray, times: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
     """Share of label 1 among the nearest by cosine, drawn to the base rate where there is little; their places and cosines."""
+    terms, w = unit(words_at, times, model.factor, model.other)
     if not len(terms):
         return model.base, terms, np.zeros(0)
-    w = (1 + np.log(times)) * model.idf[terms]
-    length = np.sqrt((w * w).sum())
-    if length <= 0:
-        return model.base, terms[:0], np.zeros(0)
-    places, cosines = nearest(model, terms, w / length)
-    return float((cosines @ model.labels[places] + 0.5 * model.base) / (cosines.sum() + 0.5)), places, cosines
+    found, cosines = nearest(model, terms, w)
+    return float((cosines @ model.labels[found] + 0.5 * model.base) / (cosines.sum() + 0.5)), found, cosines
 
 
 def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -116,14 +138,12 @@ def fit(
     examples: tuple[int, int] = (2000, 1000),
     checks: tuple[int, int] = (1200, 400),
     k: int = 15,
-    least_chi: float = 30.0,
-    least_docs: int = 5,
-    most_words: int = 8192,
+    floor: float = 0.2,
 ) -> Model:
     """Model from ``labels`` (doc_id, label 0 or 1), already restricted to rows that may be learned from.
 
     At most ``examples`` documents of label 0 and 1 are indexed and ``checks`` more fit the curve, drawn by hash of
-    doc_id; these bound what the driver holds. Rows without id, label or text are left out; a document labelled twice
+    doc_id, in that proportion where there are fewer; these bound what the driver holds. Rows without id, label or text are left out; a document labelled twice
     counts as 1 if any of its labels is. idf counts all rows of ``docs``. Without labels of both kinds the score is
     the rate of label 1, or 0.
     """
@@ -133,8 +153,10 @@ def fit(
     total = {r["y"]: r["n"] for r in given.groupBy("y").agg(F.count("*").alias("n")).collect()}
     base = total.get(1, 0) / max(1, sum(total.values()))
     drawn = [given.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples[y] + checks[y]) for y in (0, 1)]
-    ids = [(r["doc_id"], y, i >= examples[y]) for y in (0, 1) for i, r in enumerate(drawn[y].collect())]
-    empty = Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0), np.zeros((0, 0)), np.zeros((0, 0)), (0.0, -30.0 if not base else float(np.log(base / max(1e-9, 1 - base)))), base, k)
+    shares = [min(examples[y], -(-total.get(y, 0) * examples[y] // (examples[y] + checks[y]))) for y in (0, 1)]
+    ids = [(r["doc_id"], y, i >= shares[y]) for y in (0, 1) for i, r in enumerate(drawn[y].collect())]
+    none = Postings(np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0), 0)
+    empty = Model(np.zeros(0, np.uint64), np.zeros(0), 1.0, np.zeros(0, np.int64), np.zeros(0), none, (0.0, -30.0 if not base else float(np.log(base / max(1e-9, 1 - base)))), base, k)
     if not total.get(0) or not total.get(1):
         return empty
 
@@ -143,27 +165,28 @@ def fit(
             for batch in tb.slices(big, "text"):
                 doc, h, n = word_counts(batch.column(0))
                 cut = np.searchsorted(doc, np.arange(batch.num_rows + 1)).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(x)) for x in (h.view(np.int64), n.astype(np.int32))]
+                lists = [pa.array([x[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary()) for x in (h, n.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([*batch.columns[1:], *lists], names=["doc_id", "y", "check", "words", "times"])
 
     sample = spark.createDataFrame(ids, "doc_id long, y int, check boolean")  # of bounded size
     texts = docs.select(F.col(text).alias("text"), F.col(doc_id).cast("long").alias("doc_id")).where("text is not null")
     rows = texts.join(F.broadcast(sample), "doc_id").select("text", "doc_id", "y", "check")
-    rows = rows.mapInArrow(count, "doc_id long, y int, check boolean, words array<long>, times array<int>").collect()
+    rows = rows.mapInArrow(count, "doc_id long, y int, check boolean, words binary, times binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], len(r["words"]), r["words"]))
+    hashes = lambda r: np.frombuffer(r["words"], np.uint64)
+    counts = lambda r: np.frombuffer(r["times"], np.int32)
     shown = [r for r in rows if not r["check"]]
     y = np.array([r["y"] for r in shown], float)
     if not 0 < y.sum() < len(y):
         return empty
-    doc = np.repeat(np.arange(len(shown)), [len(r["words"]) for r in shown])
-    h = np.concatenate([np.array(r["words"], np.int64) for r in shown]).view(np.uint64)
-    words, at, df = np.unique(h, return_inverse=True, return_counts=True)
+    size = [len(hashes(r)) for r in shown]
+    doc = np.repeat(np.arange(len(shown), dtype=np.int32), size)
+    words, at, df = np.unique(np.concatenate([hashes(r) for r in shown]), return_inverse=True, return_counts=True)
     n, n1 = float(len(y)), y.sum()
     with1 = np.bincount(at, y[doc], len(words))
-    chi = n * (with1 * n - df * n1) ** 2 / np.maximum(1e-9, n1 * (n - n1) * df * (n - df))
-    keep = np.flatnonzero((df >= least_docs) & (chi >= least_chi))
-    keep = np.sort(keep[np.argsort(-chi[keep], kind="stable")][:most_words])
-    words = words[keep]
+    phi = np.abs(n * with1 - df * n1) / np.sqrt(np.maximum(1e-9, n1 * (n - n1) * df * (n - df)))
+    phi[df == n] = 0
+    lean = floor + (1 - floor) * phi / max(1e-12, phi.max(initial=0))
 
     shared = spark.sparkContext.broadcast(words)
 
@@ -171,37 +194,24 @@ def fit(
         df, seen = np.zeros(len(shared.value) + 1, np.int64), 0
         for big in batches:
             for batch in tb.slices(big, "text"):
-                df[:-1] += np.bincount(known_counts(batch.column(0), shared.value)[1], minlength=len(df) - 1)
+                i = places(shared.value, word_counts(batch.column(0))[1])
+                df[:-1] += np.bincount(i[i >= 0], minlength=len(df) - 1)
                 seen += batch.num_rows
         df[-1] = seen
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(df))), pa.array(df)], names=["word", "n"])
+        held = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(df[held])], names=["word", "n"])
 
     docs_with = np.zeros(len(words) + 1)
-    for r in docs.select(F.col(text).alias("text")).mapInArrow(frequencies, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
-        docs_with[r["word"]] = r["n"]
-    idf = np.log((1 + docs_with[-1]) / (1 + docs_with[:-1]))
-
-    def vector(r) -> tuple[np.ndarray, np.ndarray]:
-        h, times = np.array(r["words"], np.int64).view(np.uint64), np.array(r["times"], np.int64)
-        i = np.searchsorted(words, h)
-        i[i == len(words)] = 0
-        ok = words[i] == h if len(words) else np.zeros(len(h), bool)
-        return i[ok], times[ok]
-
-    weights = np.zeros((len(words), len(shown)))
-    for j, r in enumerate(shown):
-        t, times = vector(r)
-        w = (1 + np.log(times)) * idf[t]
-        weights[t, j] = w / max(1e-12, np.sqrt((w * w).sum()))
-    # examples of the same main word side by side, so that a block's bounds are tight
-    order = np.lexsort((np.arange(len(shown)), weights.argmax(0) if len(words) else np.zeros(len(shown))))
-    weights = weights[:, order]
-    blocks = -(-len(shown) // BLOCK)
-    padded = np.pad(weights, ((0, 0), (0, blocks * BLOCK - len(shown))))
-    most = padded.reshape(len(words), blocks, BLOCK).max(2)
-    model = Model(words, idf, np.array([r["doc_id"] for r in shown])[order], y[order], weights, most, (1.0, 0.0), base, k)
+    totals = docs.select(F.col(text).alias("text")).mapInArrow(frequencies, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    docs_with[totals["word"].to_numpy()] = totals["n"].to_numpy()
+    factor = np.log((1 + docs_with[-1]) / (1 + docs_with[:-1])) * lean
+    other = float(np.log(1 + n) * floor)
+    weight = np.concatenate([unit(x, counts(r), factor, other)[1] for x, r in zip(np.split(at, np.cumsum(size)[:-1]), shown, strict=True)])
+    order = np.argsort(at, kind="stable")
+    index = Postings(np.concatenate(([0], np.cumsum(df))), doc[order], weight[order], len(shown))
+    model = Model(words, factor, other, np.array([r["doc_id"] for r in shown]), y, index, (1.0, 0.0), base, k)
     checked = [r for r in rows if r["check"]] or shown
-    x = np.array([vote(model, *vector(r))[0] for r in checked])
+    x = np.array([vote(model, places(words, hashes(r)), counts(r))[0] for r in checked])
     z = np.array([r["y"] for r in checked], float)
     share = np.array([1 - base, base]) * len(z) / np.maximum(1, [(z == 0).sum(), (z == 1).sum()])
     return model._replace(curve=_curve(x, z, share[z.astype(int)]))
@@ -211,7 +221,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
     """Add ``score`` (0 to 1), ``predicted`` (1 at ``threshold`` or more) and ``evidence`` to every row of ``docs``.
 
     evidence: nearest examples as (doc_id, label, cosine). Null and empty texts, and those without any word of the
-    model, have no neighbour and the score of the base rate. Other columns stay (``text`` with ``keep_text``), of the same
+    examples, have no neighbour and the score of the base rate. Other columns stay (``text`` with ``keep_text``), of the same
     name are replaced; repeated rows are treated alike; an empty table gives an empty result.
     """
     names = ("score", "predicted", "evidence")
@@ -225,13 +235,14 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
         a, b = m.curve
         for big in batches:
             for batch in tb.slices(big, text):
-                doc, term, times = known_counts(batch.column(batch.schema.get_field_index(text)), m.words)
+                doc, h, times = word_counts(batch.column(batch.schema.get_field_index(text)))
+                at = places(m.words, h)
                 cut = np.searchsorted(doc, np.arange(batch.num_rows + 1))
                 votes, told = np.empty(batch.num_rows), []
                 for r in range(batch.num_rows):
                     s = slice(cut[r], cut[r + 1])
-                    votes[r], places, cosines = vote(m, term[s], times[s])
-                    told.append([{"doc_id": int(m.ids[p]), "label": int(m.labels[p]), "cosine": float(c)} for p, c in zip(places[:evidence], cosines, strict=False)])
+                    votes[r], found, cosines = vote(m, at[s], times[s])
+                    told.append([{"doc_id": int(m.ids[p]), "label": int(m.labels[p]), "cosine": float(c)} for p, c in zip(found[:evidence], cosines, strict=False)])
                 p = 1 / (1 + np.exp(-np.clip(a * votes + b, -30, 30)))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(batch.schema.get_field_index(c)) for c in kept] + [pa.array(p), pa.array((p >= threshold).astype(np.int32)), pa.array(told, kind)],
