@@ -57,6 +57,18 @@ def test_secrets_against_brute_force(spark):
     assert secrets.scan_secrets(frame.where("false")).count() == 0
 
 
+def test_random_letters_are_secrets_and_identifiers_are_not(spark):
+    rng = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    keys = ["".join(rng.choice(letters) for _ in range(n)) for n in range(20, 41)]
+    names = ["getApplicationContextConfiguration", "internationalization_settings", "https/example/documentation/introduction", "incomprehensibilities", "-" * 40, "=" * 25]
+    frame = spark.createDataFrame([(i, f"key {x} end") for i, x in enumerate([*keys, *names])], "doc_id long, text string")
+    got = secrets.scan_secrets(frame).toPandas().set_index("doc_id")
+    for i, x in enumerate([*keys, *names]):
+        assert got.n_random[i] == int(i < len(keys)), x
+        assert (f"random:4:{4 + len(x)}" in got.spans[i].split(",")) == (i < len(keys))
+
+
 def test_profiles_and_distance_against_brute_force(spark):
     texts = [("a", "ab ab abc"), ("a", "Abba!"), ("b", "zy zyx zz"), ("b", None), (None, "ab zy")]
     profiles = langid.learn_profiles(spark.createDataFrame(texts, "lang string, text string"), size=5)

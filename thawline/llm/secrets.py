@@ -34,7 +34,6 @@ KNOWN = re.compile(r"[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]
                    r"|[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9+/_=-]+")
 _RUN_BYTES = tb.byte_set((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A)) | np.isin(np.arange(256), list(b"+/_=-"))
 _HEX_BYTES = tb.byte_set((0x30, 0x39), (0x61, 0x66))
-_DIGIT = tb.byte_set((0x30, 0x39))
 _KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
 SCHEMA = (
@@ -58,7 +57,7 @@ def find(text: str, vocabulary: str, min_run: int, max_ratio: float) -> list[tup
     out += [("access", m.start(), m.end(), None) for m in ACCESS.finditer(text) if len(m[0]) >= ACCESS_LEAST]
     out += [("hex", m.start(), m.end(), None) for m in re.finditer(r"[0-9a-f]{%d,}" % HEX_LEAST, text)]
     for m in RUN.finditer(text):
-        if len(m[0]) < min_run or not re.search(r"[0-9]", m[0]) or KNOWN.fullmatch(m[0]):
+        if len(m[0]) < min_run or KNOWN.fullmatch(m[0]):
             continue
         ratio = len(m[0]) / len(encoder(vocabulary).encode_ordinary(m[0]))
         if ratio <= max_ratio:
@@ -74,8 +73,7 @@ def suspects(data: np.ndarray, offsets: np.ndarray, min_run: int) -> np.ndarray:
     runs = tb.scan(data, offsets, _HEX_BYTES, hashed=False)
     hit[runs.doc[runs.end - runs.start >= HEX_LEAST]] = True
     runs = tb.scan(data, offsets, _RUN_BYTES, hashed=False)
-    digits = np.concatenate(([0], np.cumsum(_DIGIT[data])))
-    hit[runs.doc[(runs.end - runs.start >= min_run) & (digits[runs.end] > digits[runs.start])]] = True
+    hit[runs.doc[runs.end - runs.start >= min_run]] = True
     raw, low = data.tobytes(), tb.LOWER[data].tobytes()
     for where, words in ((raw, (b"AKIA",)), (low, _KEYWORDS)):
         for w in words:
