@@ -18,13 +18,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of least doc_id; a repeated row once. Rows without doc_id stay."""
-    groups = materialize(jaccard.jaccard_components(docs), "groups")
-    kept = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("m"))
-    kept = materialize(kept, "kept")
-    out = docs.join(kept.where("m = 1"), "doc_id", "left_semi")
-    again = docs.join(kept.where("m > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return out.unionByName(again).unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """Of each group of near duplicates the document of least doc_id; a repeated row once. Rows without doc_id stay.
+
+    Rows are known by doc_id and text, so unlike texts of one doc_id are documents of their own.
+    """
+    key = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    groups = materialize(jaccard.jaccard_components(docs.select(key.alias("doc_id"), "text")), "groups")
+    groups = groups.groupBy(F.col("doc_id").alias("_key")).agg(F.min("component_id").alias("component"))
+    rows = docs.where("doc_id is not null").select(key.alias("_key"), "doc_id").groupBy("_key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("m"))
+    kept = rows.join(groups, "_key").groupBy("component").agg(F.min(F.struct("doc_id", "_key", "m")).alias("first"))
+    kept = materialize(kept.select("first._key", "first.m"), "kept")
+    keyed = docs.withColumn("_key", key)
+    out = keyed.join(kept.where("m = 1"), "_key", "left_semi")
+    again = keyed.join(kept.where("m > 1"), "_key", "left_semi").dropDuplicates(["_key"])
+    return out.unionByName(again).unionByName(keyed.where("doc_id is null")).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

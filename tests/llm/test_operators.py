@@ -374,6 +374,16 @@ def test_pipeline_stages(spark, tmp_path):
     assert all(stage(spark, empty, sf).count() == 0 for _, stage in corpus_pipeline.STAGES)
 
 
+def test_groups_keep_unlike_texts_of_one_id(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(12)
+    a, b, c = (prose(rng, 200) for _ in range(3))
+    rows = [(5, a), (5, b), (7, near_copy(rng, a, 2)), (3, near_copy(rng, b, 2)), (9, c), (9, c), (4, None), (None, a)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in corpus_pipeline.one_of_each_group(spark, frame, "").collect()]
+    assert sorted(got, key=str) == sorted([rows[0], rows[3], rows[4], rows[6], rows[7]], key=str)
+
+
 def test_buckets_are_those_of_crc32(spark):
     from thawline.llm.common import bucket_of
 
