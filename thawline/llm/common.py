@@ -4,19 +4,28 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from thawline.llm import textbytes as tb
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local one is set only where the session names none (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder of ``spark.checkpoint.dir``, or that of the session's checkpoints.
+
+    Where neither is set, a temporary one in local mode (tests); on a cluster ValueError, since executors don't share
+    local folders.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base:
         return base
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return spark.sparkContext.getCheckpointDir()
 
 
@@ -37,10 +46,48 @@ def bucket_of(column: Column | str, mod: int) -> Column:
     return F.crc32(F.col(column).cast("string") if isinstance(column, str) else column.cast("string")) % mod
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to clash with no column of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n in taken:
+            n = f"_{n}"
+        out.append(n)
+    return out
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def with_fields(df: DataFrame, kept: list[str], ddl: str) -> T.StructType:
-    """The schema of ``kept`` columns of ``df`` and of those in ``ddl``."""
-    return T.StructType([df.schema[c] for c in kept] + T.StructType.fromDDL(ddl).fields)
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many partitions as there are cores, if it has fewer (a file of one row group is one partition).
+
+    Partitions are counted by a query that reads no column.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    held = df.select(F.spark_partition_id().alias("p")).distinct().count()
+    return df.repartition(cores) if 0 < held < cores else df
+
+
+def add_columns(docs: DataFrame, text: str, make: Callable[[pa.Array], list[pa.Array]], ddl: str, keep_text: bool = False) -> DataFrame:
+    """Rows of ``docs`` with the columns of ``ddl`` that ``make`` gives for slices of the text column.
+
+    Other columns stay, whatever their names (``text`` with ``keep_text``); those of the same name as a new one are
+    replaced.
+    """
+    new = T.StructType.fromDDL(ddl)
+    taken = {f.name.lower() for f in new}
+    at = next(i for i, c in enumerate(docs.columns) if c.lower() == text.lower())
+    kept = [i for i, c in enumerate(docs.columns) if (keep_text if i == at else c.lower() not in taken)]
+    others = [i for i in kept if i != at]
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).select(f"c{at}", *[f"c{i}" for i in others])
+    schema = T.StructType([plain.schema[f"c{i}"] for i in kept] + new.fields)
+
+    def work(batches):
+        for big in batches:
+            for batch in tb.slices(big, f"c{at}"):
+                held = [batch.column(batch.schema.get_field_index(f"c{i}")) for i in kept]
+                yield pa.RecordBatch.from_arrays([*held, *make(batch.column(0))], names=schema.names)
+
+    return plain.mapInArrow(work, schema).toDF(*[docs.columns[i] for i in kept], *new.names)
