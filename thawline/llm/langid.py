@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from thawline.llm import textbytes as tb
-from thawline.llm.common import with_fields
+from thawline.llm.common import add_columns
 
 UNDETERMINED = "und"
 
@@ -59,13 +59,14 @@ def learn_profiles(docs: DataFrame, text: str = "text", lang: str = "lang", size
 
     def count(batches):
         held: dict[str, list] = {}
-        for batch in batches:
-            for t, k in zip(batch.column(0), batch.column(1), strict=True):
-                g, n = gram_counts(t.as_py())
-                held.setdefault(k.as_py(), []).append((g, n))
-            for k, parts in held.items():
-                g, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-                held[k] = [(g, np.bincount(at, np.concatenate([p[1] for p in parts]), len(g)).astype(np.int64))]
+        for big in batches:
+            for batch in tb.slices(big, "text"):
+                for t, k in zip(batch.column(0), batch.column(1), strict=True):
+                    g, n = gram_counts(t.as_py())
+                    held.setdefault(k.as_py(), []).append((g, n))
+                for k, parts in held.items():
+                    g, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+                    held[k] = [(g, np.bincount(at, np.concatenate([p[1] for p in parts]), len(g)).astype(np.int64))]
         for k, ((g, n),) in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([k] * len(g), pa.string()), pa.array(g), pa.array(n)], names=["lang", "gram", "n"])
 
@@ -84,9 +85,10 @@ def learn_profiles(docs: DataFrame, text: str = "text", lang: str = "lang", size
 def identify(docs: DataFrame, profiles: DataFrame, text: str = "text", size: int = 400) -> DataFrame:
     """Add ``lang_pred`` and ``score`` to every row; other columns stay, of the same name are replaced.
 
-    ``und`` with score 0 where the text is null or has no letter, or nothing was learned. score: the language's
-    share of the similarities 1 - distance / greatest distance. Ties go to the first language in alphabetical
-    order. The profiles (languages times ``size`` rows) are collected to be sent to the tasks.
+    ``und`` with score 0 where the text is null or has no letter, or nothing was learned; long texts are counted whole.
+    score: the language's share of the similarities 1 - distance / greatest distance. Ties go to the first language in
+    alphabetical order; repeated rows are treated alike; an empty table gives an empty result. The profiles (languages
+    times ``size`` rows) are collected to be sent to the tasks.
     """
     rows = profiles.collect()
     langs = sorted({r["lang"] for r in rows})
@@ -95,12 +97,7 @@ def identify(docs: DataFrame, profiles: DataFrame, text: str = "text", size: int
     at = {g: i for i, g in enumerate(grams.tolist())}
     for r in rows:
         ranks[at[r["gram"]], langs.index(r["lang"])] = r["rank"]
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("lang_pred", "score")])
-    kept = [c for c in docs.columns if c != text]
-    shared = docs.sparkSession.sparkContext.broadcast((langs, grams, ranks))
-
     def one(t: str | None) -> tuple[str, float]:
-        langs, grams, ranks = shared.value
         top = top_grams(t, size) if t and langs else ()
         if not len(top):
             return UNDETERMINED, 0.0
@@ -109,17 +106,11 @@ def identify(docs: DataFrame, profiles: DataFrame, text: str = "text", size: int
         r = ranks[np.where(grams[i] == top, i, len(grams))]
         away = np.where(r < 0, size, np.abs(r - np.arange(len(top))[:, None])).sum(0)
         like = 1 - away / (size * len(top))
-        best = int(np.argmax(like))
+        best = int(np.argmin(away))
         return langs[best], float(like[best] / like.sum()) if like.sum() > 0 else 1 / len(langs)
 
-    def work(batches):
-        for big in batches:
-            for batch in tb.slices(big, text):
-                out = [one(x.as_py()) for x in batch.column(batch.schema.get_field_index(text))]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(batch.schema.get_field_index(c)) for c in kept] + [pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())],
-                    names=[*kept, "lang_pred", "score"],
-                )
-
-    schema = with_fields(docs, kept, "lang_pred string, score double")
-    return docs.select(*[f"`{c}`" for c in kept], f"`{text}`").mapInArrow(work, schema)
+    def make(column: pa.Array) -> list[pa.Array]:
+        out = [one(x.as_py()) for x in column]
+        return [pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())]
+
+    return add_columns(docs, text, make, "lang_pred string, score double")
