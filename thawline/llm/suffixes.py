@@ -22,9 +22,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from thawline.llm import textbytes as tb
-from thawline.llm.common import materialize, shuffle_parts
+from thawline.llm.common import materialize, shuffle_parts, spread
 
 GRAM = 8
+#: Bits of a hash that give way to the place.
+PLACE_BITS = 20
+#: Parts that the copies of a frequent stretch are dealt to.
+SHARES = 8
 
 
 def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
@@ -34,20 +38,23 @@ def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
 def minimisers(h: np.ndarray, doc: np.ndarray, window: int) -> np.ndarray:
     """Places, ascending, of the least 8-gram hash in each ``window`` consecutive 8-grams of a document."""
     g = tb.grams(h, GRAM)
-    n = len(g) - window + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    low = np.uint64((1 << 20) - 1)
-    m = (g & ~low) | (np.arange(len(g), dtype=np.uint64) & low)
-    width = 1
-    while 2 * width <= window:
-        m = np.minimum(m[:-width], m[width:])
-        width *= 2
-    if width < window:
-        m = np.minimum(m[: len(m) - (window - width)], m[window - width :])
-    i = np.flatnonzero(doc[:n] == doc[window + GRAM - 2 : window + GRAM - 2 + n])
-    at = i + (((m[i] & low).astype(np.int64) - i) & int(low))
-    return np.unique(at)
+    low = np.uint64((1 << PLACE_BITS) - 1)
+    most = int(low) + 1 - window  # windows at once, so that places don't wrap and of equal hashes the first is taken
+    found = [np.zeros(0, np.int64)]
+    for a in range(0, len(g) - window + 1, most):
+        part = g[a : a + most + window - 1]
+        n = len(part) - window + 1
+        m = (part & ~low) | np.arange(len(part), dtype=np.uint64)
+        width = 1
+        while 2 * width <= window:
+            m = np.minimum(m[:-width], m[width:])
+            width *= 2
+        if width < window:
+            m = np.minimum(m[: len(m) - (window - width)], m[window - width :])
+        end = a + window + GRAM - 2
+        i = np.flatnonzero(doc[a : a + n] == doc[end : end + n])
+        found.append(a + (m[i] & low).astype(np.int64))
+    return np.unique(np.concatenate(found))
 
 
 def suffixes(docs: DataFrame, least: int, window: int) -> DataFrame:
@@ -157,14 +164,16 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     exclusive. Every span is made of stretches of ``least`` words found in two documents or more; first_doc_id is the
     least id of a document that holds one of them, so a span whose first_doc_id is its own doc_id is a first copy.
     Repeats within one document alone don't count, nor do rows of one doc_id between them. Null, empty and short
-    texts and rows without doc_id have no span. Other columns are left out; an empty table gives an empty result.
+    texts and rows without doc_id have no span; long texts count whole. Other columns are left out, whatever their names;
+    an empty table gives an empty result.
     """
     parts = shuffle_parts(docs.sparkSession)
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
+    docs = spread(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null"))
     places = repeated(materialize(suffixes(docs, least, window), "suffixes"), parts)
     found = materialize(stretches(docs, places, least, window), "stretches")
     shared = found.groupBy("hash").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last")).where("first_doc_id < last").drop("last")
-    kept = found.join(materialize(shared, "shared"), "hash")
+    shared = materialize(shared, "shared").withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SHARES - 1).cast("long"))))
+    kept = found.withColumn("share", F.pmod(F.xxhash64("doc_id"), F.lit(SHARES))).join(shared, ["hash", "share"])
     order = Window.partitionBy("doc_id").orderBy("start")
     kept = kept.withColumn("new", F.coalesce((F.col("start") > F.lag("start").over(order) + least).cast("int"), F.lit(1)))
     kept = kept.withColumn("span", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
