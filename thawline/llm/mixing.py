@@ -1,10 +1,15 @@
 """Mixing sources to target weights by soft membership, in DataFrame functions only.
 
-A naive Bayes classifier, learned from a bounded sample of a labelled table over hashed words, gives each document's
-posterior over domains. Documents get rates (how often each is to be seen) that minimise the squared distance of the
-domains' expected token totals from their targets, sum over documents of rate * tokens * posterior, cut off below at
-the least rate allowed. The rates follow from one multiplier a domain, found by Newton's method: each round is one
-aggregation over all documents, and only the totals and their derivatives, a few numbers, reach the driver.
+A naive Bayes classifier, learned from a bounded sample of a labelled table over hashed words and calibrated on another,
+gives each document's posterior over domains. Documents get rates (how often each is to be seen) that minimise the squared
+distance of the domains' expected token totals from their targets, sum over documents of rate * tokens * posterior, cut
+off below at the least rate allowed.
+
+The search is a projected gradient in its lazy form. By token, the gradient for a document's rate is the sum over domains
+of (total - target) * posterior, so all gradients taken so far are a number a domain, and the rates are the projection
+max(least, first - gradients . posterior). Each round is one aggregation over all documents; only the totals and their
+derivatives, a few numbers, reach the driver. Steps are scaled by those derivatives (a matrix of domains by domains):
+with one step size for all domains strong weights need hundreds to thousands of passes.
 """
 
 from __future__ import annotations
@@ -14,21 +19,22 @@ import warnings
 from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from thawline.llm.common import materialize
+from thawline.llm.common import materialize, spread, unused
 from thawline.llm.decontam import words_of
 
 BUCKETS = 1 << 14
 
 
 class Classifier(NamedTuple):
-    """domains; weights by bucket for each domain but the first (log odds to it); log of the priors."""
+    """domains; weights by bucket for each domain but the first (log odds to it); log of the priors; what the summed weights are multiplied by."""
 
     domains: list[str]
     weights: list[list[float]]
     prior: list[float]
+    scale: float = 1.0
 
 
 def _buckets(words: Column) -> Column:
@@ -36,21 +42,30 @@ def _buckets(words: Column) -> Column:
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, domains: list[str], doc_id: str = "doc_id", text: str = "text", domain: str = "domain", sample: int = 1500, pseudo: float = 5.0
-) -> Classifier:
+    docs: DataFrame, labels: DataFrame, domains: list[str], doc_id: str = "doc_id", text: str = "text", domain: str = "domain",
+    sample: int = 1500, checks: int = 500, pseudo: float = 5.0,
+) -> Classifier:
     """From ``labels`` (doc_id, domain): at most ``sample`` documents a domain, drawn by hash of doc_id, and the counts of all labels.
 
     Rows without id, text or one of ``domains`` are left out. A bucket's weight is the log of its count over what the
-    whole sample would let expect, both raised by ``pseudo``; unseen words weigh nothing.
-    """
+    whole sample would let expect, both raised by ``pseudo``; unseen words weigh nothing. Words aren't independent, so
+    the sum of their weights is too sure: one factor for all texts, of greatest likelihood on ``checks`` further documents
+    a domain (1 where there are none), makes posteriors of it. Where a domain has fewer documents than asked for, they are
+    divided in that proportion.
+    """
     given = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(domain).alias("domain")).dropna().where(F.col("domain").isin(domains)).distinct()
     total = {r["domain"]: r["n"] for r in given.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     prior = [math.log((total.get(d, 0) + 1) / (sum(total.values()) + len(domains))) for d in domains]
-    drawn = given.where("false")
+    place = F.row_number().over(Window.partitionBy("domain").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    drawn = given.withColumn("r", place).where(F.col("r") <= sample + checks)
+    first = F.lit(0)
     for d in domains:
-        drawn = drawn.unionByName(given.where(F.col("domain") == d).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
+        first = F.when(F.col("domain") == d, -(-total.get(d, 0) * sample // (sample + checks)) if total.get(d, 0) < sample + checks else sample).otherwise(first)
+    drawn = drawn.select("doc_id", "domain", (F.col("r") > first).alias("check"))
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("text is not null")
-    words = texts.join(F.broadcast(drawn), "doc_id").select("domain", F.explode(_buckets(words_of(F.col("text")))).alias("b"))
+    held = texts.join(F.broadcast(drawn), "doc_id").select("domain", "check", _buckets(words_of(F.col("text"))).alias("b"))
+    held = materialize(held, "labelled")  # of bounded size
+    words = held.where("not check").select("domain", F.explode("b").alias("b"))
     counts = words.groupBy("b").agg(*[F.sum((F.col("domain") == d).cast("double")).alias(f"c{i}") for i, d in enumerate(domains)])
     counts = materialize(counts, "counts")
     sums = counts.agg(*[F.sum(f"c{i}").alias(f"n{i}") for i in range(len(domains))]).first()
@@ -61,22 +76,42 @@ def fit(
     for r in counts.select("b", *[F.round(x - lean[0], 3) for x in lean[1:]]).collect():  # a row a bucket at most
         for w, x in zip(weights, r[1:], strict=True):
             w[r[0]] = x
-    return Classifier(domains, weights, prior)
-
-
-def with_posteriors(docs: DataFrame, model: Classifier, text: str = "text", most_words: int = 100) -> DataFrame:
-    """Add ``n_tokens`` (words) and ``posterior`` (array, by domain). A text counts as at most ``most_words`` words' evidence.
-
-    Texts without words have the prior.
-    """
-    docs = docs.withColumn("_b", _buckets(words_of(F.col(text)))).withColumn("n_tokens", F.size("_b").cast("long"))
-    share = F.least(F.lit(1.0), F.lit(float(most_words)) / F.greatest(F.col("n_tokens"), F.lit(1)))
+    known = held.where("check").select("domain", *[_added("b", w) for w in weights]).collect() if weights else []  # of bounded size
+    return Classifier(domains, weights, prior, _scale(domains, prior, known))
+
+
+def _scale(domains: list[str], prior: list[float], known: list) -> float:
+    """Factor of the summed weights of greatest likelihood, by halving the interval of its logarithm; 1 without documents of two domains."""
+    y = np.array([domains.index(r[0]) for r in known], int)
+    if len(set(y.tolist())) < 2:
+        return 1.0
+    sums = np.array([[0.0, *r[1:]] for r in known])
+    logs = np.array(prior)
+    weight = (np.exp(logs) / np.maximum(1, np.bincount(y, minlength=len(domains))))[y]
+
+    def slope(scale: float) -> float:
+        z = scale * sums + logs
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        return float((weight * (sums[np.arange(len(y)), y] - (p * sums).sum(1))).sum())
+
+    low, high = math.log(1e-4), math.log(10.0)  # the likelihood is concave in the factor
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if slope(math.exp(mid)) > 0 else (low, mid)
+    return math.exp((low + high) / 2)
+
+
+def with_posteriors(docs: DataFrame, model: Classifier, text: str = "text") -> DataFrame:
+    """Add ``n_tokens`` (words) and ``posterior`` (array, by domain). Texts without words have the prior."""
+    b, x, e = unused(docs, "b", "x", "e")
+    docs = docs.withColumn(b, _buckets(words_of(F.col(f"`{text}`")))).withColumn("n_tokens", F.size(b).cast("long"))
     logits = [F.lit(0.0)]
     for i in range(1, len(model.domains)):
-        logits.append(share * _added("_b", model.weights[i - 1]) + (model.prior[i] - model.prior[0]))
-    docs = docs.withColumn("_l", F.array(*logits))
-    docs = docs.withColumn("_e", F.transform("_l", lambda x: F.exp(x - F.array_max("_l"))))
-    return docs.withColumn("posterior", F.transform("_e", lambda x: x / F.aggregate("_e", F.lit(0.0), lambda s, y: s + y))).drop("_b", "_l", "_e")
+        logits.append(_added(b, model.weights[i - 1]) * model.scale + (model.prior[i] - model.prior[0]))
+    docs = docs.withColumn(x, F.array(*logits))
+    docs = docs.withColumn(e, F.transform(x, lambda y: F.exp(y - F.array_max(x))))
+    return docs.withColumn("posterior", F.transform(e, lambda y: y / F.aggregate(e, F.lit(0.0), lambda s, z: s + z))).drop(b, x, e)
 
 
 def _added(buckets: str, weights: list[float]) -> Column:
@@ -128,10 +163,11 @@ def solve(
 
     The default budget is all tokens, or, with a least rate over 0, so many that no domain has to shrink below it.
     Of all rates that meet the targets these are nearest to the first rate (1, or the least), by squares weighted by
-    tokens: max(least, first - multipliers . posterior). Newton's method with a line search finds the multipliers, a
-    number a domain; each round is one aggregation. A pull on the multipliers keeps the problem solvable where no rates
-    meet the targets. It is lessened until each domain is within ``tolerance`` of its own target, and at last so small
-    that the rates are those of least squared distance. A domain without tokens is left out of the objective.
+    tokens: max(least, first - multipliers . posterior), the multipliers being the gradients taken so far. A round tries
+    some lengths of a step along the gradient, scaled by the totals' derivatives, in one aggregation. A pull on the
+    multipliers keeps the problem solvable where no rates meet the targets. It is lessened until each domain is within
+    ``tolerance`` of its own target, and at last so small that the rates are those of least squared distance. A domain
+    without tokens is left out of the objective.
     ``most_rounds`` only guards against a search that doesn't end; then neither ``met`` nor ``optimal`` holds.
     """
     k, whole = len(weights), sum(weights)
@@ -176,21 +212,26 @@ def solve(
 
 
 def mix(
-    docs: DataFrame, labels: DataFrame, targets: dict[str, float], text: str = "text", budget: float | None = None, least: float = 0.0, unmet: str = "warn", **fitting
-) -> DataFrame:
+    docs: DataFrame, labels: DataFrame, targets: dict[str, float], text: str = "text", budget: float | None = None, least: float = 0.0, unmet: str = "warn",
+    keep_text: bool = True, **fitting,
+) -> DataFrame:
     """Add ``n_tokens``, ``posterior`` (array by sorted domain) and ``rate`` to every row of ``docs``.
 
     targets: domain to weight. Null and empty texts have no tokens, the prior, and a rate like others of that
-    posterior. Columns of the result that ``docs`` has already are replaced; other columns stay; repeated rows get
-    equal rates; empty tables give an empty result. ``report`` tells of the result which token totals were reached
-    against the targets; where a domain isn't within 0.1% of its own, a warning does too, or ValueError is raised with
-    ``unmet="raise"``.
+    posterior; long texts count whole. Columns of the result that ``docs`` has already are replaced; other columns stay,
+    whatever their names (``text`` unless ``keep_text`` is false, which saves classifying the texts again); repeated rows
+    get equal rates, as do texts of equal posteriors; empty tables give an empty result. ``report`` tells of the result
+    which token totals were reached against the targets; where a domain isn't within 0.1% of its own, a warning does too,
+    or ValueError is raised with ``unmet="raise"``.
     """
     domains = sorted(targets)
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_tokens", "posterior", "rate")])
+    docs = spread(docs.drop(*[c for c in docs.columns if c.lower() in ("n_tokens", "posterior", "rate")]))
     model = fit(docs, labels, domains, text=text, **fitting)
-    known = materialize(with_posteriors(docs.select(F.col(text).alias("text")), model).select("n_tokens", "posterior"), "posteriors")
-    plan = solve(known, [targets[d] for d in domains], budget, least)
+    if keep_text:
+        known = materialize(with_posteriors(docs.select(F.col(f"`{text}`").alias("text")), model).select("n_tokens", "posterior"), "posteriors")
+    else:
+        known = materialize(with_posteriors(docs, model, text).drop(text), "posteriors")
+    plan = solve(known.select("n_tokens", "posterior"), [targets[d] for d in domains], budget, least)
     told = {"domains": domains, "reached": plan.reached, "targets": plan.targets, "met": plan.met, "optimal": plan.optimal}
     if not plan.met:
         totals = ", ".join(f"{d} {a:.0f} of {b:.0f}" for d, a, b in zip(domains, plan.reached, plan.targets, strict=True))
@@ -198,7 +239,8 @@ def mix(
         if unmet == "raise":
             raise ValueError(f"token targets not met ({how}): {totals}")
         warnings.warn(f"token targets not met ({how}): {totals}", stacklevel=2)
-    return with_posteriors(docs, model, text).withColumn("rate", rate_of(plan.steps, plan.least).alias("rate", metadata=told))
+    out = with_posteriors(docs, model, text) if keep_text else known
+    return out.withColumn("rate", rate_of(plan.steps, plan.least).alias("rate", metadata=told))
 
 
 def report(mixed: DataFrame) -> dict:
@@ -207,7 +249,13 @@ def report(mixed: DataFrame) -> dict:
 
 
 def drawn(docs: DataFrame, *by: str) -> DataFrame:
-    """Each row floor(rate + u) times, u in [0, 1) from a hash of the columns ``by``; expected copies are the rate."""
+    """Each row floor(rate + u) times, u in [0, 1) from a hash of the columns ``by``; expected copies are the rate.
+
+    Rows of null rate or none are left out. Copies are made by thousands, so that no row becomes a long array.
+    """
     u = F.pmod(F.xxhash64(F.lit("draw"), *by), F.lit(1 << 20)).cast("double") / float(1 << 20)
-    copies = F.floor(F.col("rate") + u).cast("int")
-    return docs.withColumn("_copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>")))).drop("_copy")
+    copies, some, one = unused(docs, "copies", "some", "one")
+    out = docs.withColumn(copies, F.floor(F.col("rate") + u).cast("long")).where(F.col(copies) > 0)
+    out = out.withColumn(some, F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"({copies} - 1) div 1000"))))
+    left = F.least(F.lit(1000).cast("long"), F.col(copies) - F.col(some) * 1000)
+    return out.withColumn(one, F.explode(F.sequence(F.lit(1).cast("long"), left))).drop(copies, some, one)

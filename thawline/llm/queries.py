@@ -36,7 +36,7 @@ def domains_of(labels: DataFrame) -> DataFrame:
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    out = mixing.mix(docs, domains_of(table(spark, sf_dir, "labels")), {"high": 0.95, "low": 0.04, "toxic": 0.01})
+    out = mixing.mix(docs, domains_of(table(spark, sf_dir, "labels")), {"high": 0.95, "low": 0.04, "toxic": 0.01}, keep_text=False)
     p = {f"p_{d}": F.element_at("posterior", i + 1) for i, d in enumerate(("high", "low", "toxic"))}
     return out.withColumns(p).select("doc_id", "source", "n_tokens", *p, "rate", (F.col("rate") * F.col("n_tokens")).alias("expected_tokens"))
 
