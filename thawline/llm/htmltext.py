@@ -15,24 +15,25 @@ from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from thawline.llm import labelled_pages
-from thawline.llm import textbytes as tb
-from thawline.llm.common import with_fields
+from thawline.llm.common import add_columns
 
-MARK = re.compile(
-    r"""<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^"'<>]++|"[^"<]*+"|'[^'<]*+')*+|[^>]*+)>|[!?][^>]*+>)""", re.DOTALL
-)
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)")
+PLAIN = re.compile(r"""[^"'<>]*+""")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|data-y)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split()
+    "a abbr acronym audio b bdi bdo big canvas cite code data del dfn em font i ins kbd map mark math object picture q rp rt ruby s samp small span strike strong sub sup svg "
+    "time tt u var video".split()
 )
-RAW = frozenset("script style noscript template svg math title textarea iframe object head".split())
+#: Elements whose text is no markup and isn't shown, and math's second notation.
+RAW = frozenset("script style textarea title iframe noembed noframes annotation annotation-xml".split())
 CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()
 )
+TABLE_PARTS = frozenset("table caption tbody thead tfoot tr td th".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ALIKE = 6
 #: An opening tag ends these elements if one is open, up to the named bounds.
 ENDS = {
@@ -45,7 +46,7 @@ WORD_GROUPS = (
     ("edge", "header masthead head footer foot copyright colophon bottom"),
     ("side", "sidebar aside rail related widget widgets links tags share social recommended complementary contentinfo"),
     ("notice", "cookie cookies consent notice notices gdpr popup modal overlay alert legal disclaimer subscribe newsletter signup login search"),
-    ("talk", "comment comments reply replies respond discussion disqus feedback"),
+    ("talk", "comment comments commentlist reply replies respond response responses discussion disqus feedback"),
     ("main", "content article main post entry story body text page wrapper container"),
 )
 _WORDS = {w: g for g, ws in reversed(WORD_GROUPS) for w in ws.split()}
@@ -60,25 +61,58 @@ class Tree(NamedTuple):
     pieces: list[tuple[int, int, str]]
 
 
-def parse(page: str) -> Tree:
-    """Elements of a page with the usual implied ends; never fails. References are decoded in pieces of text."""
-    parent, tag, words, label, size, linked = [-1], ["#root"], [()], [1], [0], [0]
-    stack: list[tuple[str, int]] = [("#root", 0)]  # open elements and their nodes; inline ones have their parent's
+def _tag_end(page: str, at: int, failed: set[int]) -> int:
+    """Place of the ">" that ends a tag, quoted values skipped, or, if quotes don't close, of the first one; -1 if there is none.
+
+    ``failed``: openings of quotes from which no end was found, so that each is tried once a page.
+    """
+    tried, p = [], at
+    while True:
+        p = PLAIN.match(page, p).end()
+        c = page[p : p + 1]
+        if c == ">":
+            return p
+        to = -1 if c in ("", "<") or p in failed else page.find(c, p + 1)
+        if to < 0:
+            failed.update(tried, [p])
+            return page.find(">", at)
+        tried.append(p)
+        p = to + 1
+
+
+def parse(page: str, labelled: bool = False) -> Tree:
+    """Elements of a page with the usual implied ends; never fails, in time linear in the page's length.
+
+    References are decoded in pieces of text. ``labelled``: take labels from ``data-y`` attributes of 0 and 1.
+    """
+    parent, tag, words, label, size, linked, within = [-1], ["#root"], [()], [1], [0], [0], [False]
+    stack: list[tuple[str, int, bool]] = [("#root", 0, False)]  # open elements, their nodes (inline: the parent's), whether inline
+    where: dict[str, list[int]] = {}  # places in the stack by name
+    blocks = [0]  # those of elements that aren't inline
     pieces: list[tuple[int, int, str]] = []
-    links, block, at, n = 0, 0, 0, len(page)
+    failed: set[int] = set()
+    links, foreign, block, at, n = 0, 0, 0, 0, len(page)
+    last = page.rfind(">")
+
+    def leave(name: str, inline: bool) -> None:
+        nonlocal links, foreign, block
+        where[name].pop()
+        links -= name == "a"
+        foreign -= name in ("math", "svg")
+        block += not inline
 
     def close(names, bounds=()) -> bool:
-        nonlocal links, block
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in names:
-                for name, _ in stack[i:]:
-                    links -= name == "a"
-                    block += name not in INLINE
-                del stack[i:]
-                return True
-            if stack[i][0] in bounds:
-                return False
-        return False
+        """End the innermost open element of one of ``names`` and all in it, unless one of ``bounds`` is open in it."""
+        i = max((where[x][-1] for x in names if where.get(x)), default=0)
+        if not i or any(where[x][-1] > i for x in bounds if where.get(x)):
+            return False
+        while len(stack) > i:
+            name, _, inline = stack.pop()
+            if not inline:
+                blocks.pop()
+            if name:
+                leave(name, inline)
+        return True
 
     def say(raw: str) -> None:
         if raw and not raw.isspace():
@@ -90,26 +124,46 @@ def parse(page: str) -> Tree:
         elif raw and pieces and pieces[-1][1] == block:
             pieces.append((stack[-1][1], block, " "))
 
-    while at < n:
-        m = MARK.search(page, at)
-        if m is None:
-            say(page[at:])
+    text_from = 0
+    while True:
+        at = page.find("<", at)
+        if at < 0 or at > last:
+            say(page[text_from:])
             break
-        say(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        m = NAME.match(page, at + 1)
+        if not m and page[at + 1 : at + 2] not in ("!", "?"):
+            at += 1  # a "<" of the text
+            continue
+        say(page[text_from:at])
+        if not m:
+            end = page.find("-->", at + 4) if page.startswith("<!--", at) else page.find(">", at)
+            if end < 0:
+                break
+            at = text_from = end + (3 if page.startswith("-->", end) and page.startswith("<!--", at) else 1)
+            continue
+        name, end = m[2].lower(), _tag_end(page, m.end(), failed)
+        rest, at = page[m.end() : end], end + 1
+        text_from = at
+        if name == "head":
             continue
-        name = m[2].lower()
         if m[1]:
-            if name == "p" or not close({name}):
-                close({name})
+            i = where[name][-1] if where.get(name) else 0
+            if i and stack[i][2] and blocks[-1] > i:  # an inline element that a block began in: the block goes on
+                leave(name, True)
+                stack[i] = ("", stack[i][1], True)
+            elif name not in TABLE_PARTS:
+                close((name,), ("td", "th", "caption"))
+            elif not close((name,), () if name == "table" else ("table",)) or name == "p":
+                pass
+            block += name == "p" and not i
             continue
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(page, at)
-            if not m[3].endswith("/"):
-                if name == "head" and end is None:
-                    end = re.compile(r"(?=<body[\s>])", re.IGNORECASE).search(page, at) or re.compile("").match(page, at)
-                at = end.end() if end else n
+            if not rest.endswith("/"):
+                m = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.IGNORECASE).search(page, at)
+                end = page.find(">", m.end()) if m else -1
+                if end < 0:
+                    break
+                at = text_from = end + 1
             continue
         if name == "br":
             say(" ") if not pieces else pieces.append((stack[-1][1], block, " "))
@@ -117,35 +171,44 @@ def parse(page: str) -> Tree:
         if name in VOID:
             block += name == "hr"
             continue
-        if name in CLOSES_P:
-            close({"p"}, {"td", "th", "button", "table"})
-        if name in ENDS:
-            close(*ENDS[name])
-        if name in INLINE:
+        inline = name in INLINE or foreign > 0
+        if not foreign:
+            if name in CLOSES_P:
+                close(("p",), ("td", "th", "caption", "button"))
+            if name in ENDS:
+                close(*ENDS[name])
+        node = stack[-1][1]
+        if not inline:
+            block += 1
+            node, up = len(parent), node
+            found, y = set(), label[up]
+            if "=" in rest:
+                for a in ATTRIBUTE.finditer(rest):
+                    value = a[2] or a[3] or a[4] or ""
+                    if a[1].lower() != "data-y":
+                        found.update(_WORDS[w] for w in re.split(r"[^a-z]+", value.lower()) if w in _WORDS)
+                    elif labelled and value in ("0", "1"):
+                        y = int(value)
+            inside = within[up] or tag[up] == "article"
+            parent.append(up), tag.append(name), words.append(tuple(sorted(found))), label.append(y), size.append(0), linked.append(0), within.append(inside)
+        if not rest.endswith("/"):
             links += name == "a"
-            stack.append((name, stack[-1][1]))
-            continue
-        block += 1
-        node, up = len(parent), stack[-1][1]
-        found, y = set(), label[up]
-        if "=" in m[3]:
-            for a in ATTRIBUTE.finditer(m[3]):
-                value = a[2] or a[3] or a[4] or ""
-                if a[1].lower() == "data-y":
-                    y = int(value)
-                else:
-                    found.update(_WORDS[w] for w in re.split(r"[^a-z]+", value.lower()) if w in _WORDS)
-        parent.append(up), tag.append(name), words.append(tuple(sorted(found))), label.append(y), size.append(0), linked.append(0)
-        if not m[3].endswith("/"):
-            stack.append((name, node))
-    whole, links_below = size[:], linked[:]
+            foreign += name in ("math", "svg")
+            where.setdefault(name, []).append(len(stack))
+            if not inline:
+                blocks.append(len(stack))
+            stack.append((name, node, inline))
+    whole, links_below, follows, last_child = size[:], linked[:], [0] * len(parent), [0] * len(parent)
     for i in range(len(parent) - 1, 0, -1):
         whole[parent[i]] += whole[i]
         links_below[parent[i]] += links_below[i]
-    features = [
-        (f"tag={tag[i]}", *(f"word={w}" for w in words[i]), f"links={min(3, 4 * links_below[i] // max(1, whole[i]))}", f"own={min(4, size[i].bit_length() // 2)}")
-        for i in range(len(parent))
-    ]
+        follows[i], last_child[parent[i]] = last_child[parent[i]], i
+    features = []
+    for i in range(len(parent)):
+        own = [f"tag={tag[i]}{' of article' if tag[i] == 'header' and within[i] else ''}", *(f"word={w}" for w in words[i])]
+        if tag[i] in HEADINGS and "talk" in words[follows[i]]:
+            own.append("next=talk")
+        features.append((*own, f"links={min(3, 4 * links_below[i] // max(1, whole[i]))}", f"own={min(4, size[i].bit_length() // 2)}"))
     return Tree(parent, features, label, pieces)
 
 
@@ -163,7 +226,7 @@ def train(pages: list[str], smoothing: float = 0.5) -> Model:
     """
     seen, number = [Counter() for _ in range(4)], [0] * 4
     for page in pages:
-        t = parse(page)
+        t = parse(page, labelled=True)
         for i in range(1, len(t.parent)):
             k = 2 * t.label[t.parent[i]] + t.label[i]
             number[k] += 1
@@ -173,7 +236,7 @@ def train(pages: list[str], smoothing: float = 0.5) -> Model:
     names = {f for c in seen for f in c}
     values = Counter(f.split("=")[0] for f in names)
     like = {
-        f: tuple((seen[k][f] + smoothing) / (number[k] + smoothing * (2 if f.startswith("word=") else values[f.split("=")[0]])) for k in range(4))
+        f: tuple((seen[k][f] + smoothing) / (number[k] + smoothing * (2 if f.startswith(("word=", "next=")) else values[f.split("=")[0]])) for k in range(4))
         for f in names
     }
     return Model(like, edge)
@@ -235,24 +298,17 @@ def main_text(page: str | None, model: Model) -> str:
 
 
 def extract(pages: DataFrame, html: str = "html", model: Model | None = None) -> DataFrame:
-    """Add ``text`` (main text, empty if none) and ``n_chars`` (its code points); other columns but ``html`` stay.
+    """Add ``text`` (main text, empty if none) and ``n_chars`` (its code points); other columns but ``html`` stay, whatever their names.
 
     White space inside a block becomes one space, blocks are joined by two line feeds. Null and empty pages have
-    empty text. Columns of the result that ``pages`` has already are replaced; repeated rows are treated alike; an
-    empty table gives an empty result. The default model is trained from this library's labelled pages.
+    empty text; long ones are read whole. Columns of the result that ``pages`` has already are replaced; nodes at a
+    probability of exactly 0.5 are content; repeated rows are treated alike; an empty table gives an empty result. The
+    default model is trained from this library's labelled pages.
     """
     model = model or train(labelled_pages.pages())
-    pages = pages.drop(*[c for c in pages.columns if c.lower() in ("text", "n_chars") and c != html])
-    source = pages.withColumnRenamed(html, "_html")
-    kept = [c for c in source.columns if c != "_html"]
-
-    def work(batches):
-        for big in batches:
-            for batch in tb.slices(big, "_html"):
-                out = [main_text(x.as_py(), model) for x in batch.column(batch.schema.get_field_index("_html"))]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(batch.schema.get_field_index(c)) for c in kept] + [pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())],
-                    names=[*kept, "text", "n_chars"],
-                )
-
-    return source.select(*[F.col(f"`{c}`") for c in kept], "_html").mapInArrow(work, with_fields(source, kept, "text string, n_chars long"))
+
+    def make(column: pa.Array) -> list[pa.Array]:
+        out = [main_text(x.as_py(), model) for x in column]
+        return [pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())]
+
+    return add_columns(pages, html, make, "text string, n_chars long")
