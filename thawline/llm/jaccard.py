@@ -11,6 +11,7 @@ order of set size:
    overlap), leave pairs that are verified on their whole sets.
 2. Runs of more than two rows that still hold several components give the other pairs across components, each row
    outside the run's most frequent component with the rest. These are all pairs that can still change a component.
+   Where many rows are outside, they are dealt to several tasks, each with a copy of the rest.
 
 So no link between components is lost, no pair is verified twice, and a group of copies never gives all its pairs.
 A frequent shingle's run is dealt to several tasks by salt; its first row over all tasks is found by aggregation, and
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thawline.llm import textbytes as tb
-from thawline.llm.common import materialize, shuffle_parts
+from thawline.llm.common import materialize, shuffle_parts, spread
 from thawline.llm.components import components
 
 SKETCH_BITS = 22
@@ -35,6 +36,8 @@ BLOCK_BITS = 16
 RANGES = 64
 #: Rows of a run that one task gets, by the sketch.
 RUN_ROWS = 1000
+#: Parts that the rows of a frequent shingle are dealt to where they meet its first row.
+SHARES = 16
 _SEEN = 1 << 20
 
 
@@ -59,19 +62,31 @@ def shingle_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return g, np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=rows))))
 
 
-def signatures(g: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A number for each row's set, the same whenever the set is; collisions are as rare as those of 64-bit hashes."""
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(tb.mix(g ^ np.uint64(0xA5A5A5A5A5A5A5A5)), dtype=np.uint64)))
+def _signature(g: np.ndarray, offsets: np.ndarray, seed: int) -> np.ndarray:
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(tb.mix(g ^ np.uint64(seed)), dtype=np.uint64)))
     n = np.diff(offsets).astype(np.uint64)
     return tb.mix((sums[offsets[1:]] - sums[offsets[:-1]]) ^ (n << np.uint64(32))).view(np.int64)
 
 
+def signatures(g: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit numbers for each row's set, the same whenever the set is."""
+    return _signature(g, offsets, 0xA5A5A5A5A5A5A5A5), _signature(g, offsets, 0x3C6EF372FE94F82B)
+
+
+def _resolved(g: np.ndarray, offsets: np.ndarray, shared: list[int]) -> np.ndarray:
+    """The first number, or the second where unlike sets share the first."""
+    sig, other = signatures(g, offsets)
+    return np.where(np.isin(sig, shared), other, sig) if shared else sig
+
+
 def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
 def describe(docs: DataFrame, k: int) -> DataFrame:
-    """A row (doc_id, n, sig) a document, and a task's counts of shingles by hash range (block, part, data)."""
+    """A row (doc_id, n, sig, other) a document, and a task's counts of shingles by hash range (block, part, data)."""
+
+    names = ["doc_id", "n", "sig", "other", "block", "part", "data"]
 
     def work(batches):
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
@@ -82,22 +97,18 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
                 n = np.diff(offsets)
                 rows = len(n)
                 none = lambda t: pa.nulls(rows, t)  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays(
-                    [_column(batch, "doc_id"), pa.array(n), pa.array(signatures(g, offsets), mask=n == 0), none(pa.int32()), none(pa.int32()), none(pa.binary())],
-                    names=["doc_id", "n", "sig", "block", "part", "data"],
-                )
+                told = [pa.array(x, mask=n == 0) for x in signatures(g, offsets)]
+                yield pa.RecordBatch.from_arrays([_column(batch, "doc_id"), pa.array(n), *told, none(pa.int32()), none(pa.int32()), none(pa.binary())], names=names)
         part = TaskContext.get().partitionId()
         blocks = counts.reshape(-1, 1 << BLOCK_BITS)
         used = np.flatnonzero(blocks.any(1))
         data = [_pack(blocks[b]) for b in used]
         m = len(used)
         if m:
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(used, pa.int32()), pa.array([part] * m, pa.int32()), pa.array(data, pa.binary())],
-                names=["doc_id", "n", "sig", "block", "part", "data"],
-            )
+            none = pa.nulls(m, pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(used, pa.int32()), pa.array([part] * m, pa.int32()), pa.array(data, pa.binary())], names=names)
 
-    return docs.mapInArrow(work, "doc_id long, n long, sig long, block int, part int, data binary")
+    return docs.mapInArrow(work, "doc_id long, n long, sig long, other long, block int, part int, data binary")
 
 
 def _pack(counts: np.ndarray) -> bytes:
@@ -135,10 +146,11 @@ def sketch(described: DataFrame) -> np.ndarray:
     return np.minimum(out.ravel(), np.iinfo(np.uint32).max).astype(np.uint32)
 
 
-def prefixes(docs: DataFrame, counts: np.ndarray, k: int, num: int, den: int) -> DataFrame:
-    """Rows (token, salt, own, sig, n, pos) of every set's prefix; equal sets of a task once. own: its rare shingles."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
-    usual = float(np.median(counts))
+def prefixes(docs: DataFrame, shared, usual: float, k: int, num: int, den: int, doubtful: list[int]) -> DataFrame:
+    """Rows (token, salt, own, sig, n, pos) of every set's prefix; equal sets of a task once. own: its rare shingles.
+
+    shared: the sketch's counts, broadcast; usual: their median.
+    """
     rare = usual + max(2, 6 * usual**0.5)
     hot = usual + max(RUN_ROWS, 6 * usual**0.5)
 
@@ -147,7 +159,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray, k: int, num: int, den: int) ->
         for big in batches:
             for batch in tb.slices(big, "text"):
                 g, offsets = shingle_sets(_column(batch, "text"), k)
-                sig, n = signatures(g, offsets), np.diff(offsets)
+                sig, n = _resolved(g, offsets, doubtful), np.diff(offsets)
                 df = counts[g >> np.uint64(64 - SKETCH_BITS)]
                 doc = np.repeat(np.arange(len(n)), n)
                 own = np.bincount(doc[df <= rare], minlength=len(n))
@@ -234,7 +246,7 @@ def _with_end(batches):
     yield None
 
 
-def candidate_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+def candidate_sets(docs: DataFrame, ids: DataFrame, k: int, doubtful: list[int]) -> DataFrame:
     """(sig, n, sizes of hash ranges, text compressed) of the documents with ``ids``; compressed texts are what is shuffled."""
 
     def pack(batches):
@@ -252,7 +264,7 @@ def candidate_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
                 doc = np.repeat(np.arange(len(n)), n)
                 sizes = np.bincount(doc * RANGES + (g >> np.uint64(58)).astype(np.int64), minlength=len(n) * RANGES)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * RANGES), pa.array(sizes, pa.int32()))
-                out = [pa.array(signatures(g, offsets)), pa.array(n, pa.int32()), lists, _column(batch, "packed")]
+                out = [pa.array(_resolved(g, offsets, doubtful)), pa.array(n, pa.int32()), lists, _column(batch, "packed")]
                 yield pa.RecordBatch.from_arrays(out, names=["sig", "n", "sizes", "packed"]).filter(pa.array(n > 0))
 
     texts = docs.select("doc_id", "text").mapInArrow(pack, "doc_id long, packed binary")
@@ -298,40 +310,53 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     or the text's word sequence if it has fewer; null, empty and blank texts have none and link with nothing. Two
     documents link when den * intersection >= num * union. component_id: least doc_id reachable by links, itself
     included. A repeated doc_id stands for each of its rows, which keep their own sets. A row without doc_id takes
-    the component of an equal set, if there is one, else null, and carries no links on. Other columns are left
-    out; an empty table gives an empty result.
+    the component of an equal set, if there is one, else null, and carries no links on. Long texts count whole. Sets
+    are known by two 64-bit numbers, shingles by one. Other columns are left out, whatever their names; an empty table
+    gives an empty result.
     """
     parts = shuffle_parts(docs.sparkSession)
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    docs = spread(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
     named = docs.where("doc_id is not null")
     described = materialize(describe(docs, k), "sets")
-    rows = described.where("block is null").select("doc_id", "n", "sig")
-    classes = materialize(
-        rows.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")), "classes"
-    )
-    live = materialize(runs(prefixes(named, sketch(described), k, num, den), num, den, parts), "runs")
+    rows = described.where("block is null").select("doc_id", "n", "sig", "other")
+    least = [F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), (F.min("other") < F.max("other")).alias("doubtful")]
+    classes = materialize(rows.where("sig is not null").groupBy("sig").agg(*least), "classes")
+    # unlike sets of one number, of 10^11 sets some hundreds: those are known by their second number
+    doubtful = sorted(r["sig"] for r in classes.where("doubtful").select("sig").collect())
+    rows = rows.withColumn("sig", F.when(F.col("sig").isin(doubtful), F.col("other")).otherwise(F.col("sig"))).drop("other") if doubtful else rows.drop("other")
+    if doubtful:
+        classes = materialize(rows.where("sig is not null").groupBy("sig").agg(*least[:2]), "classes")
+    classes = classes.where("rep is not null").select("sig", "rep", "last")
+    counts = sketch(described)
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
+    live = materialize(runs(prefixes(named, shared, float(np.median(counts)), k, num, den, doubtful), num, den, parts), "runs")
+    shared.destroy()
 
     # the first row of a frequent shingle's run over all its tasks
-    dealt = live.where("not whole")
-    lead = dealt.groupBy("token").agg(F.min(F.struct("own", "n", "sig", "pos")).alias("lead"))
+    dealt = live.where("not whole").withColumn("share", F.pmod(F.col("sig"), F.lit(SHARES)))
+    lead = materialize(dealt.groupBy("token").agg(F.min(F.struct("own", "n", "sig", "pos")).alias("lead")), "lead")
+    lead = lead.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SHARES - 1).cast("long"))))
     ok = f"{den} * least(n, lead.n) >= {num} * greatest(n, lead.n) and {den + num} * least(n - pos, lead.n - lead.pos) >= {num} * (n + lead.n)"
-    led = dealt.join(lead, "token").where(f"sig <> lead.sig and {ok}").select("sig", F.col("lead.sig").alias("other"))
+    led = dealt.join(lead, ["token", "share"]).where(f"sig <> lead.sig and {ok}").select("sig", F.col("lead.sig").alias("other"))
     pairs = live.select("sig", F.explode(F.array("before", "head")).alias("other")).where("other is not null").unionByName(led)
     pairs = materialize(pairs.select(*_ordered("sig", "other")).distinct(), "pairs")
     sigs = lambda p: p.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
     ids = lambda s: s.join(classes, "sig").select(F.col("rep").alias("doc_id")).distinct()
-    sets = materialize(candidate_sets(named, ids(sigs(pairs)), k), "candidates")
+    sets = materialize(candidate_sets(named, ids(sigs(pairs)), k, doubtful), "candidates")
     links = materialize(verify(pairs, sets, k, num, den), "links")
     one = components(_by_rep(links, classes))
 
     label = classes.join(one.withColumnRenamed("node", "rep"), "rep", "left").select("sig", F.coalesce("component", "rep").alias("label"))
     rest = live.where("size > 2 or not whole").select("token", "sig", "n", "pos").distinct().join(label, "sig")
     by_label = rest.groupBy("token", "label").agg(F.count("*").alias("m"))
-    mixed = by_label.groupBy("token").agg(F.max_by("label", "m").alias("main"), F.count("*").alias("labels")).where("labels > 1")
-    open_rows = materialize(rest.join(mixed.select("token", "main"), "token"), "open")
-    x, y = open_rows.where("label <> main").alias("x"), open_rows.alias("y")
+    mixed = by_label.groupBy("token").agg(F.max_by("label", "m").alias("main"), F.max("m").alias("most"), F.sum("m").alias("m"), F.count("*").alias("labels"))
+    shares = F.ceil((F.col("m") - F.col("most")) / RUN_ROWS).alias("shares")  # tasks that a run's rows outside its main component are dealt to
+    mixed = materialize(mixed.where("labels > 1").select("token", "main", shares), "mixed")
+    open_rows = materialize(rest.join(mixed, "token"), "open")
+    x = open_rows.where("label <> main").withColumn("share", F.pmod(F.xxhash64("sig"), F.col("shares"))).alias("x")
+    y = open_rows.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1))).alias("y")
     both = F.expr(
-        f"x.token = y.token and x.label <> y.label and {den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n) "
+        f"x.token = y.token and x.share = y.share and x.label <> y.label and {den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n) "
         f"and {den + num} * least(x.n - x.pos, y.n - y.pos) >= {num} * (x.n + y.n)"
     )
     more = x.join(y, both).select(*_ordered("x.sig", "y.sig")).distinct()
@@ -339,7 +364,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     if not more.isEmpty():
         missing = materialize(sigs(more).join(sets, "sig", "left_anti"), "missing")
         if not missing.isEmpty():
-            sets = sets.unionByName(materialize(candidate_sets(named, ids(missing), k), "candidates"))
+            sets = sets.unionByName(materialize(candidate_sets(named, ids(missing), k, doubtful), "candidates"))
         links = links.unionByName(materialize(verify(more, sets, k, num, den), "links"))
         one = components(_by_rep(links, classes))
 
