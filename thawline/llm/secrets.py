@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from thawline.llm import textbytes as tb
-from thawline.llm.common import with_fields
+from thawline.llm.common import add_columns
 
 #: The base patterns, and the least length of what they match.
 ASSIGN = re.compile(
@@ -92,41 +92,30 @@ def scan_secrets(
     min_run: int = 20,
     max_ratio: float = 2.0,
 ) -> DataFrame:
-    """Add the spans of secrets in ``text`` to every row of ``docs``; other columns stay.
+    """Add the spans of secrets in ``text`` to every row of ``docs``; other columns stay, whatever their names.
 
-    Null and empty texts have no spans. Columns of the result that ``docs`` has already are replaced. Repeated rows
-    and ties are treated alike; an empty table gives an empty result. ``vocabulary``: a file of tiktoken ranks.
+    Null and empty texts have no spans; long ones are searched whole. Columns of the result that ``docs`` has already
+    are replaced. Repeated rows are treated alike, spans of equal start are listed in the order of kinds; an empty table
+    gives an empty result. ``vocabulary``: a file of tiktoken ranks.
     """
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    names = ["n_assign", "n_access", "n_hex", "n_random", "base_sha256", "spans", "found"]
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in names])
-    kept = [c for c in docs.columns if c != text]
     none = hashlib.sha256(b"").hexdigest()
 
-    def work(batches):
-        for big in batches:
-            for batch in tb.slices(big, text):
-                column = batch.column(batch.schema.get_field_index(text))
-                data, offsets = tb.buffers(column)
-                rows = np.flatnonzero(suspects(data, offsets, min_run))
-                found: list[list] = [[] for _ in range(batch.num_rows)]
-                for r in rows:
-                    found[r] = find(column[int(r)].as_py() or "", path, min_run, max_ratio)
-                told = [[f"{k}:{a}:{b}" for k, a, b, _ in x] for x in found]
-                base = [[s for s in x if not s.startswith("random")] for x in told]
-                count = lambda kind: [sum(y[0] == kind for y in x) for x in found]  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(batch.schema.get_field_index(c)) for c in kept]
-                    + [pa.array(count(k), pa.int64()) for k in KINDS]
-                    + [
-                        pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() if x else none for x in base]),
-                        pa.array([",".join(x) for x in told]),
-                        pa.array(
-                            [[{"kind": k, "start": a, "end": b, "chars_per_token": r} for k, a, b, r in x] for x in found],
-                            pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("chars_per_token", pa.float64())])),
-                        ),
-                    ],
-                    names=[*kept, *names],
-                )
-
-    return docs.select(*[f"`{c}`" for c in kept], f"`{text}`").mapInArrow(work, with_fields(docs, kept, SCHEMA))
+    def make(column: pa.Array) -> list[pa.Array]:
+        data, offsets = tb.buffers(column)
+        found: list[list] = [[] for _ in range(len(column))]
+        for r in np.flatnonzero(suspects(data, offsets, min_run)):
+            found[r] = find(column[int(r)].as_py() or "", path, min_run, max_ratio)
+        told = [[f"{k}:{a}:{b}" for k, a, b, _ in x] for x in found]
+        base = [[s for s in x if not s.startswith("random")] for x in told]
+        return [
+            *[pa.array([sum(y[0] == kind for y in x) for x in found], pa.int64()) for kind in KINDS],
+            pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() if x else none for x in base], pa.string()),
+            pa.array([",".join(x) for x in told], pa.string()),
+            pa.array(
+                [[{"kind": k, "start": a, "end": b, "chars_per_token": r} for k, a, b, r in x] for x in found],
+                pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("chars_per_token", pa.float64())])),
+            ),
+        ]
+
+    return add_columns(docs, text, make, SCHEMA)
