@@ -9,6 +9,7 @@ skips stripes and row groups by that metadata alone.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from itertools import chain
@@ -38,9 +39,15 @@ def _splits(seg: np.ndarray) -> np.ndarray:
     return out
 
 
+#: What a tokenizer's file says where texts can be encoded piece by piece.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+
+
 class _Encoder:
     """Encodes texts piece by piece. The tokenizer never joins over white space, nor where ``_splits`` does, and
     lower-cases, so that equal pieces have equal ids and are encoded once. Pieces are known by their 64-bit hash.
+    Tokenizers that don't say so in their file encode whole texts.
     """
 
     def __init__(self, path: str):
@@ -48,6 +55,13 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        kind, model = told.get("pre_tokenizer") or {}, told.get("model") or {}
+        self.by_piece = (
+            told.get("normalizer") == NORMALIZER and (kind.get("pretokenizers") or [kind])[0] == SPLIT
+            and model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout")
+        )
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
@@ -89,6 +103,9 @@ class _Encoder:
 
     def encode(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of each text's with its end id."""
+        if not self.by_piece:
+            got = [[*self.tokenizer.encode(x.as_py() or "", add_special_tokens=False).ids, end_id] for x in column]
+            return np.fromiter(chain.from_iterable(got), np.int32), np.array([len(x) for x in got], np.int64)
         if len(self.keys) > CACHE_PIECES:
             self.forget()
         data, offsets = tb.buffers(column)
@@ -147,8 +164,9 @@ def write_tokens(
     """Encode every text (null: empty), append ``end_id``, write ORC under ``path``.
 
     Documents are dealt to shards by range of doc_id, so that a shuffle of the texts is the only one, and sorted by
-    doc_id within (null first; rows of equal doc_id by text). Other columns are left out. An empty table gives a
-    file set without rows. ``tokenizer``: a file of the tokenizers library.
+    doc_id within (null first; rows of equal doc_id by text). Long texts are encoded whole. Other columns are left out,
+    whatever their names. An empty table gives a file set without rows. ``tokenizer``: a file of the tokenizers library;
+    the lower-casing one with word ends is fast, others encode text by text.
     """
     file = tokenizer or public_tokenizers.path("word_bpe_49k.json")
     shards = shards or shuffle_parts(docs.sparkSession)
