@@ -70,8 +70,11 @@ def test_jaccard_components(spark, docs, monkeypatch):
             if a < b and both and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
                 x, y = sorted((root(a), root(b)))
                 group[y] = x
-    for run_rows in (1000, 3):
+    plain = jaccard._signature
+    for run_rows, bits in ((1000, -1), (3, -1), (1000, 7)):
         monkeypatch.setattr(jaccard, "RUN_ROWS", run_rows)
+        # of few bits: unlike sets share their first number
+        monkeypatch.setattr(jaccard, "_signature", lambda g, o, seed, bits=bits: plain(g, o, seed) & (bits if seed == 0xA5A5A5A5A5A5A5A5 else -1))
         got = jaccard.jaccard_components(frame).toPandas()
         assert len(got) == len(rows) + 3
         known = got.dropna(subset=["doc_id"]).drop_duplicates()
@@ -116,7 +119,24 @@ def test_repeated_passages(spark, docs):
     assert suffixes.repeated_passages(frame.where("false")).count() == 0
 
 
-def test_decontamination(spark):
+def test_first_of_equal_minimisers_is_taken_in_long_texts(monkeypatch):
+    monkeypatch.setattr(suffixes, "PLACE_BITS", 6)
+    rng = np.random.RandomState(5)
+    for size in (30, 63, 64, 65, 500):
+        h = rng.randint(0, 4, size).astype(np.uint64)  # many equal 8-grams
+        h[size // 2 :] = 3
+        doc = np.sort(rng.randint(0, 3, size))
+        g = suffixes.tb.grams(h, suffixes.GRAM) & ~np.uint64(63)
+        expect = set()
+        for i in range(len(g) - 11):
+            if doc[i] == doc[i + 12 + suffixes.GRAM - 2]:
+                expect.add(i + int(np.argmin(g[i : i + 12])))
+        assert suffixes.minimisers(h, doc, 12).tolist() == sorted(expect)
+
+
+@pytest.mark.parametrize("places", [1 << 24, 16])
+def test_decontamination(spark, monkeypatch, places):
+    monkeypatch.setattr(decontam, "PLACES", places)  # places of long texts are known modulo this
     rng = random.Random(2)
     items = [(1, prose(rng, 30)), (2, prose(rng, 12)), (3, "three word Item"), (4, "b7"), (5, None), (6, "--"), (None, prose(rng, 15)), (7, prose(rng, 11)), (70, "e1 e2 e3 e4 e5 e6")]
     long = prose(rng, 500)
@@ -149,22 +169,47 @@ def test_top_k(spark):
     v = rng.randn(300, 8).round(2)
     v[50:120] = v[50]
     rows = [(i, [float(x) for x in r], "a") for i, r in enumerate(v)]
-    rows += [(400, None, "a"), (401, [float("nan")] * 8, "a"), (402, [1.0, None] + [0.0] * 6, "a"), (403, [1.0, 2.0], "a"), (404, [], "a"), (405, [float("inf")] * 8, "a"), (None, [0.5] * 8, "a"), rows[3]]
+    more = {403: [1.0, 2.0], 404: []}  # shorter ones count as padded by zeros
+    rows += [(400, None, "a"), (401, [float("nan")] * 8, "a"), (402, [1.0, None] + [0.0] * 6, "a"), (405, [float("inf")] * 8, "a"), (None, [0.5] * 8, "a"), rows[3]]
+    rows += [(i, x, "a") for i, x in more.items()]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, cell string")
-    q = np.floor(64 * v).astype(int)
+    q = {i: np.floor(64 * x).astype(int) for i, x in enumerate(v)} | {i: np.floor(64 * np.array([*x, *[0.0] * (8 - len(x))])).astype(int) for i, x in more.items()}
     expect = []
-    for i in range(0, 300, 20):
-        s = sorted((-int(q[i] @ q[j]), j) for j in range(300) if j != i)[:20]
+    for i in (*range(0, 300, 20), 403, 404):
+        s = sorted((-int(q[i] @ q[j]), j) for j in q if j != i)[:20]
         expect += [(i, r + 1, j, -x) for r, (x, j) in enumerate(s)]
+    asks = (F.col("vec_id") % 20 == 0) | F.col("vec_id").isin(403, 404)
     for sizes in ({}, {"pivots": 7, "query_block": 2, "data_block": 40}):
-        got = sorted(tuple(r) for r in knn.top_k(frame, F.col("vec_id") % 20 == 0, **sizes).collect())
-        assert got == expect
+        got = sorted(tuple(r) for r in knn.top_k(frame, asks, **sizes).where("query_id not in (400)").collect())
+        assert got == sorted(expect)
     few = knn.top_k(frame.where("vec_id < 4"), F.col("vec_id") == 0).collect()
     assert len(few) == 3
     assert knn.top_k(frame.where("false"), F.col("vec_id") == 0).count() == 0
     assert knn.top_k(frame, F.lit(False)).count() == 0
 
 
+def test_top_k_of_huge_components(spark):
+    big = [[1e300, 1.0], [-1e300, 2.0], [3e16, 4.0], [0.5, 1e17], [1.0, -1.0]]
+    low, high = -(1 << 63), (1 << 63) - 1
+    q = [[int(min(max(np.floor(64 * x), low), high)) if abs(64 * x) < 2**63 else (high if x > 0 else low) for x in r] for r in big]
+    got = knn.top_k(spark.createDataFrame(list(enumerate(big)), "vec_id long, embedding array<double>"), F.lit(True)).collect()
+    for i in range(5):
+        s = sorted((-min(max(sum(a * b for a, b in zip(q[i], q[j])), low), high), j) for j in range(5) if j != i)
+        assert [(r.vec_id, r.score) for r in sorted((r for r in got if r.query_id == i), key=lambda r: r["rank"])] == [(j, -x) for x, j in s]
+
+
+def test_vectors_go_only_where_they_are_needed(spark):
+    rng = np.random.RandomState(3)
+    centres = rng.randn(12, 16)
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    near = centres[rng.randint(12, size=1200)] + 0.01 * rng.randn(1200, 16)
+    frame = lambda v: spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    sent = lambda v, block: knn.replicas(frame(v), F.col("vec_id") % 2 == 0, 5, "vec_id", "embedding", 64.0, 48, block, 4096)[1].count()
+    assert sent(near, 60) < 3 * 1200  # of ten groups and more
+    assert sent(rng.randn(1200, 16), 60) <= 20 * 1200  # no bound helps: once to each group
+    assert sent(rng.randn(1200, 16), 1000) == 1200
+
+
 def test_main_text(spark):
     model = htmltext.train(labelled_pages.pages())
     pages = pd.read_parquet("/root/testdata/sf0.01/pages.parquet")
@@ -179,13 +224,51 @@ def test_main_text(spark):
     it here, quite long enough<p>Second <a href="x>y">link</a> para<script>if (a<b) "</p>"</script><div class=ad>Buy now</div><ul><li>one<li>two</ul>
     <div class="comments"><p>I like this</p></div><form><p>Search</p></form></div><footer>foot</footer>"""
     assert htmltext.main_text(odd, model) == "Head\n\nBody & more <b> of it here, quite long enough\n\nSecond link para\n\none\n\ntwo"
+    labelled = "<body><article data-y='12px'><h1 data-y=0>Head</h1><p data-y=x>Some words that go on for a while here, and then some more.</p></article></body>"
+    assert htmltext.main_text(labelled, model) == "Head\n\nSome words that go on for a while here, and then some more."
     deep = "<div>" * 3000 + "<p>" + "word " * 40 + "</p>"
     frame = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, odd, "x"), (4, deep, "x"), (5, "<", "x"), (3, odd, "x")], "page_id long, html string, text string")
+    frame = frame.withColumn("_html", F.lit(1)).withColumn("a.b", F.lit(2)).withColumn("html_", F.lit(3))
+    assert htmltext.extract(frame).columns == ["page_id", "_html", "a.b", "html_", "text", "n_chars"]
     got = {r.page_id: (r.text, r.n_chars) for r in htmltext.extract(frame).collect()}
     assert got[1] == got[2] == ("", 0) and got[3][1] == len(got[3][0]) and len(got) == 5
     assert htmltext.extract(frame.where("false")).count() == 0
 
 
+SENTENCE = "Water moves through the valley in every season and people have long made use of it for mills and fields. "
+OTHER_LAYOUTS = {
+    "title in a header": (f"<header><h1>Site</h1></header><article><header><h1>Title</h1></header><p>{SENTENCE * 3}</p></article><footer>foot</footer>", "Title|TTT"),
+    "comments in a section": (f"<main><h1>Title</h1><p>{SENTENCE}</p><p>{SENTENCE * 2}</p></main><section class=comments><h2>Responses</h2><article class=comment><p>{SENTENCE}</p></article></section>", "Title|T|TT"),
+    "heading before comments": (f"<div class=post><h1>Title</h1><p>{SENTENCE * 3}</p><h3>Responses</h3><ol class='commentlist'><li><p>{SENTENCE}</p></li></ol></div>", "Title|TTT"),
+    "math and objects": (f"<article><h1>Title</h1><p>Water is <math><mi>H</mi><mn>2</mn><mi>O</mi></math> <object>or so</object>. {SENTENCE * 2}</p></article>", "Title|Water is H2O or so. TT"),
+    "divisions": (f"<div class='topnav menu'><a href=1>Home</a> <a href=2>News</a></div><div class=story><h1>Title</h1><p>{SENTENCE * 2}</p><div class=promo>Buy</div><ul><li>one<li>two</ul></div><div class=related><a href=1>Other</a></div>", "Title|TT|one|two"),
+    "a table": (f"<table><tr><td class=menu><a href=1>A</a><a href=2>B</a></td></div><td class=main><h1>Title</h1><p>{SENTENCE * 2}</p></td></tr></table>", "Title|TT"),
+    "an unclosed page": (f"<nav><a href=1>A</nav><div id=content><h1>Title<p>{SENTENCE * 2}<p>{SENTENCE}</div><div id=footer>foot", "Title|TT|T"),
+    "main and aside": (f"<main><h1>Title</h1><p>{SENTENCE}</p><blockquote>{SENTENCE}</blockquote><pre>some\n code</pre></main><aside class=ads>Buy</aside>", "Title|T|T|some code"),
+    "inline elements over blocks": (f"<article><h1>Title</h1><b><p>{SENTENCE}</b>{SENTENCE}</p><p title='a>b'>{SENTENCE}</p></article><script>if (a < b) document.write('<p>')</script >", "Title|TT|T"),
+    "a form and a notice": (f"<div id='cookie-consent'>We use cookies <button>OK</button></div><article><h1>Title</h1><p>{SENTENCE * 2}</p><form><p>Search</p><textarea>x</textarea></form></article>", "Title|TT"),
+}
+
+
+@pytest.mark.parametrize("name", sorted(OTHER_LAYOUTS))
+def test_main_text_of_layouts_not_trained_on(name):
+    page, expect = OTHER_LAYOUTS[name]
+    got = htmltext.main_text(f"<html><body>{page}</body></html>", htmltext.train(labelled_pages.pages()))
+    assert got.replace(SENTENCE.strip() + " ", "T").replace(SENTENCE.strip(), "T").replace("\n\n", "|") == expect
+
+
+def test_parsing_takes_linear_time():
+    import time
+
+    model = htmltext.train(labelled_pages.pages())
+    n = 100_000
+    for page in ("<div>" * n + "</x>" * n, "<a" * n, "<a \"'>" * n, "<p><button>" + "<div>" * n, "<b>" * n + "<p>" * n + "</b>" * n, "<!--" * n, '<a "' * n + ">", "</script " * n):
+        began = time.process_time()
+        htmltext.parse(page)
+        assert time.process_time() - began < 8, page[:20]
+    assert htmltext.main_text("</p>" * n, model) == ""
+
+
 def test_marginals_are_those_of_all_labellings():
     model = htmltext.train(labelled_pages.pages())
     t = htmltext.parse("<body><nav><a href=x>a</a></nav><div><p>text here</p><p>more</p></div></body>")
@@ -223,29 +306,42 @@ def test_toxicity(spark):
     rng = random.Random(9)
     texts, labels = labelled_documents(rng, 400)
     extra = [(1000, None), (1001, ""), (1002, "vile " * 5000), (None, "vile nasty awful"), texts[0]]
-    docs = spark.createDataFrame([(*r, "s") for r in [*texts, *extra]], "doc_id long, text string, Score string")
+    docs = spark.createDataFrame([(*r, "s", 1) for r in [*texts, *extra]], "doc_id long, text string, Score string, `a.b` int")
     known = spark.createDataFrame([*labels, (None, 1, 1), (3, None, None), (2000, 1, 1)], "doc_id long, quality int, toxic int")
     learn = known.where("doc_id % 3 <> 1 or doc_id is null")
     model = toxicity.fit(docs, learn)
     got = toxicity.score(docs, model).toPandas()
-    assert len(got) == len(texts) + len(extra) and got.score.between(0, 1).all() and list(got.columns) == ["doc_id", "score", "predicted", "evidence"]
+    assert len(got) == len(texts) + len(extra) and got.score.between(0, 1).all() and list(got.columns) == ["doc_id", "a.b", "score", "predicted", "evidence"]
     held = got.dropna(subset=["doc_id"]).drop_duplicates("doc_id").set_index("doc_id").loc[[i for i, _ in texts if i % 3 == 1]]
     assert (held.predicted == [int(i % 4 == 0) for i in held.index]).mean() > 0.98
     assert got[got.doc_id == 1002].predicted.all() and got[got.doc_id.isna()].predicted.all() and not got[got.doc_id.isin([1000, 1001])].predicted.any()
-    # exact neighbours: all examples, no blocks
-    for _ in range(50):
-        terms = np.sort(rng.sample(range(len(model.words)), min(3, len(model.words))))
-        w = np.array([rng.random() + 0.1 for _ in terms])
-        s = w @ model.weights[terms]
-        order = [j for j in np.lexsort((np.arange(len(s)), -s)) if s[j] > 0][: model.k]
-        places, cosines = toxicity.nearest(model, terms, w)
-        np.testing.assert_allclose(np.sort(s[order]), np.sort(cosines))
     none = toxicity.fit(docs, learn.where("false"))
     assert toxicity.score(docs, none).where("predicted = 1").count() == 0
     assert toxicity.score(docs.where("false"), model).count() == 0
     assert toxicity.score(docs, model, keep_text=True).columns[:2] == ["doc_id", "text"]
 
 
+@pytest.mark.parametrize("block", [1, 4, 64])
+def test_nearest_examples_are_those_of_the_dense_product(block, monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK", block)
+    monkeypatch.setattr(toxicity, "POSTINGS", 50)
+    rng = np.random.RandomState(block)
+    dense = np.where(rng.rand(90, 60) < 0.15, rng.rand(90, 60), 0)  # by example and word
+    dense[40:44] = dense[40]  # ties
+    dense[70] = 0
+    example, word = np.nonzero(dense)
+    shuffled = rng.permutation(len(word))
+    index = toxicity.Index.build(word[shuffled], example[shuffled], dense[example, word][shuffled], 60, 90)
+    for k in (1, 3, 15, 200):
+        for terms in (np.arange(60), np.array([5]), np.sort(rng.choice(60, 7, False)), np.zeros(0, int)):
+            w = rng.randint(1, 3, len(terms)).astype(float)
+            s = sum((x * dense[:, t] for t, x in zip(terms, w)), np.zeros(90))
+            order = [j for j in np.lexsort((np.arange(90), -s)) if s[j] > 0][:k]
+            places, cosines = index.nearest(terms, w, k)
+            np.testing.assert_allclose(cosines, s[order])
+            assert places.tolist() == order
+
+
 def test_toxicity_counts_every_word(spark):
     rng = random.Random(10)
     texts, labels = labelled_documents(rng, 400)
@@ -266,12 +362,24 @@ def test_toxicity_counts_every_word(spark):
         size = np.sqrt(sum(x * x for x in v.values()))
         return {w: x / size for w, x in v.items()}
 
+    # the factors are those of TF-IDF times the lean, by brute force
+    label = {i: t for i, _, t in labels}
+    held = np.array([[w in set(words[i]) for i in model.ids] for w in distinct])
+    y = np.array([label[i] for i in model.ids])
+    phi = {w: 0.0 if h.all() or not h.any() else abs(np.corrcoef(h, y)[0, 1]) for w, h in zip(distinct, held)}
+    assert model.ids.tolist() == sorted(model.ids.tolist()) and model.labels.tolist() == y.tolist()
+    for w in distinct:
+        if hashes[w] >= 0:
+            idf = np.log((1 + len(by_id)) / (1 + sum(w in set(x) for x in words.values())))
+            np.testing.assert_allclose(model.factor[hashes[w]], idf * (model.floor + (1 - model.floor) * phi[w] / max(phi.values())), atol=1e-9)
     shown = [vector(words[i]) for i in model.ids]
     got = {r.doc_id: r for r in toxicity.score(docs, model, evidence=model.k).collect()}
     for i in [1, 4, 7, 40, 2000, 2001, 2002, 2003]:
         v = vector(words[i])
         cosines = sorted((sum(x * e.get(w, 0.0) for w, x in v.items()) for e in shown), reverse=True)
         np.testing.assert_allclose([e.cosine for e in got[i].evidence], [c for c in cosines[: model.k] if c > 0], atol=1e-9)
+        share = (sum(e.cosine * e.label for e in got[i].evidence) + 0.5 * model.base) / (sum(e.cosine for e in got[i].evidence) + 0.5)
+        np.testing.assert_allclose(got[i].score, 1 / (1 + np.exp(-model.curve[0] * share - model.curve[1])), atol=1e-9)
     # one bad word doesn't decide over thousands of others, and words of no example count in the length
     assert got[2000].score < 0.1 and got[2001].score < 0.5 and not got[2001].predicted
     assert got[2002].predicted and got[2003].evidence[0].cosine < 0.6 * got[2002].evidence[0].cosine
@@ -293,6 +401,8 @@ def test_mixing(spark):
     raised = mixing.mix(docs, known, {"good": 0.5, "bad": 0.5}, least=1.0)
     out = raised.toPandas()
     assert out.rate.min() >= 1 and mixing.drawn(raised, "doc_id").count() == pytest.approx(out.rate.sum(), rel=0.1)
+    fewer = mixing.mix(docs, known, {"good": 0.9, "bad": 0.1}, keep_text=False).toPandas()
+    assert "text" not in fewer.columns and sorted(fewer.rate) == pytest.approx(sorted(got.rate))
     assert set(mixing.drawn(raised, "doc_id").select("doc_id").distinct().toPandas().doc_id.fillna(-1)) == set(out.doc_id.fillna(-1))
     assert mixing.mix(docs.where("false"), known, {"good": 0.5, "bad": 0.5}).count() == 0
     assert mixing.mix(docs, known.where("false"), {"good": 0.5, "bad": 0.5}).count() == 304
@@ -310,6 +420,44 @@ def test_gradient_steps_reach_the_least_squares_optimum(spark):
     np.testing.assert_allclose((r * n) @ p, plan.reached, rtol=1e-9)
     np.testing.assert_allclose(plan.reached, plan.targets, atol=2e-3 * n.sum())
     assert mixing.solve(rows.where("false"), [1.0, 1.0]).steps == []
+    # of all rates that meet the targets the nearest to 1, by alternating projections of numpy alone
+    r, off = np.ones(80), np.zeros(80)
+    a, target = (n[:, None] * p).T, np.array([0.2, 0.3, 0.5]) * n.sum()
+    for _ in range(20_000):
+        flat = r - (p @ np.linalg.solve(a @ p, a @ r - target))
+        r, off = np.maximum(0, flat + off), np.minimum(0, flat + off)
+    own = np.ones(80)
+    for s in plan.steps:
+        own = np.maximum(0, own - p @ np.array(s))
+    np.testing.assert_allclose(a @ r, target, rtol=1e-3)
+    np.testing.assert_allclose(own, r, atol=5e-3)
+
+
+def test_posteriors_against_brute_force(spark):
+    rng = random.Random(14)
+    texts, labels = labelled_documents(rng, 240)
+    texts += [(900, None), (901, ""), (902, " ".join(x for _, x in texts[:60])), (903, "never seen words")]
+    docs = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in texts], "doc_id long, text string, b int, x int, e int")
+    known = spark.createDataFrame([(i, "bad" if t else "good") for i, _, t in labels], "doc_id long, domain string")
+    for sample, checks in ((1500, 500), (40, 20)):
+        model = mixing.fit(docs, known, ["bad", "good"], sample=sample, checks=checks)
+        assert 0 < model.scale < 1
+        got = mixing.with_posteriors(docs, model)
+        assert got.columns == ["doc_id", "text", "b", "x", "e", "n_tokens", "posterior"]
+        bucket = {r.w: r.b for r in spark.createDataFrame([(w,) for w in {w for _, t in texts for w in ALNUM.findall(lower(t))}], "w string").selectExpr("w", f"pmod(xxhash64(w), {mixing.BUCKETS}) as b").collect()}
+        for r in got.collect():
+            words = ALNUM.findall(lower(r.text))
+            z = np.array([0.0, model.scale * sum(model.weights[0][bucket[w]] for w in words)]) + model.prior
+            assert r.n_tokens == len(words)
+            np.testing.assert_allclose(r.posterior, np.exp(z - z.max()) / np.exp(z - z.max()).sum(), atol=1e-6)
+    total = {d: sum((t == 1) == (d == "bad") for _, _, t in labels) for d in ("bad", "good")}
+    np.testing.assert_allclose(np.exp(model.prior), [(total[d] + 1) / 242 for d in ("bad", "good")])
+
+
+def test_copies_are_drawn_by_thousands(spark):
+    rows = spark.createDataFrame([(1, 2500.0, 7), (2, 0.0, 7), (3, None, 7), (4, 1.0, 7)], "doc_id long, rate double, copies int")
+    got = mixing.drawn(rows, "doc_id")
+    assert got.columns == rows.columns and {r.doc_id: r["count"] for r in got.groupBy("doc_id").count().collect()} == {1: 2500, 4: 1}
 
 
 def test_mixing_meets_strong_weights_and_reports_unmet_ones(spark):
