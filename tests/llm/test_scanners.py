@@ -144,7 +144,7 @@ def test_profiles_and_distance_against_brute_force(spark):
     texts = [("a", "ab ab abc"), ("a", "Abba!"), ("b", "zy zyx zz"), ("b", None), (None, "ab zy")]
     profiles = langid.learn_profiles(spark.createDataFrame(texts, "lang string, text string"), size=5)
     rows = profiles.orderBy("lang", "rank").toPandas()
-    num = lambda s: sum(ord(c) << (21 * (len(s) - 1 - i)) if c != "_" else 0 for i, c in enumerate(s))
+    num = lambda s: sum(ord(c) << (21 * (len(s) - 1 - i)) if c != "_" else 1 << (21 * (len(s) - 1 - i)) for i, c in enumerate(s))
     words = {"a": ["ab", "ab", "abc", "abba"], "b": ["zy", "zyx", "zz"]}
     for k, own in words.items():
         n = {}
@@ -172,7 +172,7 @@ def test_distances_against_brute_force(spark):
     def top(t):
         n = {}
         for w in re.findall(r"[^\W\d_]+", t.lower()):
-            p = f"\0{w}\0"
+            p = f"\1{w}\1"
             for g in [*w, *(p[i : i + 2] for i in range(len(p) - 1)), *(p[i : i + 3] for i in range(len(p) - 2))]:
                 v = sum(ord(c) << (21 * (len(g) - 1 - i)) for i, c in enumerate(g))
                 n[v] = n.get(v, 0) + 1

@@ -31,17 +31,17 @@ def _letters() -> np.ndarray:
 
 
 def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams of a text as numbers, and their counts. A boundary is 0; three code points fit 63 bits."""
+    """Distinct n-grams of a text as numbers, and their counts. A boundary is 1, so that no two are one number; three code points fit 63 bits."""
     c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    c = np.where(_letters()[c], c, 0)
-    c = np.concatenate(([0], c, [0]))
-    c = c[np.concatenate(([True], (c[1:] != 0) | (c[:-1] != 0)))]
+    c = np.where(_letters()[c], c, 1)
+    c = np.concatenate(([1], c, [1]))
+    c = c[np.concatenate(([True], (c[1:] != 1) | (c[:-1] != 1)))]
     if len(c) < 3:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     two = (c[:-1] << 21) | c[1:]
     three = (two[:-1] << 21) | c[2:]
-    three = three[c[1:-1] != 0]
-    return np.unique(np.concatenate((c[c != 0], two, three)), return_counts=True)
+    three = three[c[1:-1] != 1]
+    return np.unique(np.concatenate((c[c != 1], two, three)), return_counts=True)
 
 
 def top_grams(text: str, size: int) -> np.ndarray:

@@ -21,7 +21,8 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(bucket_of("doc_id", 4) == 2, F.lit(False))
     profiles = langid.learn_profiles(docs.where(~held_out))
     rows = docs.select("doc_id", held_out.alias("held_out"), "text")
-    return langid.identify(rows, profiles).select("doc_id", "held_out", "lang_pred", "score")
+    found = langid.identify(rows, profiles)
+    return found.select("doc_id", "held_out", "lang_pred", F.round("score", 6).alias("score"))
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +91,9 @@ QUERIES = {
     "op10_top_k": op10_top_k,
 }
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: crc32 of a value as text, but for the last complement.
+CRC32 = """list_reduce(list_prepend(4294967295::BIGINT, [CAST(ascii(c) AS BIGINT) FOR c IN string_split(CAST({0} AS VARCHAR), '')]),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), [CAST(0 AS BIGINT) FOR i IN range(8)]), lambda x, z: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END)))"""
 
 ORACLES: dict[str, str] = {
     "op1_decontaminate": rf"""
@@ -110,6 +114,19 @@ l AS (SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS items
 SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(c.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
   sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, c.n IS NOT NULL AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN l USING (doc_id)
+""",
+    "op2_language_id": rf"""
+WITH d AS (SELECT doc_id, lang, text, xor({CRC32.format('doc_id')}, 4294967295) % 4 = 2 AS held_out FROM documents),
+w AS (SELECT doc_id, lang, held_out, unnest(regexp_extract_all(lower(text), '\p{{L}}+')) AS w FROM d WHERE text IS NOT NULL),
+wn AS (SELECT doc_id, lang, held_out, w, count(*) AS m FROM w GROUP BY ALL),
+g AS (SELECT doc_id, lang, held_out, m, unnest(list_concat([w[i:i] FOR i IN range(1, len(w) + 1)], ['_' || w[1:1], w[-1:] || '_'], [w[i:i + 1] FOR i IN range(1, len(w))],
+  CASE WHEN len(w) = 1 THEN ['_' || w || '_'] ELSE list_concat(['_' || w[1:2], w[-2:] || '_'], [w[i:i + 2] FOR i IN range(1, len(w) - 1)]) END)) AS g FROM wn),
+n AS (SELECT doc_id, lang, held_out, g, list_reduce([CASE c WHEN '_' THEN 1 ELSE CAST(unicode(c) AS BIGINT) END FOR c IN string_split(g, '')], lambda a, b: a * 2097152 + b) AS k, sum(m) AS n FROM g GROUP BY ALL),
+p AS (SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, any_value(k)) - 1 AS r FROM n WHERE NOT held_out AND lang IS NOT NULL GROUP BY lang, g QUALIFY r < 400),
+t AS (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, k) - 1 AS r FROM n QUALIFY r < 400),
+a AS (SELECT doc_id, l.lang, sum(CASE WHEN p.r IS NULL THEN 400 ELSE abs(p.r - t.r) END) AS away, count(*) AS m FROM t CROSS JOIN (SELECT DISTINCT lang FROM p) l LEFT JOIN p ON p.lang = l.lang AND p.g = t.g GROUP BY ALL),
+s AS (SELECT doc_id, min_by(lang, {{'a': away, 'l': lang}}) AS lang, max(1 - away / (400.0::DOUBLE * m)) / sum(1 - away / (400.0::DOUBLE * m)) AS score FROM a GROUP BY doc_id)
+SELECT d.doc_id, held_out, coalesce(s.lang, 'und') AS lang_pred, round(coalesce(score, 0.0), 6) AS score FROM d LEFT JOIN s USING (doc_id)
 """,
     "op3_suffix_dedup": rf"""
 WITH w AS (
