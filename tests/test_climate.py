@@ -9,6 +9,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from thawline.functions.columns import faded_sums
 from thawline.operators import area, diagnostics, experiments, fields, fit, forcing, response, scenario
 from thawline.sources import readers
 
@@ -23,10 +24,22 @@ def cube(spark, values, expt="base", variable="tas", lats=(-90.0, 0.0, 90.0), lo
 
 def test_anomaly_of_zero_control_is_the_input(spark):
     v = np.random.RandomState(1).rand(3, 3, 3)
-    got = fields.make_anom(cube(spark, v, "co2x2"), cube(spark, np.zeros((3, 3, 3)))).toPandas().sort_values(["time", "cell"])
+    got = fields.make_anom(cube(spark, v, "co2x2"), cube(spark, np.zeros((3, 3, 3)))).toPandas().sort_values(["time", "lat", "lon"])
     np.testing.assert_allclose(got.value.to_numpy().reshape(3, 3, 3), v)
 
 
+def test_gaps_of_anomalies_are_filled_from_the_nearest_along_latitudes_then_longitudes(spark):
+    v = np.random.RandomState(11).rand(1, 3, 3).tolist()
+    v[0][1][1] = None
+    fill = fields.make_anom(cube(spark, v, "co2x2"), cube(spark, np.ones((2, 3, 3)))).toPandas().sort_values(["lat", "lon"]).value.to_numpy()
+    plain = np.array([x for row in v[0] for x in row], float) - 1
+    plain[4] = plain[1]  # as near as the other side, which is higher
+    np.testing.assert_allclose(fill, plain)
+    v[0][0] = [None] * 3  # no value below: nothing to fill between
+    bare = fields.make_anom(cube(spark, v, "co2x2"), cube(spark, np.ones((2, 3, 3)))).toPandas().sort_values(["lat", "lon"]).value.to_numpy()
+    np.testing.assert_allclose(bare, [np.nan] * 3 + [v[0][1][0] - 1, v[0][1][0] - 1, v[0][1][2] - 1] + [x - 1 for x in v[0][2]])
+
+
 def test_control_anomalies_average_to_zero_and_a_missing_value_is_skipped(spark):
     v = np.random.RandomState(2).rand(4, 3, 3).tolist()
     v[1][0][0] = None
@@ -90,10 +103,27 @@ def test_convolution_matches_numpy_and_the_recursion(spark, f):
         np.testing.assert_allclose(z[m], expect, atol=1e-9)
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 64, 65, 1000])
+def test_fading_sums_of_any_length_and_spacing(spark, n):
+    rng = np.random.RandomState(n)
+    t, x = np.cumsum(rng.randint(1, 4, n)).astype(float), rng.randn(n)
+    frame = spark.createDataFrame([([(float(a), float(b)) for a, b in zip(t, x)], 7.0)], "points array<struct<t:double,x:double>>, tau double")
+    got = frame.select(faded_sums("points", "tau").alias("y")).first().y
+    z, expect = 0.0, []
+    for i in range(n):
+        z = x[i] + (z * np.exp(-(t[i] - t[i - 1]) / 7) if i else 0.0)
+        expect.append(z)
+    np.testing.assert_allclose([p.x for p in got], expect, atol=1e-9)
+    assert [p.t for p in got] == t.tolist()
+
+
 def test_constant_forcing_gives_zero_and_a_step_of_zero_null(spark):
     flat = spark.createDataFrame([(k, 3.0) for k in range(5)], "k int, f double")
     assert response.pc_convolution(response.forcing_increments(flat, 2.0), response.fixed_params(flat)).where("abs(y) > 0").count() == 0
-    assert response.forcing_increments(flat, 0.0).where("d is not null").count() == 0
+    none = response.forcing_increments(flat, 0.0)
+    assert none.where("d is not null").count() == 0
+    for convolved in (response.pc_convolution, response.pc_recursion):
+        assert convolved(none, response.fixed_params(flat)).where("y is not null").count() == 0
 
 
 def test_projection_returns_the_patterns_and_poisons_gaps(spark):
@@ -132,6 +162,67 @@ def test_fit_recovers_noise_free_parameters_and_beats_truth_with_noise():
         fit.fit_series(clean, 1.0, 19)
 
 
+def test_forcing_by_a_table_of_gases(spark):
+    years = range(2000, 2012)
+    rng = np.random.RandomState(9)
+    e = {s: rng.rand(12) * 5 for s in ("CO2", "CH4", "N2O", "HFC23", "SO2", "XX")}
+    c = {s: 100 + rng.rand(12) for s in ("CO2", "CH4", "N2O", "HFC23")}
+    long = lambda d: spark.createDataFrame([(s, y, float(v)) for s, x in d.items() for y, v in zip(years, x)], "species string, k int, value double")
+    gases = [
+        ("CO2", "Pg", "ppm", 2.1, 0.0, 150.0, 0.0, 1.05), ("CH4", "Tg", "ppb", 2.8, 0.0, 9.6, 275.0, 0.9), ("N2O", "Tg", "ppb", 4.8, 0.0, 121.0, 9.5, 1.07),
+        ("HFC23", "Gg", "ppt", 12.4, 0.0002, 228.0, 0.0, 1.0), ("SO2", "Tg", "-", 11.0, 0.0, 0.02, 0.0, 1.0), ("XX", "X", "-", 0.0, 0.0, 0.0, 0.0, 1.0),
+    ]
+    table = spark.createDataFrame(gases, "gas string, em_unit string, conc_unit string, beta double, alpha double, tau1 double, natural_emissions double, sarf_to_erf double")
+    natural = spark.createDataFrame([("CH4", y, 240.0) for y in years], "species string, k int, value double")
+    for conc_run in (False, True):
+        for own in (None, natural):
+            got = {(r.species, r.k): r.f for r in forcing.gas_forcing(long(e), long(c), table, emission_steps=5, conc_run=conc_run, natural=own).collect()}
+            assert {s for s, _ in got} == {"CO2", "CH4", "N2O", "HFC23", "SO2"}
+            for gas, _, unit, beta, alpha, tau, nat, erf in gases[:5]:
+                at, held = c.get(gas, e[gas])[4], []
+                for i in range(12):
+                    if unit == "-":
+                        held.append(-0.3 * (e[gas][i] - e[gas][0]))
+                        continue
+                    if i < 5 or conc_run:
+                        x = c[gas][i]
+                    else:
+                        n = 240.0 if own is not None and gas == "CH4" else nat
+                        x = at = at * np.exp(-1 / tau) + (e[gas][i] + n) / beta * tau * (1 - np.exp(-1 / tau))
+                    c0 = c[gas][0]
+                    held.append(erf * {"CO2": 5.35 * np.log(x / c0), "CH4": 0.036 * (x**0.5 - c0**0.5), "N2O": 0.12 * (x**0.5 - c0**0.5)}.get(gas, alpha * (x - c0)))
+                np.testing.assert_allclose([got[gas, y] for y in years], held, atol=1e-9)
+    names = ["base", "co2x2", "sulx5", "bcx10"]
+    scaling = {r.expt: r.scaling for r in experiments.run_scaling(long(e), long(c), table, names, 2003).collect()}
+    assert scaling["base"] == 0 and scaling["bcx10"] == 0  # BC isn't among the emissions
+    np.testing.assert_allclose([scaling["co2x2"], scaling["sulx5"]], [1.05 * 5.35 * np.log(2 * c["CO2"][3] / c["CO2"][8]), -0.3 * (5 * e["SO2"][3] - e["SO2"][8])], atol=1e-9)
+
+
+def test_model_predicts_from_emissions_and_survives_saving(spark, tmp_path):
+    n = 20
+    u = 3 * (1 - np.exp(-np.arange(n) / 6))
+    base = cube(spark, np.full((n, 2, 2), 5.0), lats=(-30.0, 30.0), lons=(0.0, 72.0))
+    warm = cube(spark, 5 + u[:, None, None] * np.array([[1.0, 2.0], [3.0, 4.0]]), "co2x2", lats=(-30.0, 30.0), lons=(0.0, 72.0))
+    modes = spark.createDataFrame([("tas", 1)], "variable string, n_modes int")
+    model = scenario.PatternModel.fit(base.unionByName(warm), modes, spark.createDataFrame([("co2x2", 4.0)], "expt string, step_size double"))
+    model = model.save(str(tmp_path / "model"))
+    e = spark.createDataFrame([("CO2", k, 1.0 + k) for k in range(30)], "species string, k int, value double")
+    c = spark.createDataFrame([("CO2", k, 300.0 + 10 * k) for k in range(30)], "species string, k int, value double")
+    gases = spark.createDataFrame([("CO2", "Pg", "ppm", 2.1, 0.0, 150.0, 0.0, 1.05)], "gas string, em_unit string, conc_unit string, beta double, alpha double, tau1 double, natural_emissions double, sarf_to_erf double")
+    again = scenario.PatternModel.load(spark, str(tmp_path / "model"))
+    for conc_run in (False, True):
+        got = again.predict_emissions(e, c, gases, ["base", "co2x2"], ["tas"], conc_run, emission_steps=10, last=24).toPandas()
+        assert len(got) == 25 * 4 and got.time.dt.year.min() == 1850
+        flat = np.where((np.arange(30) >= 10) & (np.arange(30) < 17) & conc_run, 400.0, 300.0 + 10 * np.arange(30))[:25]
+        box = flat.copy()
+        for k in range(10, 25) if not conc_run else ():
+            box[k] = box[k - 1] * np.exp(-1 / 150) + (1.0 + k) / 2.1 * 150 * (1 - np.exp(-1 / 150))
+        f = 1.05 * 5.35 * np.log(box / 300)
+        y = np.convolve(1 - np.exp(-np.arange(25) / 6), np.append(np.diff(f), 0) / 4.0)[:25]
+        value = got.sort_values(["time", "cell"]).value.to_numpy().reshape(25, 4)
+        np.testing.assert_allclose(value, np.outer(y, 3 * np.array([1, 2, 3, 4])), atol=0.02)
+
+
 def test_model_trains_and_predicts(spark):
     n = 30
     u = 3 * (1 - np.exp(-np.arange(n) / 6))

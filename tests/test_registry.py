@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from oracle import FOLDER, compare
 
@@ -18,4 +19,10 @@ def test_fitted_scales_are_within_bounds(spark):
 def test_entry_points(spark):
     assert __spark_entry__.entry(spark).limit(1).count() == 1
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
-    assert set(registry.QUERIES) - set(registry.ORACLES) == {"fit_timescales"}
+    assert set(registry.QUERIES) - set(registry.ORACLES) == {"fit_timescales", "model_prediction"}
+
+
+def test_models_of_fitted_scales_predict_a_scenario(spark):
+    got = registry.QUERIES["model_prediction"](spark, FOLDER).toPandas()
+    assert set(got.variable) == {"tas", "pr"} and got.groupby(["variable", "cell"]).time.nunique().min() == got.time.nunique() > 50
+    assert np.isfinite(got.value).all()

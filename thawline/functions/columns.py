@@ -1,4 +1,4 @@
-"""Column expressions of area weights, responses and experiment names."""
+"""Column expressions of area weights, responses, fading sums and experiment names."""
 
 from __future__ import annotations
 
@@ -34,3 +34,25 @@ def species_of(expt: Column | str, sulphate: str = "SUL") -> Column:
 def multiplier_of(expt: Column | str) -> Column:
     """Whole-number factor of the perturbation; a name without one raises, as does one that isn't whole."""
     return F.element_at(F.split(_c(expt), "x"), 2).cast("int")
+
+
+def faded_sums(points: Column | str, tau: Column | str) -> Column:
+    """Of an array of (t, x), ascending in t: with each t the sum of all x so far, faded by exp(-(time since) / tau).
+
+    By doubling: after each round a sum reaches twice as many points back, so n points take n * log2(n) steps and no
+    array grows.
+    """
+    points, size = _c(points), F.size(_c(points))
+    rounds = F.ceil(F.log2(size.cast("double"))).cast("int")
+
+    def doubled(z: Column, s: Column) -> Column:
+        back = F.pow(F.lit(2.0), s).cast("int")
+
+        def one(p: Column, i: Column) -> Column:
+            q = F.get(z, i - back)
+            more = p.x + q.x * F.exp((q.t - p.t) / _c(tau))
+            return F.when(i >= back, F.struct(p.t.alias("t"), more.alias("x"))).otherwise(p)
+
+        return F.transform(z, one)
+
+    return F.when(size > 1, F.aggregate(F.sequence(F.lit(0), rounds - 1), points, doubled)).otherwise(points)

@@ -91,13 +91,42 @@ attributed AS (SELECT sul_is_so2, coalesce(tg.expt, 'co2x2') AS expt, k, sum(f)
 af AS (SELECT s.sul_is_so2, e.expt, t.k, coalesce(attributed.f, 0.0) AS f FROM (SELECT DISTINCT sul_is_so2 FROM tg) s CROSS JOIN (SELECT unnest([{names}]) AS expt) e
   CROSS JOIN (SELECT DISTINCT k FROM sf) t LEFT JOIN attributed ON attributed.sul_is_so2 = s.sul_is_so2 AND attributed.expt = e.expt AND attributed.k = t.k)"""
 
+NOISE_FREE = f"""{cube("annual")}, a AS (SELECT variable, cell, lat, lon, avg(value) AS a FROM f WHERE expt = 'base' GROUP BY ALL),
+wl AS (SELECT avg({W}) AS m FROM (SELECT DISTINCT lat FROM a)),
+s AS (SELECT variable, avg(x) AS s FROM (SELECT variable, lon, avg(a * {W} / m) AS x FROM a, wl GROUP BY ALL) GROUP BY ALL)"""
+GASES = """gp AS (SELECT species, price / 500 AS beta, size AS tau, size / 25 AS erf FROM (SELECT ['CO2', 'SO2', 'BC', 'OC', 'CH4'][CAST(p_size AS INT) % 5 + 1] AS species,
+  avg(p_size) AS size, avg(p_retailprice) AS price FROM part GROUP BY ALL)),
+cc AS (SELECT species, k, f * 10 + 250.0 AS value FROM (SELECT * FROM sk WHERE species IN ('CO2', 'CH4')))"""
+
+
+def _gas(keys: str, emissions: str, concentrations: str, driven: str, out: str) -> str:
+    """Forcing by the gas table; ``driven``: steps that concentrations drive; the box goes on from step 39."""
+    own = [*[c.strip() for c in keys.split(",") if c.strip()], "species"]
+    o = ", ".join(own)
+    x = ", ".join(f"x.{c}" for c in own)
+    on = " AND ".join(f"x.{c} = j.{c}" for c in own)
+    return f"""{out}_r AS (SELECT {o}, k, {emissions}.value AS e, {concentrations}.value AS c FROM {emissions} FULL JOIN {concentrations} USING ({o}, k)),
+{out}_i AS (SELECT *, {driven} AS driven, CASE WHEN k = 39 THEN coalesce(c, 0.0) WHEN {driven} THEN 0.0 ELSE (coalesce(e, 0.0) + 1.5) / beta * tau * (1 - exp(-1 / tau)) END AS x FROM {out}_r JOIN gp USING (species)),
+{out}_c AS (SELECT {x}, x.k, any_value(x.e) AS e, any_value(x.erf) AS erf, CASE WHEN any_value(x.driven) THEN any_value(x.c) ELSE sum(j.x * exp(-(x.k - j.k) / x.tau)) END AS c
+  FROM {out}_i x JOIN {out}_i j ON {on} AND j.k <= x.k GROUP BY ALL),
+{out}_z AS (SELECT *, CASE WHEN k = min(k) OVER w THEN c END AS c1, CASE WHEN k = min(k) OVER w THEN e END AS e1 FROM {out}_c WINDOW w AS (PARTITION BY {o})),
+{out} AS (SELECT * FROM (SELECT {o}, k, erf * CASE WHEN species = 'CO2' THEN 5.35 * ln(c / max(c1) OVER w) WHEN species = 'CH4' THEN 0.036 * (sqrt(c) - sqrt(max(c1) OVER w))
+  ELSE CASE species WHEN 'SO2' THEN -0.3 WHEN 'BC' THEN 0.1 ELSE -0.05 END * (e - max(e1) OVER w) END AS f FROM {out}_z WINDOW w AS (PARTITION BY {o})) WHERE f IS NOT NULL)"""
+
+
+SCENARIO = f"""{SPECIES_FORCING}, {EMISSIONS}, es AS (SELECT species, k, value / 1e6 AS value FROM em), {GASES}"""
+FLAT = """{0}_p AS (SELECT species, k, CASE WHEN k BETWEEN 40 AND 46 THEN max(CASE WHEN k = 40 THEN value END) OVER (PARTITION BY species) ELSE value END AS value FROM {0})"""
+
 ORACLES = {
     "ensemble_first": f"WITH {cube(ens=True)} SELECT expt, variable, time, cell, lat, lon, round(value, 6) AS value FROM f WHERE ens = 0",
     "control_climatology": f"WITH {cube()}, {CLIM} SELECT variable, cell, round(climatology, 4) AS climatology FROM clim",
     "anomaly": f"WITH {cube()}, {ANOM} SELECT expt, variable, time, cell, round(value, 4) AS value FROM a",
     "first_100": f"WITH {cube('weekly')} SELECT expt, variable, step, cell, round(value, 6) AS value FROM f JOIN ax USING (time) WHERE step < 100",
     "field_gate": f"WITH {cube('weekly')} SELECT expt, variable, count(value) AS n_values FROM f JOIN ax USING (time) WHERE step < 100 GROUP BY ALL HAVING count(value) > 0",
-    "make_anom": f"WITH {cube()}, {CLIM} SELECT variable, time, cell, round(value - climatology, 4) AS value FROM f JOIN clim USING (variable, cell) WHERE expt = 'co2x2'",
+    "make_anom": f"""WITH {cube()}, {CLIM}, an AS (SELECT expt, variable, time, lat, lon, value - climatology AS value FROM f JOIN clim USING (variable, cell) WHERE expt <> 'base'),
+g AS (SELECT k.*, lat, lon, value FROM (SELECT DISTINCT expt, variable, time FROM an) k CROSS JOIN (SELECT DISTINCT lat FROM an)
+  CROSS JOIN (SELECT DISTINCT lon FROM an) LEFT JOIN an USING (expt, variable, time, lat, lon)), {_fill("g", "lat", "g1")}, {_fill("g1", "lon", "g2")}
+SELECT expt, variable, time, lat, lon, round(value, 4) AS value FROM g2""",
     "nearest_fill": f"""WITH {cube()}, g AS (SELECT k.*, lat, lon, value FROM (SELECT DISTINCT expt, variable, time FROM f) k CROSS JOIN (SELECT DISTINCT lat FROM f)
   CROSS JOIN (SELECT DISTINCT lon FROM f) LEFT JOIN f USING (expt, variable, time, lat, lon)), {_fill("g", "lat", "g1")}, {_fill("g1", "lon", "g2")}
 SELECT expt, variable, time, lat, lon, round(value, 6) AS value FROM g2""",
@@ -113,8 +142,8 @@ FROM am JOIN (VALUES ('tas', 0), ('tas', 1), ('pr', 0), ('pr', 1), ('pr', 2)) v(
     "exp_response": f"WITH {cube()} SELECT step, round(5.0 * (1 - exp(-step / 25.0)), 6) AS value FROM ax",
     "exp_basis": f"WITH {cube()}, {PARAMS} SELECT step, mode, round(s * (1 - exp(-step / tau)), 6) AS u FROM ax, p",
     "exp_sum": f"WITH {cube()}, {PARAMS} SELECT step, round(sum(s * (1 - exp(-step / tau))), 6) AS total FROM ax, p GROUP BY step",
-    "weighted_residual": f"""WITH {cube()}, {FIT_MEAN}, {PARAMS} SELECT step, mode, round(1.0 / (mode + 1) * (value - s * (1 - exp(-step / tau))), 4) AS residual
-FROM fm JOIN ax USING (time), p WHERE expt = 'co2x2' AND variable = 'tas'""",
+    "weighted_residual": f"""WITH {cube()}, {FIT_MEAN}, {PARAMS} SELECT expt, variable, step, mode, round(1.0 / (mode + 1) * (value - s * (1 - exp(-step / tau))), 4) AS residual
+FROM fm JOIN ax USING (time), p""",
     "synthetic_forcing": f"WITH {FORCING} SELECT k, round(5 * exp(-(k - 40) * (k - 40) / 500.0), 6) AS gaussian, round(k * 2.0::DOUBLE / max(k) OVER (), 6) AS ramp FROM fo",
     "forcing_increments": f"WITH {INCREMENTS} SELECT k, round(d, 6) AS d FROM inc",
     "pc_convolution": f"WITH {INCREMENTS}, {PARAMS} SELECT x.k, mode, round(sum(j.d * s * (1 - exp(-(x.k - j.k) / tau))), 6) AS y FROM inc x JOIN inc j ON j.k <= x.k, p GROUP BY ALL",
@@ -128,6 +157,29 @@ ss(expt, size) AS (VALUES ('co2x2', 4.08::DOUBLE), ('sulx5', -2.5::DOUBLE)),
 inc AS (SELECT expt, CAST(row_number() OVER (PARTITION BY expt ORDER BY k) - 1 AS INT) AS k, coalesce(lead(f) OVER (PARTITION BY expt ORDER BY k) - f, 0.0) / size AS d FROM af JOIN ss USING (expt)),
 y AS (SELECT x.expt, x.k, mode, sum(j.d * s * (1 - exp(-(x.k - j.k) / tau))) AS u FROM inc x JOIN inc j ON x.expt = j.expt AND j.k <= x.k, p GROUP BY ALL)
 SELECT variable, CAST(k + 1850 AS INT) AS year, cell, round(CASE WHEN count(v) = count(*) THEN sum(u * v) END, 3) AS value FROM pt JOIN y USING (expt, mode) GROUP BY ALL""",
+    "trained_params": f"WITH {NOISE_FREE} SELECT 'co2x2' AS expt, variable, CAST(0 AS INT) AS mode, round(s, 2) AS s, 6.0::DOUBLE AS tau, 100.0::DOUBLE AS tau_max FROM s",
+    "trained_patterns": f"WITH {NOISE_FREE} SELECT 'co2x2' AS expt, variable, CAST(0 AS INT) AS mode, cell, round(a / s, 3) AS v FROM a JOIN s USING (variable)",
+    "trained_prediction": f"""WITH {NOISE_FREE}, {INCREMENTS}, y AS (SELECT x.k, sum(j.d * (1 - exp(-(x.k - j.k) / 6.0::DOUBLE))) AS y FROM inc x JOIN inc j ON j.k <= x.k GROUP BY ALL)
+SELECT variable, CAST(k + 1850 AS INT) AS time, cell, round(a * y, 2) AS value FROM a, y WHERE variable = 'tas'""",
+    "gas_parameters": f"""WITH {SCENARIO} SELECT species AS gas, 'Tg' AS em_unit, CASE WHEN species IN ('SO2', 'BC', 'OC') THEN '-' ELSE 'ppm' END AS conc_unit, round(beta, 6) AS beta,
+  0.0::DOUBLE AS alpha, round(tau, 6) AS tau1, 0.0::DOUBLE AS tau2, 0.0::DOUBLE AS tau3, 1.5::DOUBLE AS natural_emissions, round(erf, 6) AS sarf_to_erf FROM gp""",
+    "gas_forcing": f"""WITH {SCENARIO}, {_gas("", "es", "cc", "(k < 40)", "g1")}, {_gas("", "es", "cc", "true", "g2")}
+SELECT false AS conc_run, species, k, round(f, 5) AS f FROM g1 UNION ALL SELECT true, species, k, round(f, 5) FROM g2""",
+    "run_scaling": f"""WITH {SCENARIO}, ru(expt, target, m) AS (VALUES ('base', NULL, NULL), ('co2x2', 'CO2', 2), ('bcx10', 'BC', 10), ('sulx7', 'SO2', 7)),
+pe AS (SELECT * FROM (SELECT expt, species, k, CASE WHEN species = target AND k BETWEEN 40 AND 46 THEN max(CASE WHEN k = 40 THEN value END) OVER (PARTITION BY expt, species) * m ELSE value END AS value FROM es, ru) WHERE k <= 45),
+pc AS (SELECT * FROM (SELECT expt, species, k, CASE WHEN species = target AND k BETWEEN 40 AND 46 THEN max(CASE WHEN k = 40 THEN value END) OVER (PARTITION BY expt, species) * m ELSE value END AS value FROM cc, ru) WHERE k <= 45),
+{_gas("expt, ", "pe", "pc", "true", "g1")}, tt AS (SELECT expt, k, sum(f) AS f FROM g1 GROUP BY ALL), la AS (SELECT expt, max_by(f, k) AS last FROM tt GROUP BY expt)
+SELECT l.expt, round(l.last - b.last, 4) AS scaling FROM la l, la b WHERE b.expt = 'base'""",
+    "predict_emissions": f"""WITH {PATTERNS}, {SCENARIO}, {FLAT.format("es")}, {FLAT.format("cc")}, {_gas("", "es", "cc", "(k < 40)", "g1")}, {_gas("", "es_p", "cc_p", "true", "g2")},
+bo AS (SELECT false AS conc_run, * FROM g1 UNION ALL SELECT true, * FROM g2),
+co AS (SELECT conc_run, k, sum(f) AS f FROM bo GROUP BY ALL), ic AS (SELECT conc_run, CAST(row_number() OVER (PARTITION BY conc_run ORDER BY k) - 1 AS INT) AS k,
+  coalesce(lead(f) OVER (PARTITION BY conc_run ORDER BY k) - f, 0.0) / 4.08 AS d FROM co),
+y AS (SELECT x.conc_run, x.k, mode, sum(j.d * s * (1 - exp(-(x.k - j.k) / tau))) AS u FROM ic x JOIN ic j ON x.conc_run = j.conc_run AND j.k <= x.k, p GROUP BY ALL)
+SELECT conc_run, variable, CAST(k + 1850 AS INT) AS year, cell, round(CASE WHEN count(v) = count(*) AND count(zero) = count(*) THEN sum(u * v) END, 3) AS value
+FROM (SELECT y.*, pt.variable, pt.cell, pt.v, z.v AS zero FROM y JOIN pt USING (mode) JOIN pt z ON z.variable = pt.variable AND z.cell = pt.cell AND z.mode = pt.mode AND z.expt = 'sulx5' WHERE pt.expt = 'co2x2')
+GROUP BY conc_run, variable, k, cell""",
+    "stack_experiments": """SELECT 'supplier' AS expt, CAST(0 AS INT) AS expt_idx, count(*) AS n, round(avg(s_acctbal), 4) AS balance, count(s_suppkey) AS n_suppliers FROM supplier
+UNION ALL SELECT 'customer', 1, count(*), round(avg(c_acctbal), 4), 0 FROM customer""",
     "parse_experiment": f"""WITH {NAMES} SELECT DISTINCT expt, CASE upper(split_part(expt, 'x', 1)) WHEN 'SUL' THEN 'SO2' ELSE upper(split_part(expt, 'x', 1)) END AS species,
 CAST(split_part(expt, 'x', 2) AS INT) AS multiplier FROM nm""",
     "experiment_label": f"""WITH {NAMES}, l AS (SELECT year, list_transform(list(expt ORDER BY expt), lambda x: split_part(x, 'x', 1)) AS n FROM nm GROUP BY year)
@@ -158,7 +210,7 @@ SELECT k, round(CO2, 6) AS CO2, round(SO2, 6) AS SO2, round(BC, 6) AS BC, round(
     "diag_fast_means": f"WITH {PATTERNS} SELECT expt, variable, step, round(CASE WHEN count(value) = count(*) THEN sum(value * {W}) / sum({W}) END, 4) AS value FROM rc GROUP BY expt, variable, step",
     "period_change": f"""WITH {cube()} SELECT expt, variable, cell, round(avg(value) FILTER (step BETWEEN 60 AND 79) - avg(value) FILTER (step BETWEEN 0 AND 19), 4) AS change
 FROM f JOIN ax USING (time) WHERE step < 100 GROUP BY ALL""",
-    "anchored_series": f"""WITH {cube()}, {FIT_MEAN}, t AS (SELECT expt, time, value, CASE WHEN time < 40 THEN 'past' ELSE 'scenario' END AS period FROM fm WHERE variable = 'tas')
-SELECT expt, time, period, round(value - first_value(CASE WHEN period = 'past' THEN value END IGNORE NULLS) OVER (PARTITION BY expt ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 4) AS value FROM t""",
+    "anchored_series": f"""WITH {cube()}, {FIT_MEAN}, t AS (SELECT expt, variable, time, value, CASE WHEN time < 40 THEN 'past' ELSE 'scenario' END AS period FROM fm)
+SELECT expt, variable, time, period, round(value - first_value(CASE WHEN period = 'past' THEN value END IGNORE NULLS) OVER (PARTITION BY expt, variable ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 4) AS value FROM t""",
 }
 ORACLES["pc_recursion"] = ORACLES["pc_convolution"]

@@ -47,7 +47,7 @@ def field_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def make_anom(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = tables.fields(spark, sf_dir)
-    return _r(fields.make_anom(f.where("expt = 'co2x2'"), f.where("expt = 'base'")), "value").select("variable", "time", "cell", "value")
+    return _r(fields.make_anom(f.where("expt <> 'base'"), f.where("expt = 'base'")), "value").select("expt", "variable", "time", "lat", "lon", "value")
 
 
 def nearest_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,9 +109,10 @@ def exp_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def weighted_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = tables.fields(spark, sf_dir)
-    series = area.fit_mean(f).where("expt = 'co2x2' and variable = 'tas'").join(F.broadcast(fields.time_axis(f)), "time")
-    data = series.select("step", F.explode(F.array(F.lit(0), F.lit(1))).alias("mode"), "value")
-    return _r(resp.weighted_residual(data, resp.fixed_params(f), F.lit(1.0) / (F.col("mode") + 1)), "residual")
+    series = area.fit_mean(f).join(F.broadcast(fields.time_axis(f)), "time")
+    data = series.select("expt", "variable", "step", F.explode(F.array(F.lit(0), F.lit(1))).alias("mode"), "value")
+    out = resp.weighted_residual(data, resp.fixed_params(f), F.lit(1.0) / (F.col("mode") + 1))
+    return _r(out, "residual").select("expt", "variable", "step", "mode", "residual")
 
 
 def synthetic_forcing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,6 +192,34 @@ def fit_timescales(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit.fit_timescales(series, area.amplitude_guess(kept), _modes(spark))
 
 
+def _noise_free(spark: SparkSession, sf_dir: str) -> scenario.PatternModel:
+    one = spark.createDataFrame([("tas", 1), ("pr", 1)], "variable string, n_modes int")
+    steps = spark.createDataFrame(list(STEP_SIZES), "expt string, step_size double")
+    return scenario.PatternModel.fit(tables.noise_free_fields(spark, sf_dir), one, steps)
+
+
+def trained_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _noise_free(spark, sf_dir).params.where("expt <> 'base'")
+    return _r(out, "s", "tau", digits=2).select("expt", "variable", "mode", "s", "tau", "tau_max")
+
+
+def trained_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _noise_free(spark, sf_dir).patterns.where("expt <> 'base'")
+    return _r(out, "v", digits=3).select("expt", "variable", "mode", "cell", "v")
+
+
+def trained_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _noise_free(spark, sf_dir).predict(tables.forcing(spark, sf_dir), "tas", "co2x2")
+    return _r(out, "value", digits=2).select("variable", F.col("time").cast("int").alias("time"), "cell", "value")
+
+
+def model_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fitted to the fields themselves, several modes each, and predicted for a scenario of emissions."""
+    steps = spark.createDataFrame(list(STEP_SIZES), "expt string, step_size double")
+    model = scenario.PatternModel.fit(tables.fields(spark, sf_dir, "annual"), _modes(spark), steps)
+    return _from_emissions(spark, sf_dir, model, False)
+
+
 def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(year, expt): experiment names from priorities and months of orders."""
     orders = tables.table(spark, sf_dir, "orders")
@@ -236,6 +265,40 @@ def step_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(experiments.step_scaling(totals), "scaling")
 
 
+def gas_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(tables.gases(spark, sf_dir), "beta", "tau1", "sarf_to_erf", digits=6)
+
+
+def _scenario(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    emissions = _emissions_long(spark, sf_dir).withColumn("value", F.col("value") / 1e6)
+    return emissions, tables.concentrations(spark, sf_dir), tables.gases(spark, sf_dir)
+
+
+def gas_forcing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = [forcing.gas_forcing(*_scenario(spark, sf_dir), emission_steps=START, conc_run=x).withColumn("conc_run", F.lit(x)) for x in (False, True)]
+    return _r(out[0].unionByName(out[1]), "f", digits=5).select("conc_run", "species", "k", "f")
+
+
+def run_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(experiments.run_scaling(*_scenario(spark, sf_dir), ["base", "co2x2", "bcx10", "sulx7"], START), "scaling")
+
+
+def _from_emissions(spark: SparkSession, sf_dir: str, model: scenario.PatternModel, conc_run: bool) -> DataFrame:
+    return model.predict_emissions(*_scenario(spark, sf_dir), EXPERIMENTS, ["tas", "pr"], conc_run, emission_steps=START)
+
+
+def predict_emissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = _model(spark, sf_dir)
+    out = [_from_emissions(spark, sf_dir, model, x).withColumn("conc_run", F.lit(x)) for x in (False, True)]
+    return _r(out[0].unionByName(out[1]), "value", digits=3).select("conc_run", "variable", F.year("time").alias("year"), "cell", "value")
+
+
+def stack_experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables read by a path callback, one under the other: rows and balances of each."""
+    out = readers.stack_experiments(spark, ["supplier", "customer"], lambda e: f"{sf_dir}/{e}.parquet")
+    return out.groupBy("expt", "expt_idx").agg(F.count("*").alias("n"), F.round(F.avg(F.coalesce("s_acctbal", "c_acctbal")), 4).alias("balance"), F.count("s_suppkey").alias("n_suppliers"))
+
+
 def aerosol_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = tables.table(spark, sf_dir, "orders")
     species = tables._named(tables.SPECIES, "o_orderpriority")
@@ -295,11 +358,11 @@ def period_change(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def anchored_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two periods under one another, both less the first value of the earlier one."""
-    series = area.fit_mean(tables.fields(spark, sf_dir)).where("variable = 'tas'").select("expt", "time", "value")
+    series = area.fit_mean(tables.fields(spark, sf_dir)).select("expt", "variable", "time", "value")
     past = series.where(F.col("time") < START).withColumn("period", F.lit("past"))
     later = series.where(F.col("time") >= START).withColumn("period", F.lit("scenario"))
     earlier: Column = F.col("period") == "past"
-    return _r(diagnostics.anchored(past.unionByName(later), "time", ("expt",), earlier), "value")
+    return _r(diagnostics.anchored(past.unionByName(later), "time", ("expt", "variable"), earlier), "value")
 
 
 QUERIES = {
@@ -311,5 +374,6 @@ QUERIES = {
         pattern_map, reconstruct, predict_forcing, predict_combined, fit_timescales, parse_experiment, experiment_label, emissions_long,
         plateau, perturbation, step_scaling, aerosol_mapping, forcer_attribution, natural_emissions, species_forcing, forcing_stack,
         diag_prediction_mean, diag_global_means, diag_weighted_means, diag_fast_means, period_change, anchored_series,
+        trained_params, trained_patterns, trained_prediction, model_prediction, gas_parameters, gas_forcing, run_scaling, predict_emissions, stack_experiments,
     )
 }

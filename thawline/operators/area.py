@@ -19,7 +19,7 @@ def weights_2d(fields: DataFrame) -> DataFrame:
 
 
 def weights_3d(fields: DataFrame) -> DataFrame:
-    return fields.select("time").distinct().join(F.broadcast(weights_2d(fields)))
+    return weights_2d(fields).join(F.broadcast(fields.select("time").distinct()))  # one axis
 
 
 def _mean_weight(fields: DataFrame) -> DataFrame:

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from thawline.functions.columns import multiplier_of, species_of
+from thawline.operators.forcing import TOTAL, gas_forcing
 
 AEROSOLS = ("SO2", "BC", "OC")
 #: Aerosol components and the precursor that stands for each.
 COMPONENTS = {"SO4_IND": "SO2", "BMB_AEROS_BC": "BC", "BMB_AEROS_OC": "OC"}
-TOTAL = "Total_forcing"
 
 
 def parse_experiments(names: DataFrame, expt: str = "expt", control: str = "base") -> DataFrame:
@@ -34,6 +34,14 @@ def plateau(series: DataFrame, start: int, length: int = 7, by: tuple[str, ...]
     return series.withColumn("value", F.when(F.col("k").between(start, start + length - 1), at).otherwise(F.col("value")))
 
 
+def plateau_from(series: DataFrame, start: DataFrame, length: int = 7, by: tuple[str, ...] = ("species",)) -> DataFrame:
+    """The same for a start that is known as one row (start)."""
+    both = series.join(F.broadcast(start))
+    at = F.max(F.when(F.col("k") == F.col("start"), F.col("value"))).over(Window.partitionBy(*by))
+    inside = F.col("k").between(F.col("start"), F.col("start") + length - 1)
+    return both.withColumn("value", F.when(inside, at).otherwise(F.col("value"))).drop("start")
+
+
 def perturb(series: DataFrame, experiments: DataFrame, start: int, length: int = 7) -> DataFrame:
     """(expt, species, k, value): the series under each experiment.
 
@@ -47,6 +55,21 @@ def perturb(series: DataFrame, experiments: DataFrame, start: int, length: int =
     return both.withColumn("value", F.when(hit, at * F.col("multiplier")).otherwise(F.col("value"))).select("expt", "species", "k", "value")
 
 
+def run_scaling(
+    emissions: DataFrame, concentrations: DataFrame, gases: DataFrame, names: list[str], start: int, length: int = 7, control: str = "base"
+) -> DataFrame:
+    """(expt, scaling) of experiments by name: the total forcing that each's perturbation adds in the last step.
+
+    Emissions and concentrations (species, k, value) of the perturbed species have their value of ``start`` times the
+    multiplier from then on; all runs, in one plan keyed by experiment, are driven by concentrations and end at
+    ``start`` + 5.
+    """
+    runs = emissions.sparkSession.createDataFrame([(e,) for e in names], "expt string")
+    until = lambda df: perturb(df, runs, start, length).where(F.col("k") <= start + 5)
+    forcing = gas_forcing(until(emissions), until(concentrations), gases, ("expt",), conc_run=True)
+    return step_scaling(forcing.groupBy("expt", "k").agg(F.sum("f").alias("f")), control)
+
+
 def step_scaling(totals: DataFrame, control: str = "base") -> DataFrame:
     """(expt, scaling): last total less the control's last; totals (expt, k, f). 0 for the control."""
     last = totals.groupBy("expt").agg(F.max_by("f", "k").alias("last"))
@@ -80,7 +103,7 @@ def check_experiments(experiments: list[str], control: str = "base") -> None:
         raise ValueError("one CO2 experiment is needed, to which all other forcing goes")
 
 
-def attribution_targets(df: DataFrame, species: list[str], experiments: list[str], fix_sul_alias: bool = False) -> DataFrame:
+def attribution_targets(session: SparkSession, experiments: list[str], fix_sul_alias: bool = False) -> DataFrame:
     """(species, expt): the experiment that a species' forcing goes to; species that stay with CO2 are left out.
 
     The first experiment of a species gets it. An experiment named ``sul`` gets none unless ``fix_sul_alias``.
@@ -89,15 +112,10 @@ def attribution_targets(df: DataFrame, species: list[str], experiments: list[str
     names = [e.split("x")[0].upper() for e in experiments]
     if fix_sul_alias:
         names = ["SO2" if n == "SUL" else n for n in names]
-    session = df.sparkSession
+    own = session.createDataFrame([(n, experiments[names.index(n)]) for n in dict.fromkeys(names)], "species string, expt string")
     present = session.createDataFrame([([n for n in names if n in AEROSOLS],)], "present array<string>")
-    mapped = {r["component"]: r["target"] for r in aerosol_mapping(present).collect()}  # six rows at most
-    rows = []
-    for s in species:
-        target = s if s in names else mapped.get(s)
-        if target is not None and target in names:
-            rows.append((s, experiments[names.index(target)]))
-    return session.createDataFrame(rows, "species string, expt string")
+    mapped = aerosol_mapping(present).join(own.withColumnRenamed("species", "target"), "target").select(F.col("component").alias("species"), "expt")
+    return own.unionByName(mapped.join(own, "species", "left_anti"))
 
 
 def attribute_forcing(forcing: DataFrame, experiments: list[str], fix_sul_alias: bool = False) -> DataFrame:
@@ -107,8 +125,7 @@ def attribute_forcing(forcing: DataFrame, experiments: list[str], fix_sul_alias:
     """
     co2 = next((e for e in experiments if e.split("x")[0].upper() == "CO2"), None)
     parts = forcing.where(F.col("species") != TOTAL)
-    species = [r["species"] for r in parts.select("species").distinct().collect()]  # species of one model
-    targets = attribution_targets(forcing, species, experiments, fix_sul_alias)
+    targets = attribution_targets(forcing.sparkSession, experiments, fix_sul_alias)  # some rows an experiment
     expt = F.coalesce(F.col("expt"), F.lit(co2))
     got = parts.join(F.broadcast(targets), "species", "left").groupBy(expt.alias("expt"), "k").agg(F.sum("f").alias("f"))
     every = forcing.select("k").distinct().withColumn("expt", F.explode(F.array(*[F.lit(e) for e in experiments])))

@@ -41,10 +41,15 @@ def anomaly(fields: DataFrame, control: str = "base") -> DataFrame:
     return fields.join(control_climatology(fields, control), CELL, "left").withColumn("value", F.col("value") - F.col("climatology")).drop("climatology")
 
 
-def make_anom(experiment: DataFrame, control: DataFrame) -> DataFrame:
-    """An experiment less a control's mean, on cells that both have."""
+def make_anom(experiment: DataFrame, control: DataFrame, fill: bool = True) -> DataFrame:
+    """(expt, variable, time, lat, lon, value): an experiment less a control's mean, on cells that both have.
+
+    ``fill``: every cell of their grid has a row, gaps filled from the nearest value along latitudes, then longitudes.
+    """
     mean = control.groupBy(*CELL).agg(F.avg("value").alias("climatology"))
-    return experiment.join(mean, CELL).withColumn("value", F.col("value") - F.col("climatology")).drop("climatology")
+    out = experiment.join(mean, CELL).withColumn("value", F.col("value") - F.col("climatology"))
+    out = out.select("expt", "variable", "time", "lat", "lon", "value")
+    return nearest_fill(nearest_fill(on_full_grid(out), "lat"), "lon") if fill else out
 
 
 def time_axis(fields: DataFrame) -> DataFrame:

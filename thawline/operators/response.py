@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from thawline.functions.columns import response
+from thawline.functions.columns import faded_sums, response
 
 #: Parameters used where none were fitted: mode, amplitude, time scale.
 FIXED = ((0, 3.0, 10.0), (1, 1.5, 100.0))
@@ -27,9 +27,9 @@ def exp_sum(steps: DataFrame, params: DataFrame) -> DataFrame:
 
 
 def weighted_residual(data: DataFrame, params: DataFrame, weights: Column) -> DataFrame:
-    """(step, mode, residual) of ``data`` (step, mode, value) from the basis, weighted by mode."""
+    """``data`` (step, mode, value and others) with the residual from the basis, weighted by mode, in place of the value."""
     basis = exp_basis(data.select("step").distinct(), params)
-    return data.join(basis, ["step", "mode"]).select("step", "mode", (weights * (F.col("value") - F.col("u"))).alias("residual"))
+    return data.join(basis, ["step", "mode"]).withColumn("residual", weights * (F.col("value") - F.col("u"))).drop("value", "u")
 
 
 def forcing_increments(forcing: DataFrame, step: float | Column = 7.41, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -59,21 +59,21 @@ def pc_convolution(increments: DataFrame, params: DataFrame, keys: tuple[str, ..
 
 
 def pc_recursion(increments: DataFrame, params: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """The same in time linear in the series' length, one array a series: z = (z + s * d) * exp(-1 / tau), y = s * sum(d) - z."""
-    series = increments.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "d"))), lambda x: x.d).alias("d"))
-    both = series.join(F.broadcast(params), [c for c in keys if c in params.columns]) if keys and set(keys) & set(params.columns) else series.join(F.broadcast(params))
-    start = F.struct(F.lit(0.0).alias("z"), F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("y"))
-    fold = F.aggregate(
-        "d",
-        start,
-        lambda a, d: F.struct(
-            ((a.z + F.col("s") * d) * F.exp(-1 / F.col("tau"))).alias("z"),
-            (a.sum + d).alias("sum"),
-            F.concat(a.y, F.array(F.col("s") * a.sum - a.z)).alias("y"),
-        ),
-        lambda a: a.y,
+    """The same in n * log2(n) steps for n points, one array a series: z = (z + s * d) * exp(-1 / tau), y = s * sum(d) - z."""
+    w = Window.partitionBy(*keys).orderBy("k")
+    begun, unknown = F.row_number().over(w) > 1, F.col("d").isNull()
+    zero = F.when(unknown, F.lit(None).cast("double")).otherwise(0.0)
+    held = increments.withColumns(
+        {"x": F.when(begun, F.lag("d").over(w)).otherwise(zero), "sum": F.when(begun, F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, -1))).otherwise(zero)}
     )
-    return both.select(*keys, *[c for c in params.columns if c not in (*keys, "s", "tau")], F.posexplode(fold).alias("k", "y"))
+    point = F.struct(F.col("k").cast("double").alias("t"), "x", "sum")
+    series = held.groupBy(*keys).agg(F.array_sort(F.collect_list(point)).alias("points"))
+    shared = [c for c in keys if c in params.columns]
+    both = series.join(F.broadcast(params), shared) if shared else series.join(F.broadcast(params))
+    moved = F.transform("points", lambda p: F.struct(p.t.alias("t"), (F.col("s") * p.x * F.exp(-1 / F.col("tau"))).alias("x")))
+    both = both.withColumn("z", faded_sums(moved, "tau"))
+    y = F.zip_with("points", "z", lambda p, z: F.col("s") * p.sum - z.x)
+    return both.select(*keys, *[c for c in params.columns if c not in (*keys, "s", "tau")], F.posexplode(y).alias("k", "y"))
 
 
 def projection_weights(basis: DataFrame) -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thawline.operators import area, experiments, fields, fit, response
+from thawline.operators import area, experiments, fields, fit, forcing, response
 
 FIELD = ("expt", "variable")
 
@@ -35,11 +35,21 @@ class PatternModel:
         params = fit.fit_timescales(series, area.amplitude_guess(kept), modes, loss)
         basis = response.exp_basis(axis.select("step"), params.select(*FIELD, "mode", "s", "tau"))
         n = axis.agg(F.count("*").alias("n_steps"))
-        both = kept.join(F.broadcast(n)).join(F.broadcast(fit.pseudo_inverse(basis)), [*FIELD, "step"])
+        both = kept.join(F.broadcast(n)).join(fit.pseudo_inverse(basis), [*FIELD, "step"])
         whole = F.count("value") == F.first("n_steps")
         patterns = both.groupBy(*FIELD, "mode", "cell", "lat", "lon").agg(F.when(whole, F.sum(F.col("w") * F.col("value"))).alias("v"))
         return cls(params, patterns, steps)
 
+    def save(self, path: str) -> PatternModel:
+        """Write the model's tables under ``path``; the one returned reads them, so that nothing is fitted again."""
+        for name in ("params", "patterns", "steps"):
+            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        return PatternModel.load(self.params.sparkSession, path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> PatternModel:
+        return cls(*(spark.read.parquet(f"{path}/{name}") for name in ("params", "patterns", "steps")))
+
     def predict(self, forcing: DataFrame, variable: str, expt: str, year_0: int = 1850) -> DataFrame:
         """(expt, variable, time, cell, lat, lon, value) for a forcing series (k, f) that acts as ``expt`` does."""
         rows = self._predict(forcing.withColumn("expt", F.lit(expt)), [variable])
@@ -51,6 +61,23 @@ class PatternModel:
         shares = experiments.attribute_forcing(forcing, names).where(F.col("expt") != control)
         return combine(self._predict(shares, variables), year_0)
 
+    def predict_emissions(
+        self, emissions: DataFrame, concentrations: DataFrame, gases: DataFrame, names: list[str], variables: list[str], conc_run: bool = False,
+        emission_steps: int = 100, last: int = 2100, control: str = "base", year_0: int = 1850,
+    ) -> DataFrame:
+        """(variable, time, cell, lat, lon, value) of a scenario of emissions and concentrations (species, k, value) up to step ``last``.
+
+        Concentrations drive the first ``emission_steps`` steps. With ``conc_run`` they drive all, and from there on both
+        stay at their value for seven steps.
+        """
+        until = lambda df: df.where(F.col("k") <= last)
+        emissions, concentrations = until(emissions), until(concentrations)
+        if conc_run:
+            begin = emissions.agg((F.min("k") + emission_steps).alias("start"))  # one row
+            emissions, concentrations = (experiments.plateau_from(df, begin) for df in (emissions, concentrations))
+        shares = forcing.gas_forcing(emissions, concentrations, gases, emission_steps=emission_steps, conc_run=conc_run)
+        return self.predict_scenario(shares, names, variables, control, year_0)
+
     def _predict(self, forcing: DataFrame, variables: list[str]) -> DataFrame:
         own = lambda df: df.where(F.col("variable").isin(variables))
         return predict(forcing, own(self.params).select(*FIELD, "mode", "s", "tau"), own(self.patterns), self.steps)
@@ -64,7 +91,7 @@ def predict(forcing: DataFrame, params: DataFrame, patterns: DataFrame, steps: D
     """
     sized = forcing.join(F.broadcast(steps), "expt")
     moved = response.forcing_increments(sized, F.col("step_size"), ("expt",))
-    pcs = response.pc_convolution(moved, params, ("expt",)).withColumnRenamed("y", "u")
+    pcs = response.pc_recursion(moved, params, ("expt",)).withColumnRenamed("y", "u")
     both = pcs.join(patterns, ["expt", "variable", "mode"])
     return both.groupBy(*FIELD, "k", "cell", "lat", "lon").agg(response._all(F.col("u") * F.col("v")).alias("value"))
 

@@ -75,3 +75,33 @@ def emissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(_named(SPECIES, "o_orderpriority").alias("species"), month_index("o_orderdate").alias("k"), "o_totalprice")
     wide = orders.groupBy("k").pivot("species", list(SPECIES.values())).agg(F.sum("o_totalprice"))
     return wide.fillna(0.0)
+
+
+def concentrations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Concentrations (species, k, value) of the species that have one: by mean order total of a month."""
+    orders = table(spark, sf_dir, "orders").select(_named(SPECIES, "o_orderpriority").alias("species"), month_index("o_orderdate").alias("k"), "o_totalprice")
+    return orders.where(F.col("species").isin("CO2", "CH4")).groupBy("species", "k").agg((F.avg("o_totalprice") / 1e4 + 250.0).alias("value"))
+
+
+def gases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of gases in the form of a gas file, its parameters from sizes and prices of parts."""
+    kinds = F.array(*[F.lit(x) for x in SPECIES.values()])
+    parts = table(spark, sf_dir, "part").select(F.get(kinds, F.col("p_size").cast("int") % 5).alias("gas"), "p_size", "p_retailprice")
+    means = parts.groupBy("gas").agg(F.avg("p_size").alias("size"), F.avg("p_retailprice").alias("price"))
+    zero, aerosol = F.lit(0.0), F.col("gas").isin("SO2", "BC", "OC")
+    return means.select(
+        "gas", F.lit("Tg").alias("em_unit"), F.when(aerosol, "-").otherwise("ppm").alias("conc_unit"), (F.col("price") / 500).alias("beta"), zero.alias("alpha"),
+        F.col("size").cast("double").alias("tau1"), zero.alias("tau2"), zero.alias("tau3"), F.lit(1.5).alias("natural_emissions"), (F.col("size") / 25).alias("sarf_to_erf"),
+    )
+
+
+def noise_free_fields(spark: SparkSession, sf_dir: str, tau: float = 6.0) -> DataFrame:
+    """Annual fields of a control that stays at each cell's mean, and of an experiment that adds a response of one time scale to it."""
+    f = fields(spark, sf_dir, "annual").where("expt = 'base'")
+    amplitude = f.groupBy("variable", "cell", "lat", "lon").agg(F.avg("value").alias("a"))
+    steps = f.select("time").distinct()
+    both = amplitude.join(F.broadcast(steps))  # one axis
+    first = steps.agg(F.min("time").alias("first"))
+    both = both.join(F.broadcast(first)).withColumn("rise", F.col("a") * (1 - F.exp((F.col("first") - F.col("time")) / F.lit(tau))))
+    own = lambda e, x: both.select(F.lit(e).alias("expt"), "variable", "time", "cell", "lat", "lon", x.alias("value"))
+    return own("base", F.col("a")).unionByName(own("co2x2", F.col("a") + F.col("rise")))

@@ -35,18 +35,20 @@ def stream_response(forcing: DataFrame, params: list[tuple[int, float, float]],
         if state.exists:
             last, f0, f_last, held = state.get
             z = np.array(held)
-        out = []
-        for k, f in zip(pdf["k"], pdf["f"], strict=True):
-            if k <= last:
-                continue
-            if last < 0:
+        ks, fs = pdf["k"].to_numpy(), pdf["f"].to_numpy(float)
+        new = np.concatenate((ks[:1] > last, (ks[1:] > last) & (ks[1:] != ks[:-1])))
+        ks, fs = ks[new], fs[new]
+        y = np.empty((len(ks), len(mode)))
+        for i, f in enumerate(fs):
+            if last < 0 and not i:
                 f0 = f_last = f
-            z = (z + s * (f - f_last) / step) * fade if last >= 0 else z
-            out.append(pd.DataFrame({"scenario": key[0], "k": int(k), "mode": mode, "y": s * (f - f0) / step - z}))
-            last, f_last = int(k), float(f)
-        state.update((last, float(f0), f_last, [float(x) for x in z]))
-        if out:
-            yield pd.concat(out)
+            else:
+                z = (z + s * (f - f_last) / step) * fade
+            y[i], f_last = s * (f - f0) / step - z, f
+        if len(ks):
+            last = int(ks[-1])
+            yield pd.DataFrame({"scenario": key[0], "k": np.repeat(ks, len(mode)), "mode": np.tile(mode, len(ks)), "y": y.ravel()})
+        state.update((last, float(f0), float(f_last), [float(x) for x in z]))
 
     return forcing.groupBy("scenario").applyInPandasWithState(
         respond, "scenario string, k long, mode int, y double", "last long, f0 double, f_last double, z array<double>", "append", GroupStateTimeout.NoTimeout
