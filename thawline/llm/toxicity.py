@@ -7,8 +7,8 @@ for a word without any association, up to 1 for the strongest (phi coefficient o
 TF-IDF. Which floor is used is decided by the log-loss on further labelled documents.
 
 The examples lie in an inverted index. A word's postings are cut into blocks of examples, each with its greatest weight,
-so that the blocks' greatest cosines with a document are known before any posting is read. Blocks are read from the
-greatest on until none left can hold one of the k nearest; these are exact. Their labels, weighted by cosine, are the
+so that the blocks' greatest cosines with a document are known before any posting is read. The blocks of greatest bound
+are read first, of the others those that can hold one of the k nearest; these are exact. Their labels, weighted by cosine, are the
 vote, and a logistic curve, fitted on the further labelled documents, makes a probability of it.
 """
 
@@ -52,7 +52,7 @@ class Index(NamedTuple):
     def build(cls, word: np.ndarray, example: np.ndarray, weight: np.ndarray, n_words: int, n_examples: int) -> Index:
         order = np.lexsort((example, word))
         word, example, weight = word[order], example[order].astype(np.int32), weight[order]
-        block = example // BLOCK
+        block = (example // BLOCK).astype(np.int32)
         new = np.ones(len(word), bool)
         new[1:] = (word[1:] != word[:-1]) | (block[1:] != block[:-1])
         at = np.flatnonzero(new)
@@ -63,24 +63,16 @@ class Index(NamedTuple):
         """Places and cosines of the k nearest examples (of cosine over 0), best first, ties by place."""
         size = self.of[terms + 1] - self.of[terms]
         run, weights = _ranges(self.of[terms], size), np.repeat(weights, size)
-        bound = np.bincount(self.block[run], self.top[run] * weights, -(-self.n_examples // BLOCK))
-        blocks = np.argsort(-bound, kind="stable")
-        rank = np.empty(len(blocks), np.int64)
-        rank[blocks] = np.arange(len(blocks))
-        order = np.argsort(rank[self.block[run]], kind="stable")
-        run, weights = run[order], weights[order]
-        ends = np.searchsorted(rank[self.block[run]], np.arange(len(blocks)), "right")
-        cosines, read, done, more = np.zeros(self.n_examples), 0, 0, 2
-        while done < len(blocks) and bound[blocks[done]] > 0:
+        block, cosines = self.block[run], np.zeros(self.n_examples)
+        bound = np.bincount(block, self.top[run] * weights, -(-self.n_examples // BLOCK))
+        first = np.zeros(len(bound), bool)
+        first[np.argsort(-bound, kind="stable")[: 1 + k // BLOCK]] = True  # enough blocks to hold k
+        least = 0.0
+        for read in (first, ~first):
+            here = (read & (bound > 0) & (bound >= least))[block]  # of blocks that can hold one as near
+            self._add(cosines, run[here], weights[here])
             known = cosines[cosines > 0]
             least = np.partition(known, len(known) - k)[len(known) - k] * (1 - 1e-9) if len(known) >= k else 0.0
-            left = int(np.searchsorted(-bound[blocks], -least, "right"))  # blocks that can hold one as near
-            if left <= done:
-                break
-            done = min(done + more, left)
-            more *= 2
-            self._add(cosines, run[read : ends[done - 1]], weights[read : ends[done - 1]])
-            read = ends[done - 1]
         found = np.flatnonzero(cosines > 0)
         if len(found) > k:
             found = found[cosines[found] >= np.partition(cosines[found], len(found) - k)[len(found) - k]]
