@@ -153,7 +153,8 @@ def test_fit_recovers_noise_free_parameters_and_beats_truth_with_noise():
     t = np.arange(100)
     clean = 2 * (1 - np.exp(-t / 4)) + 1.5 * (1 - np.exp(-t / 120))
     s, tau, cost, _ = fit.fit_series(clean, 1.0, 2)
-    np.testing.assert_allclose(np.concatenate((s, tau)), [2, 1.5, 4, 120], rtol=0.05)
+    np.testing.assert_allclose(np.concatenate((s, tau)), [2, 1.5, 4, 120], rtol=1e-6)
+    assert cost < 1e-30
     noisy = clean + np.random.RandomState(0).randn(100) * 0.05
     assert fit.fit_series(noisy, 1.0, 2)[2] <= ((noisy - clean) ** 4).sum()
     with pytest.raises(ValueError):
