@@ -11,16 +11,27 @@ from thawline.llm import decontam, jaccard, mixing, queries, tokenfiles
 from thawline.llm.common import materialize, shared_dir, table
 
 
+def _plain(docs: DataFrame) -> DataFrame:
+    """``docs`` with its other columns named by place, so that they clash with none of a stage's own."""
+    return docs.toDF(*[c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(docs.columns)])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity score doesn't reject."""
-    scored = queries.toxicity_scores(spark, docs, sf_dir, keep_text=True)
-    return scored.where("predicted = 0").select(*docs.columns)
+    """Documents that the toxicity score doesn't reject, at 0.7.
+
+    Null and empty texts have the score of the base rate and stay; repeated rows stay or go together, rows without doc_id
+    are scored like others. Columns keep their names and order, also one named as the score's are.
+    """
+    plain = _plain(docs)
+    scored = queries.toxicity_scores(spark, plain, sf_dir, keep_text=True)
+    return scored.where("predicted = 0").select(*plain.columns).toDF(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of least doc_id; a repeated row once. Rows without doc_id stay.
 
-    Rows are known by doc_id and text, so unlike texts of one doc_id are documents of their own.
+    Rows are known by doc_id and text, so unlike texts of one doc_id are documents of their own. Null and empty texts are
+    in no group and stay. Of repeated rows that differ in other columns alone one stays, any of them.
     """
     key = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
     groups = materialize(jaccard.jaccard_components(docs.select(key.alias("doc_id"), "text")), "groups")
@@ -28,29 +39,35 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     rows = docs.where("doc_id is not null").select(key.alias("_key"), "doc_id").groupBy("_key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("m"))
     kept = rows.join(groups, "_key").groupBy("component").agg(F.min(F.struct("doc_id", "_key", "m")).alias("first"))
     kept = materialize(kept.select("first._key", "first.m"), "kept")
-    keyed = docs.withColumn("_key", key)
+    plain = _plain(docs)
+    keyed = plain.withColumn("_key", key)
     out = keyed.join(kept.where("m = 1"), "_key", "left_semi")
     again = keyed.join(kept.where("m > 1"), "_key", "left_semi").dropDuplicates(["_key"])
-    return out.unionByName(again).unionByName(keyed.where("doc_id is null")).select(*docs.columns)
+    return out.unionByName(again).unionByName(keyed.where("doc_id is null")).select(*plain.columns).toDF(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
+    """Documents that hold no window of a benchmark item. Null and empty texts hold none; repeated rows go together."""
     found = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated")
     found = materialize(found.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")), "contaminated")
     same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_t"))
-    return docs.join(found, same, "left_anti")
+    plain = _plain(docs)
+    return plain.join(found, same, "left_anti").toDF(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their rates say, each once at least: domains are raised to their weights, none is cut."""
+    """Documents as often as their rates say, each once at least: domains are raised to their weights, none is cut.
+
+    Null and empty texts have no tokens and the rate of the prior; repeated rows, which share doc_id and text, are drawn alike.
+    """
     labels = queries.domains_of(table(spark, sf_dir, "labels"))
-    mixed = mixing.mix(docs, labels, {"high": 0.9, "low": 0.1}, least=1.0)
-    return mixing.drawn(mixed, "doc_id", "text").select(*docs.columns)
+    plain = _plain(docs)
+    mixed = mixing.mix(plain, labels, {"high": 0.9, "low": 0.1}, least=1.0)
+    return mixing.drawn(mixed, "doc_id", "text").select(*plain.columns).toDF(*docs.columns)
 
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files, and their index as read back."""
+    """Token files, and their index as read back: a row a document, null texts with the end id alone, null doc_ids first."""
     path = f"{shared_dir(spark)}/thawline/{uuid.uuid4().hex}/tokens.orc"
     tokenfiles.write_tokens(docs, path)
     return tokenfiles.token_index(spark, path)

@@ -522,6 +522,62 @@ def test_pipeline_stages(spark, tmp_path):
     assert all(stage(spark, empty, sf).count() == 0 for _, stage in corpus_pipeline.STAGES)
 
 
+def test_pipeline_against_brute_force(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    sf = "/root/testdata/sf0.001"
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    given = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source")
+    item = pd.read_parquet(f"{sf}/benchmark.parquet").text.dropna().tolist()
+    texts = given.toPandas().text.tolist()
+    odd = [(None, "no id here", "x"), (9001, None, "x"), (9002, "", "x"), (9003, item[0], "x"), (9004, "word " * 20_000, "x"), (9005, texts[0], "x"), (9001, None, "x"), (None, None, None)]
+    docs = given.unionByName(spark.createDataFrame(odd, given.schema))
+    docs = docs.withColumnRenamed("source", "score").withColumn("a.b", F.lit(1)).withColumn("_key", F.lit(2)).withColumn("rate", F.lit(3)).withColumn("_d", F.lit(4))
+    key = lambda rows: sorted(((r.doc_id, r.text) for r in rows), key=str)
+    held = []
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        out.write.parquet(str(tmp_path / name))
+        out = spark.read.parquet(str(tmp_path / name))
+        rows, got = docs.select("doc_id", "text").collect(), out.collect()
+        if name != "token_files":
+            assert out.columns == docs.columns
+        if name == "toxicity":
+            kept = {(r.doc_id, r.text) for r in got}
+            assert len(got) == sum((r.doc_id, r.text) in kept for r in rows) and {(None, "no id here"), (9001, None), (9002, ""), (None, None)} <= kept
+        elif name == "jaccard_join":
+            nodes = sorted({(r.doc_id, r.text) for r in rows if r.doc_id is not None}, key=lambda r: (r[0], str(r[1])))
+            sets, group = [shingles(t) for _, t in nodes], list(range(len(nodes)))
+            for i in range(len(nodes)):
+                for j in range(i):
+                    both = len(sets[i] & sets[j])
+                    if both and 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both) and group[i] != group[j]:
+                        a, b = sorted((group[i], group[j]))
+                        group = [a if g == b else g for g in group]
+            expect = [nodes[g] for g in sorted(set(group))] + [(r.doc_id, r.text) for r in rows if r.doc_id is None]
+            assert key(got) == sorted(expect, key=str)
+        elif name == "decontamination":
+            windows = set()
+            for x in item:
+                w = ALNUM.findall(lower(x))
+                windows |= {tuple(w[i : i + 10]) for i in range(max(1, len(w) - 9))} if w else set()
+            sizes = {len(w) for w in windows}
+            bad = lambda t: any(tuple(w[i : i + m]) in windows for w in [ALNUM.findall(lower(t))] for m in sizes for i in range(len(w) - m + 1))
+            assert key(got) == sorted(((r.doc_id, r.text) for r in rows if not bad(r.text)), key=str) and not any(r.doc_id == 9003 for r in got)
+        elif name == "mixing":
+            copies = {k: key(got).count(k) for k in set(key(got))}
+            assert set(copies) == set(key(rows)) and min(copies.values()) == 1
+        else:
+            ids = {(r.doc_id, r.text): [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 1] for r in rows}
+            crc = lambda x: zlib.crc32(np.array(x, "<u4").tobytes())
+            assert sorted((r.doc_id or -1, r.n_tokens, r.ids_crc32) for r in got) == sorted((r.doc_id or -1, len(ids[r.doc_id, r.text]), crc(ids[r.doc_id, r.text])) for r in rows)
+            assert sorted(r.start for r in got) == [0, *np.cumsum([r.n_tokens for r in sorted(got, key=lambda r: r.start)])[:-1]]
+        held.append(out)
+        docs = out if name != "token_files" else docs
+
+
 def test_groups_keep_unlike_texts_of_one_id(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     rng = random.Random(12)
