@@ -219,7 +219,7 @@ def mix(
 
     targets: domain to weight. Null and empty texts have no tokens, the prior, and a rate like others of that
     posterior; long texts count whole. Columns of the result that ``docs`` has already are replaced; other columns stay,
-    whatever their names (``text`` unless ``keep_text`` is false, which saves classifying the texts again); repeated rows
+    whatever their names (``text`` unless ``keep_text`` is false, which saves writing the texts); repeated rows
     get equal rates, as do texts of equal posteriors; empty tables give an empty result. ``report`` tells of the result
     which token totals were reached against the targets; where a domain isn't within 0.1% of its own, a warning does too,
     or ValueError is raised with ``unmet="raise"``.
@@ -227,10 +227,8 @@ def mix(
     domains = sorted(targets)
     docs = spread(docs.drop(*[c for c in docs.columns if c.lower() in ("n_tokens", "posterior", "rate")]))
     model = fit(docs, labels, domains, text=text, **fitting)
-    if keep_text:
-        known = materialize(with_posteriors(docs.select(F.col(f"`{text}`").alias("text")), model).select("n_tokens", "posterior"), "posteriors")
-    else:
-        known = materialize(with_posteriors(docs, model, text).drop(text), "posteriors")
+    known = with_posteriors(docs, model, text)
+    known = materialize(known if keep_text else known.drop(text), "posteriors")  # classified once, whatever is asked of the rates
     plan = solve(known.select("n_tokens", "posterior"), [targets[d] for d in domains], budget, least)
     told = {"domains": domains, "reached": plan.reached, "targets": plan.targets, "met": plan.met, "optimal": plan.optimal}
     if not plan.met:
@@ -239,8 +237,7 @@ def mix(
         if unmet == "raise":
             raise ValueError(f"token targets not met ({how}): {totals}")
         warnings.warn(f"token targets not met ({how}): {totals}", stacklevel=2)
-    out = with_posteriors(docs, model, text) if keep_text else known
-    return out.withColumn("rate", rate_of(plan.steps, plan.least).alias("rate", metadata=told))
+    return known.withColumn("rate", rate_of(plan.steps, plan.least).alias("rate", metadata=told))
 
 
 def report(mixed: DataFrame) -> dict:
