@@ -27,8 +27,6 @@ from thawline.llm.common import materialize, shuffle_parts, spread
 GRAM = 8
 #: Bits of a hash that give way to the place.
 PLACE_BITS = 20
-#: Parts that the copies of a frequent stretch are dealt to.
-SHARES = 8
 
 
 def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
@@ -172,8 +170,7 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     places = repeated(materialize(suffixes(docs, least, window), "suffixes"), parts)
     found = materialize(stretches(docs, places, least, window), "stretches")
     shared = found.groupBy("hash").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last")).where("first_doc_id < last").drop("last")
-    shared = materialize(shared, "shared").withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SHARES - 1).cast("long"))))
-    kept = found.withColumn("share", F.pmod(F.xxhash64("doc_id"), F.lit(SHARES))).join(shared, ["hash", "share"])
+    kept = found.join(materialize(shared, "shared"), "hash")  # of a frequent stretch the left rows are split by AQE
     order = Window.partitionBy("doc_id").orderBy("start")
     kept = kept.withColumn("new", F.coalesce((F.col("start") > F.lag("start").over(order) + least).cast("int"), F.lit(1)))
     kept = kept.withColumn("span", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
