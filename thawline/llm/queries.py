@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thawline.llm import decontam, htmltext, jaccard, knn, langid, mixing, secrets, suffixes, tokenfiles, toxicity
+from thawline.llm import decontam, htmltext, jaccard, knn, langid, merkle, mixing, neardup, secrets, spelling, suffixes, tokenfiles, toxicity
 from thawline.llm.common import bucket_of, shared_dir, table
 
 
@@ -78,6 +78,23 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ("doc_id", "source", "lang", "n_chars", "text")
+    lowered = F.translate("text", spelling.UPPER, spelling.LOWER)
+    tampered = F.when(bucket_of("doc_id", 3) == 0, merkle.leaf([lowered if c == "text" else F.col(c) for c in columns]))
+    found = merkle.manifest(table(spark, sf_dir, "documents"), columns, changed=tampered)
+    found = found.withColumn("folded_root", merkle.fold(F.coalesce("changed_leaf", "leaf"), F.col("path")))
+    return found.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_language_id": op2_language_id,
@@ -89,6 +106,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_token_files": op9_token_files,
     "op10_top_k": op10_top_k,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_embedding_near_dedup": op13_embedding_near_dedup,
 }
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 #: crc32 of a value as text, but for the last complement.
@@ -166,5 +186,70 @@ WITH v AS (
 )
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score
 FROM s QUALIFY rank <= 20
+""",
+    "op11_spelling_variants": rf"""
+WITH RECURSIVE t AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, [CAST(0 AS BIGINT) FOR k IN range(8)]), lambda x, z: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))) AS t
+), r AS (
+  SELECT doc_id, {LOWER.format("run")} AS run FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents WHERE text IS NOT NULL)
+), d AS (SELECT doc_id, run, count(*) AS n FROM r WHERE length(run) >= 7 GROUP BY ALL),
+b AS (SELECT *, list_transform(flatten([CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [195, unicode(c) - 64] END FOR c IN string_split(doc_id || ':' || run, '')]), lambda x: CAST(x AS BIGINT)) AS bytes FROM d),
+h AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda a, x: xor(t[(xor(a, x) & 255) + 1], a >> 8)), 4294967295) AS h FROM b, t),
+w AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h
+  ) WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), g AS (
+  SELECT word, n, unnest([{{'k': word, 'kind': 1}}] || [{{'k': substr(word, 1, i - 1) || substr(word, i + 1), 'kind': 0}} FOR i IN range(1, length(word) + 1)], recursive := true) FROM w
+), s AS (SELECT word, n, unnest([substr(word, 1, i - 1) || '_' || substr(word, i + 1) FOR i IN range(1, length(word) + 1)]) AS k FROM w),
+l AS (
+  SELECT a.word, b.word AS other FROM s a JOIN s b ON a.k = b.k AND a.word <> b.word
+  UNION SELECT a.word, b.word FROM g a JOIN g b ON a.k = b.k AND a.kind = 0 AND b.kind = 1
+  UNION SELECT b.word, a.word FROM g a JOIN g b ON a.k = b.k AND a.kind = 0 AND b.kind = 1
+), o AS (SELECT l.word, l.other, w.n AS other_n, row_number() OVER (PARTITION BY l.word ORDER BY w.n DESC, l.other) AS r, count(*) OVER (PARTITION BY l.word) AS n_near FROM l JOIN w ON w.word = l.other),
+f AS (SELECT w.word, w.n, coalesce(o.n_near, 0) AS n_near, CASE WHEN o.other_n >= 10 * w.n THEN o.other END AS form, CASE WHEN o.other_n >= 10 * w.n THEN o.other_n END AS form_n FROM w LEFT JOIN o ON o.word = w.word AND o.r = 1),
+c AS (SELECT word, word AS at FROM f UNION ALL SELECT c.word, f.form FROM c JOIN f ON f.word = c.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.at AS root, f.n, f.n_near, f.form_n FROM f JOIN c ON c.word = f.word JOIN f e ON e.word = c.at WHERE e.form IS NULL
+""",
+    "op12_merkle_manifest": rf"""
+WITH RECURSIVE v AS (
+  SELECT doc_id, lang, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+    || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head, coalesce(strlen(text) || ':', '-') AS size, coalesce(text, '') AS text, xor({CRC32.format('doc_id')}, 4294967295) % 3 = 0 AS tampered FROM documents
+), d AS (SELECT doc_id, lang, sha256(head || size || text) AS leaf, CASE WHEN tampered THEN sha256(head || size || {LOWER.format("text")}) END AS changed FROM v),
+g AS (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree FROM (SELECT DISTINCT lang FROM d)),
+p AS (SELECT doc_id, tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n, leaf, changed FROM d JOIN g ON d.lang IS NOT DISTINCT FROM g.lang),
+a AS (
+  SELECT 0 AS level, tree, pos, n, leaf AS h FROM p
+  UNION ALL SELECT level + 1, tree, pos // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM a WHERE n > 1 GROUP BY level, tree, pos // 8, (n + 7) // 8
+), sub AS (SELECT tree, level, h FROM a WHERE n = 1),
+b AS (
+  SELECT 0 AS level, tree AS pos, (SELECT count(*) FROM g) AS n, h FROM sub
+  UNION ALL SELECT level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM b WHERE n > 1 GROUP BY level, pos // 8, (n + 7) // 8
+), runs AS (
+  SELECT tree, level, pos // 8 AS run, list(h ORDER BY pos) AS hs FROM a WHERE n > 1 GROUP BY ALL
+), top AS (SELECT level, pos // 8 AS run, list(h ORDER BY pos) AS hs FROM b WHERE n > 1 GROUP BY ALL),
+step AS (
+  SELECT r.tree, r.level, r.run, r.hs FROM runs r
+  UNION ALL SELECT s.tree, s.level + t.level, t.run, t.hs FROM sub s JOIN top t ON t.run = s.tree // CAST(pow(8, t.level + 1) AS BIGINT)
+), f AS (
+  SELECT doc_id, tree, 0 AS level, pos, pos // 8 AS run, leaf, coalesce(changed, leaf) AS h, '' AS proof FROM p
+  UNION ALL
+  SELECT f.doc_id, f.tree, f.level + 1, q.nxt, q.nxt // 8, f.leaf, q.h, q.proof FROM f JOIN sub ON sub.tree = f.tree JOIN step s ON s.tree = f.tree AND s.level = f.level
+    AND s.run = CASE WHEN f.level = sub.level THEN f.tree // 8 ELSE f.run END,
+    LATERAL (SELECT CASE WHEN f.level = sub.level THEN f.tree ELSE f.pos END AS here) o,
+    LATERAL (SELECT o.here // 8 AS nxt, sha256(array_to_string(s.hs[:o.here % 8] || [f.h] || s.hs[o.here % 8 + 2:], '')) AS h, f.proof || array_to_string(s.hs[:o.here % 8] || s.hs[o.here % 8 + 2:], '') AS proof) q
+), last AS (SELECT * FROM f QUALIFY level = max(level) OVER (PARTITION BY doc_id, leaf)),
+root AS (SELECT h FROM b WHERE n = 1)
+SELECT doc_id, leaf, sub.h AS subroot, root.h AS root, sha256(proof) AS proof_sha256, last.h AS folded_root, last.h = root.h AS verified FROM last JOIN sub USING (tree), root
+""",
+    "op13_embedding_near_dedup": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding) AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.98
+), r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id
 """,
 }
