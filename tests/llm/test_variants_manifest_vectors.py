@@ -7,7 +7,6 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -192,7 +191,7 @@ def test_near_duplicates(spark, cell, block):
 def test_cells_are_used(spark):
     rng = np.random.RandomState(0)
     x = np.concatenate([c + rng.randn(100, 8) * 0.05 for c in np.eye(8)[:5] * 3])
-    frame = spark.createDataFrame(pd.DataFrame({"label": 1, "dim": 8, "v": list(x), "node": range(500), "m": 1}), "label int, dim int, v array<double>, node long, m long")
+    frame = spark.createDataFrame([(1, 8, [float(a) for a in v], i, 1) for i, v in enumerate(x)], "label int, dim int, v array<double>, node long, m long")
     centres = neardup.fit_cells(frame, 100, 1024, 32)
     assert len(centres[1, 8]) == 5
     placed = neardup.members(frame, centres, 0.98).toPandas()

@@ -158,9 +158,8 @@ def compare(x: np.ndarray, home: np.ndarray, m: np.ndarray, chunk: np.ndarray, l
     """
     n = len(x)
     count, ties = np.zeros(n, np.int64), []
-    left = np.flatnonzero(chunk == chunk.min(initial=0)) if n else np.zeros(0, np.int64)
-    right = np.flatnonzero(chunk == chunk.max(initial=0)) if n else left
-    one = n > 0 and chunk.min() == chunk.max()
+    left, right = np.flatnonzero(chunk == chunk.min()), np.flatnonzero(chunk == chunk.max())
+    one = chunk.min() == chunk.max()
     for a in range(0, len(left), TILE):
         i = left[a : a + TILE]
         for b in range(a if one else 0, len(right), TILE):
