@@ -1,21 +1,25 @@
 """Mixing sources to target weights by soft membership, in DataFrame functions only.
 
-A naive Bayes classifier, learned from a bounded sample of a labelled table over hashed words and calibrated on another,
-gives each document's posterior over domains. Documents get rates (how often each is to be seen) that minimise the squared
-distance of the domains' expected token totals from their targets, sum over documents of rate * tokens * posterior, cut
-off below at the least rate allowed.
+A logistic regression, learned from a bounded sample of a labelled table, gives each document's posterior over domains. Its
+features are a text's distinct words, hashed to buckets, weighted by how few labelled documents hold them and brought to
+one length, the logarithm of the text's length, and the share of its words that are distinct. Its gradients are aggregations; the coefficients, whose number is fixed, are
+searched on the driver. Documents get rates (how often each is to be seen) that minimise the squared distance of the domains'
+expected token totals from their targets, sum over documents of rate * tokens * posterior, cut off below at the least
+rate allowed.
 
 The search is a projected gradient in its lazy form. By token, the gradient for a document's rate is the sum over domains
 of (total - target) * posterior, so all gradients taken so far are a number a domain, and the rates are the projection
 max(least, first - gradients . posterior). Each round is one aggregation over all documents; only the totals and their
-derivatives, a few numbers, reach the driver. Steps are scaled by those derivatives (a matrix of domains by domains):
-with one step size for all domains strong weights need hundreds to thousands of passes.
+derivatives, a few numbers, reach the driver. Steps are scaled by those derivatives, a matrix of domains by domains, which makes them
+damped Newton steps on a multiplier a domain: with one step size for all domains strong weights need hundreds to
+thousands of passes.
 """
 
 from __future__ import annotations
 
 import math
 import warnings
+from collections.abc import Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -26,12 +30,18 @@ from thawline.llm.common import materialize, spread, unused
 from thawline.llm.decontam import words_of
 
 BUCKETS = 1 << 14
+#: Features beside the buckets: a constant; half of ln(1 + words) less 5, four times the distinct buckets' share of the words less 3, and their squares.
+BIAS = BUCKETS
+FEATURES = BUCKETS + 5
+#: Length of a text's vector of words, and how coefficients of words are held down; chosen on held-out labels.
+LENGTH, PULL = 5.0, 3.0
 
 
 class Classifier(NamedTuple):
-    """domains; weights by bucket for each domain but the first (log odds to it); log of the priors; what the summed weights are multiplied by."""
+    """domains; rarity by bucket; coefficients by feature for each domain but the first (log odds to it); log of the priors; factor of the odds."""
 
     domains: list[str]
+    rarity: list[float]
     weights: list[list[float]]
     prior: list[float]
     scale: float = 1.0
@@ -41,17 +51,40 @@ def _buckets(words: Column) -> Column:
     return F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
 
 
+def _table(numbers: Sequence[float]) -> Column:
+    """An array by feature; the optimizer makes one constant of it."""
+    return F.split(F.lit(",".join(f"{w:.6g}" for w in numbers)), ",").cast("array<double>")
+
+
+def _squares(distinct: Column, rarity: Column) -> Column:
+    return F.aggregate(distinct, F.lit(0.0), lambda s, b: s + F.get(rarity, b) * F.get(rarity, b))
+
+
+def _added(distinct: str, size: str, norm: str, weights: Sequence[float], rarity: Sequence[float]) -> Column:
+    """A text's log odds: of distinct buckets, the length of their vector and the number of words."""
+    both = [w * r for w, r in zip(weights, rarity, strict=False)]
+    words = F.aggregate(distinct, F.lit(0.0), lambda s, b: s + F.get(_table(both), b))
+    return words * LENGTH / F.greatest(F.col(norm), F.lit(1e-9)) + sum((float(w) * x for w, x in zip(weights[BIAS:], _others(distinct, size), strict=True)), F.lit(0.0))
+
+
+def _others(distinct: str, size: str) -> list[Column]:
+    """Features beside the buckets."""
+    n = F.col(size).cast("double")
+    long, new = (F.log1p(n) - 5) / 2, 4 * F.size(distinct) / F.greatest(n, F.lit(1.0)) - 3
+    return [F.lit(1.0), long, long * long, new, new * new]
+
+
 def fit(
     docs: DataFrame, labels: DataFrame, domains: list[str], doc_id: str = "doc_id", text: str = "text", domain: str = "domain",
-    sample: int = 1500, checks: int = 500, pseudo: float = 5.0,
+    sample: int = 1500, checks: int = 500, rounds: int = 20,
 ) -> Classifier:
     """From ``labels`` (doc_id, domain): at most ``sample`` documents a domain, drawn by hash of doc_id, and the counts of all labels.
 
-    Rows without id, text or one of ``domains`` are left out. A bucket's weight is the log of its count over what the
-    whole sample would let expect, both raised by ``pseudo``; unseen words weigh nothing. Words aren't independent, so
-    the sum of their weights is too sure: one factor for all texts, of greatest likelihood on ``checks`` further documents
-    a domain (1 where there are none), makes posteriors of it. Where a domain has fewer documents than asked for, they are
-    divided in that proportion.
+    Rows without id, text or one of ``domains`` are left out. Documents count so that each domain has its share of
+    all labels. A bucket's rarity is the logarithm of the sample's size over the number of its documents that hold it. One
+    factor of the odds, of greatest likelihood on ``checks`` further documents a domain (1 where there are none),
+    corrects how sure the posteriors are. Where a domain has fewer documents than asked for, they are divided in that
+    proportion.
     """
     given = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(domain).alias("domain")).dropna().where(F.col("domain").isin(domains)).distinct()
     total = {r["domain"]: r["n"] for r in given.groupBy("domain").agg(F.count("*").alias("n")).collect()}
@@ -64,20 +97,85 @@ def fit(
     drawn = drawn.select("doc_id", "domain", (F.col("r") > first).alias("check"))
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("text is not null")
     held = texts.join(F.broadcast(drawn), "doc_id").select("domain", "check", _buckets(words_of(F.col("text"))).alias("b"))
-    held = materialize(held, "labelled")  # of bounded size
-    words = held.where("not check").select("domain", F.explode("b").alias("b"))
-    counts = words.groupBy("b").agg(*[F.sum((F.col("domain") == d).cast("double")).alias(f"c{i}") for i, d in enumerate(domains)])
-    counts = materialize(counts, "counts")
-    sums = counts.agg(*[F.sum(f"c{i}").alias(f"n{i}") for i in range(len(domains))]).first()
-    sums = [float(x or 0) for x in sums]
-    both = sum((F.col(f"c{i}") for i in range(len(domains))), F.lit(0.0))
-    lean = [F.log((F.col(f"c{i}") + pseudo) / (both * (n / max(1.0, sum(sums))) + pseudo)) for i, n in enumerate(sums)]
-    weights = [[0.0] * BUCKETS for _ in domains[1:]]
-    for r in counts.select("b", *[F.round(x - lean[0], 3) for x in lean[1:]]).collect():  # a row a bucket at most
-        for w, x in zip(weights, r[1:], strict=True):
-            w[r[0]] = x
-    known = held.where("check").select("domain", *[_added("b", w) for w in weights]).collect() if weights else []  # of bounded size
-    return Classifier(domains, weights, prior, _scale(domains, prior, known))
+    held = materialize(held.select("domain", "check", F.size("b").alias("size"), F.array_distinct("b").alias("b")), "labelled")  # of bounded size
+    known = held.where("not check")
+    n = {r["domain"]: r["n"] for r in known.groupBy("domain").agg(F.count("*").alias("n")).collect()}
+    if len(n) < 2:
+        return Classifier(domains, [0.0] * BUCKETS, [[0.0] * FEATURES for _ in domains[1:]], prior)
+    holders = {r["b"]: r["n"] for r in known.select(F.explode("b").alias("b")).groupBy("b").agg(F.count("*").alias("n")).collect()}  # a row a bucket at most
+    rarity = [math.log((sum(n.values()) + 1) / (holders.get(b, 0) + 1)) for b in range(BUCKETS)]
+    weight = F.lit(0.0)
+    for i, d in enumerate(domains):
+        weight = F.when(F.col("domain") == d, math.exp(prior[i]) * sum(n.values()) / max(1, n.get(d, 0))).otherwise(weight)
+    square = F.sqrt(_squares(F.col("b"), _table(rarity)))
+    known = known.select("domain", "size", "b", square.alias("norm"), weight.alias("weight"))
+    known = materialize(known.repartition(docs.sparkSession.sparkContext.defaultParallelism), "examples")
+    weights = _search(known, domains, rarity, prior, rounds)
+    odds = [_added("b", "size", "norm", w, rarity) - (prior[i + 1] - prior[0]) for i, w in enumerate(weights)]
+    rows = held.where("check").withColumn("norm", square).select("domain", *odds).collect()  # of bounded size
+    return Classifier(domains, rarity, weights, prior, _scale(domains, prior, rows))
+
+
+def _search(known: DataFrame, domains: list[str], rarity: list[float], prior: list[float], rounds: int) -> list[list[float]]:
+    """Coefficients (of domains but the first, less those of the first) of least penalised log-loss, by quasi-Newton steps; a round is one aggregation."""
+    k = len(domains)
+    held = np.ones(FEATURES)
+    held[BIAS:] = 0
+    extra = F.array(*[F.struct(F.lit(BIAS + i).alias("b"), v.alias("v")) for i, v in enumerate(_others("b", "size"))])
+    words = F.transform("b", lambda b: F.struct(b.alias("b"), (F.get(_table(rarity), b) * LENGTH / F.greatest(F.col("norm"), F.lit(1e-9))).alias("v")))
+
+    curved = np.ones(FEATURES)
+    for r in known.select("weight", F.explode(F.concat(words, extra)).alias("x")).groupBy("x.b").agg(F.sum(F.col("weight") * F.col("x.v") * F.col("x.v"))).collect():
+        curved[r[0]] = r[1]
+    share = np.exp(prior)
+    curved = (share * (1 - share))[:, None] * curved + PULL * held + 1e-3  # about the second derivatives, by which steps are scaled
+
+    def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
+        z = [_added("b", "size", "norm", w, rarity).alias(f"z{i}") for i, w in enumerate(x)]
+        rows = known.select("*", *z)
+        top = F.greatest(*[F.col(f"z{i}") for i in range(k)])
+        rows = rows.withColumn("all", top + F.log(sum((F.exp(F.col(f"z{i}") - top) for i in range(k)), F.lit(0.0))))
+        told = [F.col("weight") * (F.exp(F.col(f"z{i}") - F.col("all")) - (F.col("domain") == d).cast("double")) for i, d in enumerate(domains)]
+        own = sum(((F.col("domain") == d).cast("double") * F.col(f"z{i}") for i, d in enumerate(domains)), F.lit(0.0))
+        rows = rows.select((F.col("weight") * (F.col("all") - own)).alias("lost"), *[t.alias(f"g{i}") for i, t in enumerate(told)], F.explode(F.concat(words, extra)).alias("x"))
+        sums = rows.groupBy("x.b").agg(F.sum("lost").alias("lost"), *[F.sum(F.col(f"g{i}") * F.col("x.v")) for i in range(k)]).collect()  # a row a feature at most
+        slope = PULL * held * x
+        lost = PULL * float((held * x * x).sum()) / 2
+        for r in sums:
+            slope[:, r[0]] += r[2:]
+            lost += r[1] if r[0] == BIAS else 0.0
+        return lost, slope
+
+    x = np.zeros((k, FEATURES))
+    x[:, BIAS] = prior
+    lost, slope = loss(x)
+    seen, past = [lost], []
+    for _ in range(rounds):
+        step, parts = slope.copy(), []
+        for s, y in reversed(past):
+            a = (s * step).sum() / (s * y).sum()
+            parts.append(a)
+            step -= a * y
+        step /= curved
+        if past:
+            s, y = past[-1]
+            step *= (s * y).sum() / (y * y / curved).sum()
+        for (s, y), a in zip(past, reversed(parts), strict=True):
+            step += s * (a - (y * step).sum() / (s * y).sum())
+        length = 1.0
+        while True:
+            now, there = loss(x - length * step)
+            if now <= lost - 1e-4 * length * (slope * step).sum() or length < 1e-4:
+                break
+            length /= 4
+        s, y = -length * step, there - slope
+        if (s * y).sum() > 1e-12:
+            past = [*past[-7:], (s, y)]
+        x, lost, slope = x + s, now, there
+        seen.append(lost)
+        if len(seen) > 3 and seen[-4] - lost < 3e-3 * seen[0]:  # three rounds that hardly gain
+            break
+    return [(w - x[0]).tolist() for w in x[1:]]
 
 
 def _scale(domains: list[str], prior: list[float], known: list) -> float:
@@ -104,20 +202,16 @@ def _scale(domains: list[str], prior: list[float], known: list) -> float:
 
 def with_posteriors(docs: DataFrame, model: Classifier, text: str = "text") -> DataFrame:
     """Add ``n_tokens`` (words) and ``posterior`` (array, by domain). Texts without words have the prior."""
-    b, x, e = unused(docs, "b", "x", "e")
-    docs = docs.withColumn(b, _buckets(words_of(F.col(f"`{text}`")))).withColumn("n_tokens", F.size(b).cast("long"))
+    b, norm, x, e = unused(docs, "b", "norm", "x", "e")
+    docs = docs.withColumn(b, _buckets(words_of(F.col(f"`{text}`")))).withColumn("n_tokens", F.size(b).cast("long")).withColumn(b, F.array_distinct(b))
+    docs = docs.withColumn(norm, F.sqrt(_squares(F.col(b), _table(model.rarity))))
     logits = [F.lit(0.0)]
-    for i in range(1, len(model.domains)):
-        logits.append(_added(b, model.weights[i - 1]) * model.scale + (model.prior[i] - model.prior[0]))
+    for i, w in enumerate(model.weights):
+        prior = model.prior[i + 1] - model.prior[0]
+        logits.append(F.when(F.col("n_tokens") > 0, (_added(b, "n_tokens", norm, w, model.rarity) - prior) * model.scale).otherwise(0.0) + prior)
     docs = docs.withColumn(x, F.array(*logits))
     docs = docs.withColumn(e, F.transform(x, lambda y: F.exp(y - F.array_max(x))))
-    return docs.withColumn("posterior", F.transform(e, lambda y: y / F.aggregate(e, F.lit(0.0), lambda s, z: s + z))).drop(b, x, e)
-
-
-def _added(buckets: str, weights: list[float]) -> Column:
-    """Sum of the weights of an array of buckets; the optimizer makes one constant of the table."""
-    table = F.split(F.lit(",".join(f"{w:g}" for w in weights)), ",").cast("array<double>")
-    return F.aggregate(buckets, F.lit(0.0), lambda s, b: s + F.get(table, b))
+    return docs.withColumn("posterior", F.transform(e, lambda y: y / F.aggregate(e, F.lit(0.0), lambda s, z: s + z))).drop(b, norm, x, e)
 
 
 class Plan(NamedTuple):
