@@ -246,8 +246,11 @@ def _with_end(batches):
     yield None
 
 
-def candidate_sets(docs: DataFrame, ids: DataFrame, k: int, doubtful: list[int]) -> DataFrame:
-    """(sig, n, sizes of hash ranges, text compressed) of the documents with ``ids``; compressed texts are what is shuffled."""
+def candidate_sets(docs: DataFrame, ids: DataFrame, k: int, doubtful: list[int], few: bool = False) -> DataFrame:
+    """(sig, n, sizes of hash ranges, text compressed) of the documents with ``ids``; compressed texts are what is shuffled.
+
+    ``few``: ids may be few enough to be sent to the texts instead; Spark decides by their size.
+    """
 
     def pack(batches):
         press = zstandard.ZstdCompressor(3).compress
@@ -268,7 +271,7 @@ def candidate_sets(docs: DataFrame, ids: DataFrame, k: int, doubtful: list[int])
                 yield pa.RecordBatch.from_arrays(out, names=["sig", "n", "sizes", "packed"]).filter(pa.array(n > 0))
 
     texts = docs.select("doc_id", "text").mapInArrow(pack, "doc_id long, packed binary")
-    return texts.hint("shuffle_merge").join(ids, "doc_id", "left_semi").mapInArrow(work, "sig long, n int, sizes array<int>, packed binary")
+    return (texts if few else texts.hint("shuffle_merge")).join(ids, "doc_id", "left_semi").mapInArrow(work, "sig long, n int, sizes array<int>, packed binary")
 
 
 def _texts(packed: pa.Array) -> pa.Array:
@@ -364,7 +367,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     if not more.isEmpty():
         missing = materialize(sigs(more).join(sets, "sig", "left_anti"), "missing")
         if not missing.isEmpty():
-            sets = sets.unionByName(materialize(candidate_sets(named, ids(missing), k, doubtful), "candidates"))
+            sets = sets.unionByName(materialize(candidate_sets(named, materialize(ids(missing), "ids"), k, doubtful, few=True), "candidates"))
         links = links.unionByName(materialize(verify(more, sets, k, num, den), "links"))
         one = components(_by_rep(links, classes))
 
