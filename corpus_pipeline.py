@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thawline.llm import decontam, jaccard, mixing, queries, tokenfiles
-from thawline.llm.common import materialize, shared_dir, table
+from thawline.llm.common import materialize, noting, remove, shared_dir, table
+
+_left: list[str] = []
 
 
 def _plain(docs: DataFrame) -> DataFrame:
@@ -16,6 +20,23 @@ def _plain(docs: DataFrame) -> DataFrame:
     return docs.toDF(*[c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(docs.columns)])
 
 
+def stage(work: Callable) -> Callable:
+    """A stage that first removes what earlier stages wrote on their way; tables that ``docs`` is still read from stay."""
+
+    @functools.wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if _left:
+            read = docs.inputFiles()
+            done = [path for path in _left if not any(path.split("/thawline/")[-1] in x for x in read)]
+            remove(spark, done)
+            _left[:] = [path for path in _left if path not in done]
+        with noting(_left):
+            return work(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity score doesn't reject, at 0.7.
 
@@ -27,25 +48,31 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where("predicted = 0").select(*plain.columns).toDF(*docs.columns)
 
 
+@stage
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of least doc_id; a repeated row once. Rows without doc_id stay.
 
     Rows are known by doc_id and text, so unlike texts of one doc_id are documents of their own. Null and empty texts are
     in no group and stay. Of repeated rows that differ in other columns alone one stays, any of them.
     """
-    key = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    text = F.coalesce("text", F.lit(""))
+    one, other = F.xxhash64("doc_id", text), F.xxhash64(F.lit("other"), text, "doc_id")
+    rows = materialize(docs.where("doc_id is not null").select(one.alias("one"), other.alias("other"), "doc_id").distinct(), "rows")
+    # unlike rows of one number, of 10^11 rows some hundreds: those are known by their second number
+    doubtful = sorted(r["one"] for r in rows.groupBy("one").agg((F.min("other") < F.max("other")).alias("x")).where("x").select("one").collect())
+    known_by = lambda x, y: F.when(x.isin(doubtful), y).otherwise(x) if doubtful else x
+    key = F.when(F.col("doc_id").isNotNull(), known_by(one, other))
     groups = materialize(jaccard.jaccard_components(docs.select(key.alias("doc_id"), "text")), "groups")
     groups = groups.groupBy(F.col("doc_id").alias("_key")).agg(F.min("component_id").alias("component"))
-    rows = docs.where("doc_id is not null").select(key.alias("_key"), "doc_id").groupBy("_key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("m"))
-    kept = rows.join(groups, "_key").groupBy("component").agg(F.min(F.struct("doc_id", "_key", "m")).alias("first"))
-    kept = materialize(kept.select("first._key", "first.m"), "kept")
+    kept = rows.select(known_by(F.col("one"), F.col("other")).alias("_key"), "doc_id").join(groups, "_key")
+    kept = materialize(kept.groupBy("component").agg(F.min(F.struct("doc_id", "_key")).alias("first")).select("first._key"), "kept")
     plain = _plain(docs)
     keyed = plain.withColumn("_key", key)
-    out = keyed.join(kept.where("m = 1"), "_key", "left_semi")
-    again = keyed.join(kept.where("m > 1"), "_key", "left_semi").dropDuplicates(["_key"])
-    return out.unionByName(again).unionByName(keyed.where("doc_id is null")).select(*plain.columns).toDF(*docs.columns)
+    out = keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"])  # one exchange of the texts
+    return out.unionByName(keyed.where("doc_id is null")).select(*plain.columns).toDF(*docs.columns)
 
 
+@stage
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item. Null and empty texts hold none; repeated rows go together."""
     found = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated")
@@ -55,6 +82,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return plain.join(found, same, "left_anti").toDF(*docs.columns)
 
 
+@stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their rates say, each once at least: domains are raised to their weights, none is cut.
 
@@ -66,6 +94,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.drawn(mixed, "doc_id", "text").select(*plain.columns).toDF(*docs.columns)
 
 
+@stage
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files, and their index as read back: a row a document, null texts with the end id alone, null doc_ids first."""
     path = f"{shared_dir(spark)}/thawline/{uuid.uuid4().hex}/tokens.orc"
@@ -86,6 +115,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+    written: list[str] = []
+    for name, work in STAGES[:-1]:
+        now: list[str] = []
+        with noting(now):
+            docs = materialize(work(spark, docs, sf_dir), name)
+        remove(spark, written)  # what the stage before gave
+        written = now
     return STAGES[-1][1](spark, docs, sf_dir)
