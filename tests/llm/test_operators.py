@@ -459,6 +459,45 @@ def test_posteriors_against_brute_force(spark):
     np.testing.assert_allclose(np.exp(model.prior), [(total[d] + 1) / 242 for d in ("bad", "good")])
 
 
+SAID = "Some running text of the article that goes on for a while and says what there is to say."
+SAID_TWICE = f"<p>{SAID} {SAID}</p>"
+IN_ARTICLE = {
+    "a list of sources": ("<ul><li><a href=x>Source one</a></li><li><a href=y>Source two</a></li><li><a href=z>Source three</a></li></ul>", ["Source one", "Source two", "Source three"]),
+    "a table of links": ("<table><tr><td><a href=x>One</a></td><td><a href=y>Two</a></td></tr></table>", ["One", "Two"]),
+    "a linked heading": ("<h2><a href=x>Linked heading</a></h2>", ["Linked heading"]),
+    "a linked paragraph": (f"<p><a href=x>{SAID}</a></p>", [SAID]),
+    "a caption with a link": ("<figure><img src=x><figcaption>Photo by <a href=y>Someone Known</a></figcaption></figure>", ["Photo by Someone Known"]),
+    "a linked caption": ("<figure><img src=x><figcaption><a href=y>Someone Known</a></figcaption></figure>", ["Someone Known"]),
+    "a heading with id search": ('<h2 id="search">Search for meaning</h2>', ["Search for meaning"]),
+    "a heading with id legal": ('<h2 id="legal">Legal matters</h2>', ["Legal matters"]),
+    "a heading with id comment": ("<h3 id=comment-on>Comment on this</h3>", ["Comment on this"]),
+    "noscript": ("<noscript>Picture of a river</noscript>", ["Picture of a river"]),
+    "noscript with a paragraph": ("<noscript><p>Picture of a river</p></noscript>", ["Picture of a river"]),
+}
+
+
+@pytest.mark.parametrize("part", sorted(IN_ARTICLE))
+def test_parts_of_articles_stay(part):
+    inside, blocks = IN_ARTICLE[part]
+    model, text = htmltext.train(labelled_pages.pages()), f"{SAID} {SAID}"
+    article = f"<h1><a href=t>Linked title</a></h1>{SAID_TWICE}{inside}{SAID_TWICE}"
+    for page in (
+        f"<html><body><header><a href=x>Site</a></header><nav><a href=a>Home</a><a href=b>News</a></nav><main><article>{article}</article></main><footer><p>Copyright</p></footer></body></html>",
+        f"<html><body><div id=header>Site</div><div id=content>{article}</div><div class=sidebar><ul><li><a href=q>Elsewhere</a></li></ul></div><div id=footer>Imprint</div></body></html>",
+        f"<article>{article}<aside><ul><li><a href=q>Elsewhere</a></li></ul></aside></article>",
+    ):
+        assert htmltext.main_text(page, model).split("\n\n") == ["Linked title", text, *blocks, text]
+
+
+def test_short_pages_stay_whole():
+    model = htmltext.train(labelled_pages.pages())
+    for s in ("S", SAID):
+        assert htmltext.main_text(f"<article><h1>Title</h1><p>{s}</p><p><a href=x>{s}</a></p><p>{s}</p></article>", model) == f"Title\n\n{s}\n\n{s}\n\n{s}"
+    for tag in ("section", "div"):
+        page = f'<html><body><{tag} class="response-time"><h1>Response time</h1><p>{SAID}</p></{tag}></body></html>'
+        assert htmltext.main_text(page, model) == f"Response time\n\n{SAID}"
+
+
 def test_mixing_moves_labelled_shares_to_the_targets(spark):
     """Real labels, a third of them held out: better than the prior, and their true shares of tokens come near the targets."""
     folder, domains = "/root/testdata/sf0.1", ["high", "low", "toxic"]

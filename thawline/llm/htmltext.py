@@ -1,8 +1,8 @@
 """Main text of web pages by a tree-structured graphical model.
 
 Nodes are a page's elements (inline ones belong to their parent), each content or not. A node's potential comes from
-its tag, the words of its class, id and role, its share of linked text and the length of its own text; an edge's from
-the labels of parent and child. Both are trained from labelled pages by smoothed counts. Sum-product messages, up
+its tag, the words of its class, id and role (a heading's id names its own words and doesn't count), the share of linked text in it
+and, outside articles, in its parent, whether it holds most of the page's text, and the length of its own text; an edge's from the labels of parent and child. Both are trained from labelled pages by smoothed counts. Sum-product messages, up
 from the leaves and down from the root, give every node's marginal; text of nodes at 0.5 or more is the main text.
 """
 
@@ -46,8 +46,9 @@ WORD_GROUPS = (
     ("edge", "header masthead head footer foot copyright colophon bottom"),
     ("side", "sidebar aside rail related widget widgets links tags share social recommended complementary contentinfo"),
     ("notice", "cookie cookies consent notice notices gdpr popup modal overlay alert legal disclaimer subscribe newsletter signup login search"),
-    ("talk", "comment comments commentlist reply replies respond response responses discussion disqus feedback"),
-    ("main", "content article main post entry story body text page wrapper container"),
+    ("talk", "comment comments commentlist reply replies respond responses discussion disqus feedback"),
+    ("main", "content article main post entry story body text"),
+    ("frame", "page wrapper container"),
 )
 _WORDS = {w: g for g, ws in reversed(WORD_GROUPS) for w in ws.split()}
 
@@ -185,11 +186,13 @@ def parse(page: str, labelled: bool = False) -> Tree:
             if "=" in rest:
                 for a in ATTRIBUTE.finditer(rest):
                     value = a[2] or a[3] or a[4] or ""
+                    if a[1].lower() == "id" and name in HEADINGS:
+                        continue  # names the heading's own words
                     if a[1].lower() != "data-y":
                         found.update(_WORDS[w] for w in re.split(r"[^a-z]+", value.lower()) if w in _WORDS)
                     elif labelled and value in ("0", "1"):
                         y = int(value)
-            inside = within[up] or tag[up] == "article"
+            inside = within[up] or tag[up] in ("article", "main") or "main" in words[up]
             parent.append(up), tag.append(name), words.append(tuple(sorted(found))), label.append(y), size.append(0), linked.append(0), within.append(inside)
         if not rest.endswith("/"):
             links += name == "a"
@@ -205,10 +208,17 @@ def parse(page: str, labelled: bool = False) -> Tree:
         follows[i], last_child[parent[i]] = last_child[parent[i]], i
     features = []
     for i in range(len(parent)):
-        own = [f"tag={tag[i]}{' of article' if tag[i] == 'header' and within[i] else ''}", *(f"word={w}" for w in words[i])]
+        inside = " inside" if within[i] else ""
+        own = [f"tag={tag[i]}{inside if tag[i] in ('header', 'noscript') else ''}", *(f"word={w}" for w in words[i])]
         if tag[i] in HEADINGS and "talk" in words[follows[i]]:
             own.append("next=talk")
-        features.append((*own, f"links={min(3, 4 * links_below[i] // max(1, whole[i]))}", f"own={min(4, size[i].bit_length() // 2)}"))
+        linked_share = lambda k: min(3, 4 * links_below[k] // max(1, whole[k]))
+        own += [f"links{inside}={linked_share(i)}", f"own={min(4, size[i].bit_length() // 2)}"]
+        if not inside:
+            own.append(f"around={linked_share(max(0, parent[i]))}")
+            if 2 * whole[i] > whole[0]:
+                own.append("next=most")
+        features.append(tuple(own))
     return Tree(parent, features, label, pieces)
 
 
@@ -301,7 +311,7 @@ def extract(pages: DataFrame, html: str = "html", model: Model | None = None) ->
     """Add ``text`` (main text, empty if none) and ``n_chars`` (its code points); other columns but ``html`` stay, whatever their names.
 
     White space inside a block becomes one space, blocks are joined by two line feeds. Null and empty pages have
-    empty text; long ones are read whole. Columns of the result that ``pages`` has already are replaced; nodes at a
+    empty text; long ones are read whole. Links, captions and noscript text count as text where they stand in the article. Columns of the result that ``pages`` has already are replaced; nodes at a
     probability of exactly 0.5 are content; repeated rows are treated alike; an empty table gives an empty result. The
     default model is trained from this library's labelled pages.
     """

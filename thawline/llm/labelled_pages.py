@@ -29,7 +29,7 @@ LAYOUTS = (
     <div class="widget" data-y=0>LOREM</div><form data-y=0>MEDIUM</form><div class="footer" data-y=0>MEDIUM</div></body></html>""",
     """<html data-y=1><body><div class="nav" data-y=0><a href=x>SHORT</a><a href=x>SHORT</a></div><main><h1>SHORT</h1><ul>ITEMS</ul><div>LINES</div></main><aside data-y=0>MEDIUM</aside></body></html>""",
     """<html data-y=1><body><header data-y=0>SHORT</header><article><h1>SHORT</h1><p>LOREM</p></article><div class="ads" data-y=0><p>MEDIUM</p></div><footer data-y=0>SHORT</footer></body></html>""",
-    """<html data-y=1><body><header data-y=0><div>SHORT</div><nav><a href=x>SHORT</a><a href=x>SHORT</a></nav></header><main><article><header><h1>SHORT</h1><p>SHORT</p></header>PARAS<noscript data-y=0>SHORT</noscript>
+    """<html data-y=1><body><header data-y=0><div>SHORT</div><nav><a href=x>SHORT</a><a href=x>SHORT</a></nav></header><main><article><header><h1>SHORT</h1><p>SHORT</p></header>PARAS<noscript>SHORT</noscript>
     <template data-y=0><p>SHORT</p></template></article><h2 data-y=0>SHORT</h2><ol class="comment-list" data-y=0><li><p>MEDIUM</p></li><li><p>SHORT</p></li></ol></main><footer data-y=0><nav><a href=x>SHORT</a></nav><p>SHORT</p></footer></body></html>""",
     """<html data-y=1><body><noscript data-y=0><p>SHORT</p></noscript><div class="page"><div class="entry"><h1>SHORT</h1>LINES<h2>SHORT</h2>PARAS<h3 data-y=0>SHORT</h3><div class="reply" data-y=0><p>MEDIUM</p></div>
     <h4 data-y=0>SHORT</h4><form class="respond" data-y=0><label>SHORT</label><textarea></textarea></form></div><div class="share" data-y=0><a href=x>SHORT</a></div></div><div class="gdpr" data-y=0>MEDIUM</div></body></html>""",
@@ -37,6 +37,18 @@ LAYOUTS = (
     """<html data-y=1><body><div class="toolbar" data-y=0><ul><li><a href=x>SHORT</a></li></ul></div><article class="story"><h2>SHORT</h2>LINES<p>MEDIUM</p>LINES</article><div class="links" data-y=0><a href=x>SHORT</a></div></body></html>""",
     """<html data-y=1><body><div class="masthead" data-y=0>SHORT</div><main><article><h1>SHORT</h1>MIDS<ul><li>MEDIUM</li></ul></article></main><div class="disclaimer" data-y=0>MEDIUM</div><div class="sponsor" data-y=0><p>SHORT</p></div></body></html>""",
     """<html data-y=1><body><nav data-y=0><a href=x>SHORT</a></nav><div class="page-content"><h1>SHORT</h1>MIDS<h2>SHORT</h2>MIDS</div><aside data-y=0><h4>SHORT</h4><p>MEDIUM</p></aside><footer data-y=0>SHORT</footer></body></html>""",
+    """<html data-y=1><body><header data-y=0><a href=x>SHORT</a></header><nav data-y=0><a href=x>SHORT</a><a href=x>SHORT</a></nav><main><article><h1><a href=x>SHORT</a></h1>PARAS<ul><li><a href=x>SHORT</a></li><li><a href=x>SHORT</a></li>
+    <li><a href=x>SHORT</a></li></ul><p>LOREM</p><p><a href=x>MEDIUM</a></p><figure><figcaption>SHORT<a href=x>SHORT</a></figcaption></figure><noscript><p>SHORT</p></noscript><form data-y=0><label>SHORT</label><input><button>SHORT</button></form><div class="share" data-y=0><a href=x>SHORT</a></div></article></main><footer data-y=0><p>SHORT</p></footer></body></html>""",
+    """<html data-y=1><body><div class="topbar" data-y=0><a href=x>SHORT</a></div><div class="post"><h2><a href=x>SHORT</a></h2>MIDS<h3><a href=x>SHORT</a></h3><p>LOREM</p><table><tr><td><a href=x>SHORT</a></td><td><a href=x>SHORT</a></td></tr>
+    <tr><td><a href=x>SHORT</a></td><td>SHORT</td></tr></table><p><a href=x>SHORT</a></p><p>LOREM</p><form data-y=0>SHORT<input></form></div><form data-y=0><p>SHORT</p><select><option>SHORT</option></select></form><div class="related" data-y=0><h3>SHORT</h3><ul><li><a href=x>SHORT</a></li><li><a href=x>SHORT</a></li></ul></div><div id="footer" data-y=0><a href=x>SHORT</a></div></body></html>""",
+    """<html data-y=1><body><article><h1>SHORT</h1><p>MEDIUM</p><p><a href=x>MEDIUM</a></p><p>MEDIUM</p></article></body></html>""",
+    """<html data-y=1><body><main><h1>SHORT</h1><p>SHORT</p><p><a href=x>SHORT</a></p><p>SHORT</p><figure><figcaption><a href=x>SHORT</a></figcaption></figure><ol><li><a href=x>MEDIUM</a></li><li>MEDIUM</li></ol></main></body></html>""",
+    """<html data-y=1><body><section><h1>SHORT</h1><p>MEDIUM</p><p>SHORT</p></section></body></html>""",
+    """<html data-y=1><body><div><h1>SHORT</h1><p>MEDIUM</p></div></body></html>""",
+    """<html data-y=1><body><nav data-y=0><a href=x>SHORT</a></nav><article><h1>SHORT</h1>MIDS<h2>SHORT</h2><ul><li><a href=x>SHORT</a></li><li><a href=x>SHORT</a></li><li><a href=x>SHORT</a></li><li><a href=x>SHORT</a></li></ul>
+    <p>LOREM</p><ol><li><a href=x>SHORT</a></li><li><a href=x>SHORT</a></li></ol></article><div class="comments" data-y=0><div class="comment"><p>LOREM</p></div><div class="comment"><p>LOREM</p></div><div class="comment"><p>LOREM</p><p>LOREM</p><p>LOREM</p></div></div></body></html>""",
+    """<html data-y=1><body><div id="header" data-y=0><ul><li><a href=x>SHORT</a></li></ul></div><div id="content"><h1><a href=x>SHORT</a></h1><p>LOREM</p><p>MEDIUM</p><ul><li><a href=x>SHORT</a></li><li><a href=x>SHORT</a></li></ul><h2>SHORT</h2><p>LOREM</p>
+    <ul><li><a href=x>SHORT</a>MEDIUM</li><li><a href=x>SHORT</a>MEDIUM</li></ul><aside data-y=0><ul><li><a href=x>SHORT</a></li></ul></aside></div><div class="sidebar" data-y=0><ul><li><a href=x>SHORT</a></li></ul></div></body></html>""",
 )
 
 SHORT = "A few words here"
