@@ -160,14 +160,18 @@ SELECT variable, CAST(k + 1850 AS INT) AS year, cell, round(CASE WHEN count(v) =
     "trained_params": f"WITH {NOISE_FREE} SELECT 'co2x2' AS expt, variable, CAST(0 AS INT) AS mode, round(s, 2) AS s, 6.0::DOUBLE AS tau, 100.0::DOUBLE AS tau_max FROM s",
     "trained_patterns": f"WITH {NOISE_FREE} SELECT 'co2x2' AS expt, variable, CAST(0 AS INT) AS mode, cell, round(a / s, 3) AS v FROM a JOIN s USING (variable)",
     "trained_prediction": f"""WITH {NOISE_FREE}, {INCREMENTS}, y AS (SELECT x.k, sum(j.d * (1 - exp(-(x.k - j.k) / 6.0::DOUBLE))) AS y FROM inc x JOIN inc j ON j.k <= x.k GROUP BY ALL)
+SELECT variable, CAST(k + 1850 AS INT) AS time, cell, round(a * y, 2) AS value FROM a, y WHERE variable = 'tas'""",
+    "named_training": f"""WITH {NOISE_FREE}, {SCENARIO}, {FORCING}, inc AS (SELECT CAST(row_number() OVER (ORDER BY k) - 1 AS INT) AS k,
+  coalesce(lead(f) OVER (ORDER BY k) - f, 0.0) / (erf * 5.35 * ln(2)) AS d FROM fo, gp WHERE species = 'CO2'),
+y AS (SELECT x.k, sum(j.d * (1 - exp(-(x.k - j.k) / 6.0::DOUBLE))) AS y FROM inc x JOIN inc j ON j.k <= x.k GROUP BY ALL)
 SELECT variable, CAST(k + 1850 AS INT) AS time, cell, round(a * y, 2) AS value FROM a, y WHERE variable = 'tas'""",
     "gas_parameters": f"""WITH {SCENARIO} SELECT species AS gas, 'Tg' AS em_unit, CASE WHEN species IN ('SO2', 'BC', 'OC') THEN '-' ELSE 'ppm' END AS conc_unit, round(beta, 6) AS beta,
   0.0::DOUBLE AS alpha, round(tau, 6) AS tau1, 0.0::DOUBLE AS tau2, 0.0::DOUBLE AS tau3, 1.5::DOUBLE AS natural_emissions, round(erf, 6) AS sarf_to_erf FROM gp""",
     "gas_forcing": f"""WITH {SCENARIO}, {_gas("", "es", "cc", "(k < 40)", "g1")}, {_gas("", "es", "cc", "true", "g2")}
 SELECT false AS conc_run, species, k, round(f, 5) AS f FROM g1 UNION ALL SELECT true, species, k, round(f, 5) FROM g2""",
-    "run_scaling": f"""WITH {SCENARIO}, ru(expt, target, m) AS (VALUES ('base', NULL, NULL), ('co2x2', 'CO2', 2), ('bcx10', 'BC', 10), ('sulx7', 'SO2', 7)),
-pe AS (SELECT * FROM (SELECT expt, species, k, CASE WHEN species = target AND k BETWEEN 40 AND 46 THEN max(CASE WHEN k = 40 THEN value END) OVER (PARTITION BY expt, species) * m ELSE value END AS value FROM es, ru) WHERE k <= 45),
-pc AS (SELECT * FROM (SELECT expt, species, k, CASE WHEN species = target AND k BETWEEN 40 AND 46 THEN max(CASE WHEN k = 40 THEN value END) OVER (PARTITION BY expt, species) * m ELSE value END AS value FROM cc, ru) WHERE k <= 45),
+    "run_scaling": f"""WITH {SCENARIO}, {FLAT.format("es")}, {FLAT.format("cc")}, ru(expt, target, m) AS (VALUES ('base', NULL, NULL), ('co2x2', 'CO2', 2), ('bcx10', 'BC', 10), ('sulx7', 'SO2', 7)),
+pe AS (SELECT * FROM (SELECT expt, species, k, CASE WHEN species = target AND k BETWEEN 40 AND 46 THEN max(CASE WHEN k = 40 THEN value END) OVER (PARTITION BY expt, species) * m ELSE value END AS value FROM es_p, ru) WHERE k <= 45),
+pc AS (SELECT * FROM (SELECT expt, species, k, CASE WHEN species = target AND k BETWEEN 40 AND 46 THEN max(CASE WHEN k = 40 THEN value END) OVER (PARTITION BY expt, species) * m ELSE value END AS value FROM cc_p, ru) WHERE k <= 45),
 {_gas("expt, ", "pe", "pc", "true", "g1")}, tt AS (SELECT expt, k, sum(f) AS f FROM g1 GROUP BY ALL), la AS (SELECT expt, max_by(f, k) AS last FROM tt GROUP BY expt)
 SELECT l.expt, round(l.last - b.last, 4) AS scaling FROM la l, la b WHERE b.expt = 'base'""",
     "predict_emissions": f"""WITH {PATTERNS}, {SCENARIO}, {FLAT.format("es")}, {FLAT.format("cc")}, {_gas("", "es", "cc", "(k < 40)", "g1")}, {_gas("", "es_p", "cc_p", "true", "g2")},

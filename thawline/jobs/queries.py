@@ -213,6 +213,16 @@ def trained_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(out, "value", digits=2).select("variable", F.col("time").cast("int").alias("time"), "cell", "value")
 
 
+def named_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trained from the experiments' names, the step by a run of the doubling, and predicted for a forcing series."""
+    one = spark.createDataFrame([("tas", 1), ("pr", 1)], "variable string, n_modes int")
+    emitted, held, gases = _scenario(spark, sf_dir)
+    start = held.where("species = 'CO2'").agg(F.min("k")).first()[0]  # a month with a value: small tables lack some
+    model = scenario.PatternModel.train(tables.noise_free_fields(spark, sf_dir), one, ["base", "co2x2"], emitted, held, gases, start)
+    out = model.predict(tables.forcing(spark, sf_dir), "tas", "co2x2")
+    return _r(out, "value", digits=2).select("variable", F.col("time").cast("int").alias("time"), "cell", "value")
+
+
 def model_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fitted to the fields themselves, several modes each, and predicted for a scenario of emissions."""
     steps = spark.createDataFrame(list(STEP_SIZES), "expt string, step_size double")
@@ -374,6 +384,6 @@ QUERIES = {
         pattern_map, reconstruct, predict_forcing, predict_combined, fit_timescales, parse_experiment, experiment_label, emissions_long,
         plateau, perturbation, step_scaling, aerosol_mapping, forcer_attribution, natural_emissions, species_forcing, forcing_stack,
         diag_prediction_mean, diag_global_means, diag_weighted_means, diag_fast_means, period_change, anchored_series,
-        trained_params, trained_patterns, trained_prediction, model_prediction, gas_parameters, gas_forcing, run_scaling, predict_emissions, stack_experiments,
+        trained_params, trained_patterns, trained_prediction, named_training, model_prediction, gas_parameters, gas_forcing, run_scaling, predict_emissions, stack_experiments,
     )
 }

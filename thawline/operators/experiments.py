@@ -60,12 +60,12 @@ def run_scaling(
 ) -> DataFrame:
     """(expt, scaling) of experiments by name: the total forcing that each's perturbation adds in the last step.
 
-    Emissions and concentrations (species, k, value) of the perturbed species have their value of ``start`` times the
-    multiplier from then on; all runs, in one plan keyed by experiment, are driven by concentrations and end at
-    ``start`` + 5.
+    Emissions and concentrations (species, k, value) of all species are held at their value of ``start`` for ``length`` years;
+    those of an experiment's own species at that value times the multiplier. All runs, in one plan keyed by experiment,
+    are driven by concentrations and end at ``start`` + 5, so that a run differs from the control by its multiplier alone.
     """
     runs = emissions.sparkSession.createDataFrame([(e,) for e in names], "expt string")
-    until = lambda df: perturb(df, runs, start, length).where(F.col("k") <= start + 5)
+    until = lambda df: perturb(plateau(df, start, length), runs, start, length).where(F.col("k") <= start + 5)
     forcing = gas_forcing(until(emissions), until(concentrations), gases, ("expt",), conc_run=True)
     return step_scaling(forcing.groupBy("expt", "k").agg(F.sum("f").alias("f")), control)
 

@@ -40,6 +40,18 @@ class PatternModel:
         patterns = both.groupBy(*FIELD, "mode", "cell", "lat", "lon").agg(F.when(whole, F.sum(F.col("w") * F.col("value"))).alias("v"))
         return cls(params, patterns, steps)
 
+    @classmethod
+    def train(
+        cls, cubes: DataFrame, modes: DataFrame, names: list[str], emissions: DataFrame, concentrations: DataFrame, gases: DataFrame, start: int, control: str = "base", **fitting
+    ) -> PatternModel:
+        """Train on the experiments ``names`` of ``cubes``; the step that each was forced by comes from a run of its name's perturbation.
+
+        An experiment that changes no species of the emissions or concentrations has a step of 0, and null predictions.
+        """
+        experiments.check_experiments(names, control)
+        steps = experiments.run_scaling(emissions, concentrations, gases, names, start, control=control).withColumnRenamed("scaling", "step_size")
+        return cls.fit(cubes.where(F.col("expt").isin(names)), modes, steps, control, **fitting)
+
     def save(self, path: str) -> PatternModel:
         """Write the model's tables under ``path``; the one returned reads them, so that nothing is fitted again."""
         for name in ("params", "patterns", "steps"):
