@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from thawline.llm.common import materialize, spread, unused
 from thawline.llm.decontam import words_of
 
-BUCKETS = 1 << 14
+BUCKETS = 1 << 13
 #: Features beside the buckets: a constant; half of ln(1 + words) less 5, four times the distinct buckets' share of the words less 3, and their squares.
 BIAS = BUCKETS
 FEATURES = BUCKETS + 5
@@ -97,48 +97,61 @@ def fit(
     drawn = drawn.select("doc_id", "domain", (F.col("r") > first).alias("check"))
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("text is not null")
     held = texts.join(F.broadcast(drawn), "doc_id").select("domain", "check", _buckets(words_of(F.col("text"))).alias("b"))
-    held = materialize(held.select("domain", "check", F.size("b").alias("size"), F.array_distinct("b").alias("b")), "labelled")  # of bounded size
+    told = ["domain", "check", F.size("b").alias("size"), F.array_distinct("b").alias("b"), F.monotonically_increasing_id().alias("doc")]
+    held = materialize(held.select(*told), "labelled")  # of bounded size
     known = held.where("not check")
     n = {r["domain"]: r["n"] for r in known.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
         return Classifier(domains, [0.0] * BUCKETS, [[0.0] * FEATURES for _ in domains[1:]], prior)
-    holders = {r["b"]: r["n"] for r in known.select(F.explode("b").alias("b")).groupBy("b").agg(F.count("*").alias("n")).collect()}  # a row a bucket at most
-    rarity = [math.log((sum(n.values()) + 1) / (holders.get(b, 0) + 1)) for b in range(BUCKETS)]
+    whole = sum(n.values())
+    words = known.select("doc", F.explode("b").alias("b"))
+    rare = F.log((F.lit(whole) + 1.0) / (F.count("*") + 1)).alias("r")
+    rare = materialize(words.groupBy("b").agg(rare), "rarity")  # a row a bucket at most
+    rarity = [math.log(whole + 1)] * BUCKETS
+    for r in rare.collect():
+        rarity[r["b"]] = r["r"]
+    words = words.join(F.broadcast(rare), "b")
+    norms = words.groupBy("doc").agg(F.sqrt(F.sum(F.col("r") * F.col("r"))).alias("norm"))
+    words = words.join(F.broadcast(norms), "doc").select("doc", "b", (F.col("r") * LENGTH / F.greatest("norm", F.lit(1e-9))).alias("v"))
+    others = known.select("doc", F.posexplode(F.array(*_others("b", "size"))).alias("b", "v")).withColumn("b", F.col("b") + BIAS)
+    entries = words.unionByName(others).repartition(docs.sparkSession.sparkContext.defaultParallelism, "doc")
     weight = F.lit(0.0)
     for i, d in enumerate(domains):
-        weight = F.when(F.col("domain") == d, math.exp(prior[i]) * sum(n.values()) / max(1, n.get(d, 0))).otherwise(weight)
-    square = F.sqrt(_squares(F.col("b"), _table(rarity)))
-    known = known.select("domain", "size", "b", square.alias("norm"), weight.alias("weight"))
-    known = materialize(known.repartition(docs.sparkSession.sparkContext.defaultParallelism), "examples")
-    weights = _search(known, domains, rarity, prior, rounds)
+        weight = F.when(F.col("domain") == d, math.exp(prior[i]) * whole / max(1, n.get(d, 0))).otherwise(weight)
+    examples = known.select("doc", "domain", weight.alias("weight"))
+    weights = _search(materialize(entries, "entries"), materialize(examples, "examples"), domains, prior, rounds)
     odds = [_added("b", "size", "norm", w, rarity) - (prior[i + 1] - prior[0]) for i, w in enumerate(weights)]
-    rows = held.where("check").withColumn("norm", square).select("domain", *odds).collect()  # of bounded size
+    rows = held.where("check").withColumn("norm", F.sqrt(_squares(F.col("b"), _table(rarity)))).select("domain", *odds).collect()  # of bounded size
     return Classifier(domains, rarity, weights, prior, _scale(domains, prior, rows))
 
 
-def _search(known: DataFrame, domains: list[str], rarity: list[float], prior: list[float], rounds: int) -> list[list[float]]:
-    """Coefficients (of domains but the first, less those of the first) of least penalised log-loss, by quasi-Newton steps; a round is one aggregation."""
+def _search(entries: DataFrame, examples: DataFrame, domains: list[str], prior: list[float], rounds: int) -> list[list[float]]:
+    """Coefficients (of domains but the first, less those of the first) of least penalised log-loss, by quasi-Newton steps.
+
+    entries: (doc, b, v), the features of the examples (doc, domain, weight). A round is two joins with tables of bounded
+    size, that of the coefficients and that of the examples, and an aggregation by feature.
+    """
     k = len(domains)
     held = np.ones(FEATURES)
     held[BIAS:] = 0
-    extra = F.array(*[F.struct(F.lit(BIAS + i).alias("b"), v.alias("v")) for i, v in enumerate(_others("b", "size"))])
-    words = F.transform("b", lambda b: F.struct(b.alias("b"), (F.get(_table(rarity), b) * LENGTH / F.greatest(F.col("norm"), F.lit(1e-9))).alias("v")))
-
     curved = np.ones(FEATURES)
-    for r in known.select("weight", F.explode(F.concat(words, extra)).alias("x")).groupBy("x.b").agg(F.sum(F.col("weight") * F.col("x.v") * F.col("x.v"))).collect():
+    for r in entries.join(F.broadcast(examples), "doc").groupBy("b").agg(F.sum(F.col("weight") * F.col("v") * F.col("v"))).collect():
         curved[r[0]] = r[1]
     share = np.exp(prior)
     curved = (share * (1 - share))[:, None] * curved + PULL * held + 1e-3  # about the second derivatives, by which steps are scaled
+    names = ", ".join(f"w{i} double" for i in range(k))
 
     def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
-        z = [_added("b", "size", "norm", w, rarity).alias(f"z{i}") for i, w in enumerate(x)]
-        rows = known.select("*", *z)
+        table = entries.sparkSession.createDataFrame([(b, *w) for b, w in enumerate(x.T.tolist())], f"b int, {names}")
+        z = entries.join(F.broadcast(table), "b").groupBy("doc").agg(*[F.sum(F.col("v") * F.col(f"w{i}")).alias(f"z{i}") for i in range(k)])
+        rows = z.join(F.broadcast(examples), "doc")
         top = F.greatest(*[F.col(f"z{i}") for i in range(k)])
         rows = rows.withColumn("all", top + F.log(sum((F.exp(F.col(f"z{i}") - top) for i in range(k)), F.lit(0.0))))
         told = [F.col("weight") * (F.exp(F.col(f"z{i}") - F.col("all")) - (F.col("domain") == d).cast("double")) for i, d in enumerate(domains)]
         own = sum(((F.col("domain") == d).cast("double") * F.col(f"z{i}") for i, d in enumerate(domains)), F.lit(0.0))
-        rows = rows.select((F.col("weight") * (F.col("all") - own)).alias("lost"), *[t.alias(f"g{i}") for i, t in enumerate(told)], F.explode(F.concat(words, extra)).alias("x"))
-        sums = rows.groupBy("x.b").agg(F.sum("lost").alias("lost"), *[F.sum(F.col(f"g{i}") * F.col("x.v")) for i in range(k)]).collect()  # a row a feature at most
+        rows = rows.select("doc", (F.col("weight") * (F.col("all") - own)).alias("lost"), *[t.alias(f"g{i}") for i, t in enumerate(told)])
+        sums = entries.join(F.broadcast(rows), "doc").groupBy("b")
+        sums = sums.agg(F.sum("lost").alias("lost"), *[F.sum(F.col(f"g{i}") * F.col("v")) for i in range(k)]).collect()  # a row a feature at most
         slope = PULL * held * x
         lost = PULL * float((held * x * x).sum()) / 2
         for r in sums:
