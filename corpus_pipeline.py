@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import gc
 import uuid
 from collections.abc import Callable
 
@@ -21,7 +22,11 @@ def _plain(docs: DataFrame) -> DataFrame:
 
 
 def stage(work: Callable) -> Callable:
-    """A stage that first removes what earlier stages wrote on their way; tables that ``docs`` is still read from stay."""
+    """A stage that first removes what earlier stages wrote on their way; tables that ``docs`` is still read from stay.
+
+    Spark removes shuffle files and broadcasts once the driver has collected what refers to them as garbage, so that is
+    asked for as well, once a stage.
+    """
 
     @functools.wraps(work)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,6 +35,8 @@ def stage(work: Callable) -> Callable:
             done = [path for path in _left if not any(path.split("/thawline/")[-1] in x for x in read)]
             remove(spark, done)
             _left[:] = [path for path in _left if path not in done]
+            gc.collect()
+            spark._jvm.System.gc()
         with noting(_left):
             return work(spark, docs, sf_dir)
 
