@@ -217,7 +217,7 @@ def named_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trained from the experiments' names, the step by a run of the doubling, and predicted for a forcing series."""
     one = spark.createDataFrame([("tas", 1), ("pr", 1)], "variable string, n_modes int")
     emitted, held, gases = _scenario(spark, sf_dir)
-    start = held.where("species = 'CO2'").agg(F.min("k")).first()[0]  # a month with a value: small tables lack some
+    start = held.where("species = 'CO2'").select("k").orderBy("k").limit(2).collect()[-1][0]  # a month with a value after the first: small tables lack some
     model = scenario.PatternModel.train(tables.noise_free_fields(spark, sf_dir), one, ["base", "co2x2"], emitted, held, gases, start)
     out = model.predict(tables.forcing(spark, sf_dir), "tas", "co2x2")
     return _r(out, "value", digits=2).select("variable", F.col("time").cast("int").alias("time"), "cell", "value")
