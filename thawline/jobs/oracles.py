@@ -182,6 +182,8 @@ y AS (SELECT x.conc_run, x.k, mode, sum(j.d * s * (1 - exp(-(x.k - j.k) / tau)))
 SELECT conc_run, variable, CAST(k + 1850 AS INT) AS year, cell, round(CASE WHEN count(v) = count(*) AND count(zero) = count(*) THEN sum(u * v) END, 3) AS value
 FROM (SELECT y.*, pt.variable, pt.cell, pt.v, z.v AS zero FROM y JOIN pt USING (mode) JOIN pt z ON z.variable = pt.variable AND z.cell = pt.cell AND z.mode = pt.mode AND z.expt = 'sulx5' WHERE pt.expt = 'co2x2')
 GROUP BY conc_run, variable, k, cell""",
+    "gridded_files": f"""WITH {cube()} SELECT expt, CAST(CASE expt WHEN 'base' THEN 0 WHEN 'co2x2' THEN 1 ELSE 2 END AS INT) AS expt_idx, time, lat, lon, round(value, 6) AS value
+FROM f WHERE variable = 'tas' AND time >= 12 AND time < 60""",
     "stack_experiments": """SELECT 'supplier' AS expt, CAST(0 AS INT) AS expt_idx, count(*) AS n, round(avg(s_acctbal), 4) AS balance, count(s_suppkey) AS n_suppliers FROM supplier
 UNION ALL SELECT 'customer', 1, count(*), round(avg(c_acctbal), 4), 0 FROM customer""",
     "parse_experiment": f"""WITH {NAMES} SELECT DISTINCT expt, CASE upper(split_part(expt, 'x', 1)) WHEN 'SUL' THEN 'SO2' ELSE upper(split_part(expt, 'x', 1)) END AS species,

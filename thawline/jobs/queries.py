@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thawline.functions.columns import response
 from thawline.operators import area, diagnostics, experiments, fields, fit, forcing, scenario
 from thawline.operators import response as resp
-from thawline.sources import readers, tables
+from thawline.sources import netcdf, readers, tables
 
 FORCING_STEP = 4.08
 STEP_SIZES = (("co2x2", 4.08), ("sulx5", -2.5))
@@ -309,6 +312,25 @@ def stack_experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("expt", "expt_idx").agg(F.count("*").alias("n"), F.round(F.avg(F.coalesce("s_acctbal", "c_acctbal")), 4).alias("balance"), F.count("s_suppkey").alias("n_suppliers"))
 
 
+def _shared(spark: SparkSession) -> str:
+    """A new folder that the driver and all executors reach."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{base or tempfile.mkdtemp(prefix='spark-')}/thawline/{uuid.uuid4().hex}"
+
+
+def gridded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields written as gridded files, a folder an experiment, stacked by a path callback, one variable and period read again."""
+    netcdf.register(spark)
+    folder, all_fields = _shared(spark), tables.fields(spark, sf_dir)
+    for e in EXPERIMENTS:
+        netcdf.write_fields(all_fields.where(F.col("expt") == e), f"{folder}/{e}")
+    out = readers.stack_experiments(spark, EXPERIMENTS, lambda e: f"{folder}/{e}", "netcdf3")
+    out = out.where("variable = 'tas' and time >= 12 and time < 60 and value is not null")
+    return _r(out, "value", digits=6).select("expt", "expt_idx", F.col("time").cast("int").alias("time"), "lat", "lon", "value")
+
+
 def aerosol_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = tables.table(spark, sf_dir, "orders")
     species = tables._named(tables.SPECIES, "o_orderpriority")
@@ -384,6 +406,6 @@ QUERIES = {
         pattern_map, reconstruct, predict_forcing, predict_combined, fit_timescales, parse_experiment, experiment_label, emissions_long,
         plateau, perturbation, step_scaling, aerosol_mapping, forcer_attribution, natural_emissions, species_forcing, forcing_stack,
         diag_prediction_mean, diag_global_means, diag_weighted_means, diag_fast_means, period_change, anchored_series,
-        trained_params, trained_patterns, trained_prediction, named_training, model_prediction, gas_parameters, gas_forcing, run_scaling, predict_emissions, stack_experiments,
+        trained_params, trained_patterns, trained_prediction, named_training, model_prediction, gas_parameters, gas_forcing, run_scaling, predict_emissions, stack_experiments, gridded_files,
     )
 }

@@ -22,9 +22,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import (
+    DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual,
+    WriterCommitMessage,
+)
 
 SCHEMA = T.StructType(
     [T.StructField("variable", T.StringType()), *[T.StructField(c, T.DoubleType()) for c in ("time", "lat", "lon", "value")], T.StructField("path", T.StringType())]
@@ -257,8 +261,8 @@ def encode(name: str, time: np.ndarray, lat: np.ndarray, lon: np.ndarray, x: np.
     return head(begins) + b"".join(v.astype(">f8").tobytes() for _, _, v in listed) + body.tobytes()
 
 
-class Writer(DataSourceWriter):
-    """One file a variable and task. Rows without coordinates are refused; a cell that a task has no row for is missing in its file."""
+class Writer(DataSourceArrowWriter):
+    """One file a variable and task, which holds its rows. Rows without coordinates are refused; a cell that a task has no row for is missing in its file."""
 
     def __init__(self, options: dict, schema: T.StructType, overwrite: bool):
         self.path, self.schema, self.overwrite = options["path"].removeprefix("file://"), schema, overwrite
@@ -266,16 +270,18 @@ class Writer(DataSourceWriter):
         if missing:
             raise ValueError(f"no column {', '.join(sorted(missing))}")
 
-    def write(self, rows) -> Written:
-        held: dict[str, list[tuple]] = {}
-        for r in rows:
-            if r["variable"] is None or r["time"] is None or r["lat"] is None or r["lon"] is None:
-                raise ValueError("variable, time, lat and lon can't be null")
-            held.setdefault(r["variable"], []).append((float(r["time"]), float(r["lat"]), float(r["lon"]), np.nan if r["value"] is None else float(r["value"])))
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        names = ["variable", "time", "lat", "lon", "value"]
+        rows = pa.Table.from_batches([b.select(names) for b in iterator]) if (iterator := list(iterator)) else None
         files = []
+        if rows is None or not rows.num_rows:
+            return Written(files)
+        if any(rows.column(c).null_count for c in names[:-1]):
+            raise ValueError("variable, time, lat and lon can't be null")
         os.makedirs(self.path, exist_ok=True)
-        for name, cells in held.items():
-            t, lat, lon, x = np.array(cells).T
+        for name in rows.column("variable").unique().to_pylist():
+            mine = rows.filter(pc.equal(rows.column("variable"), name))
+            t, lat, lon, x = (mine.column(c).cast(pa.float64()).to_numpy() for c in names[1:])  # null is NaN
             (times, i), (lats, j), (lons, k) = (np.unique(c, return_inverse=True) for c in (t, lat, lon))
             grid = np.full((len(times), len(lats), len(lons)), np.nan)
             grid[i, j, k] = x
@@ -321,3 +327,9 @@ def register(spark: SparkSession) -> None:
     """Make ``format("netcdf3")`` known to a session, filters pushed to it."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(NetCDF3)
+
+
+def write_fields(fields: DataFrame, path: str, mode: str = "append") -> None:
+    """Write (variable, time, lat, lon, value) under ``path``, a few time steps of a variable to a file, so that its grid is full."""
+    rows = fields.selectExpr("variable", *[f"cast({c} as double) as {c}" for c in ("time", "lat", "lon", "value")])
+    rows.repartitionByRange("variable", "time").write.format("netcdf3").mode(mode).save(path)

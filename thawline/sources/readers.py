@@ -31,14 +31,16 @@ def read_scenario(spark: SparkSession, path: str, index: str = "year") -> DataFr
     return melt_scenario(wide.withColumnRenamed(wide.columns[0], index), index)
 
 
-def stack_experiments(spark: SparkSession, experiments: list[str], path_of: Callable[[str], str]) -> DataFrame:
+def stack_experiments(spark: SparkSession, experiments: list[str], path_of: Callable[[str], str], form: str = "parquet") -> DataFrame:
     """Fields of several experiments, each at the path that ``path_of`` gives for its name, with ``expt`` and its place in the list.
 
+    ``form``: the files' format, as ``parquet`` or ``netcdf3`` (see :mod:`thawline.sources.netcdf`).
+
     Not a number becomes null, the one kind of missing value from here on.
     """
     parts = []
     for i, e in enumerate(experiments):
-        df = spark.read.parquet(path_of(e))
+        df = spark.read.format(form).load(path_of(e))
         numbers = {f.name: F.when(~F.isnan(f.name), F.col(f.name)) for f in df.schema if isinstance(f.dataType, T.DoubleType | T.FloatType)}
         parts.append(df.withColumns({**numbers, "expt": F.lit(e), "expt_idx": F.lit(i)}))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
