@@ -220,3 +220,6 @@ FROM f JOIN ax USING (time) WHERE step < 100 GROUP BY ALL""",
 SELECT expt, variable, time, period, round(value - first_value(CASE WHEN period = 'past' THEN value END IGNORE NULLS) OVER (PARTITION BY expt, variable ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 4) AS value FROM t""",
 }
 ORACLES["pc_recursion"] = ORACLES["pc_convolution"]
+# the same results in another layout
+ORACLES["series_projection"] = ORACLES["pattern_projection"]
+ORACLES["series_reconstruction"] = ORACLES["reconstruct"]

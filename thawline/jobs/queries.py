@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thawline.functions.columns import response
-from thawline.operators import area, diagnostics, experiments, fields, fit, forcing, scenario
+from thawline.operators import area, diagnostics, experiments, fields, fit, forcing, scenario, series
 from thawline.operators import response as resp
 from thawline.sources import netcdf, readers, tables
 
@@ -171,6 +171,26 @@ def reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(resp.reconstruct(basis, patterns), "value").select("expt", "variable", "step", "cell", "value")
 
 
+def _packed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Annual anomalies' patterns, a row a cell, and the basis."""
+    f = tables.fields(spark, sf_dir, "annual")
+    steps = fields.time_axis(f).select("step")
+    basis = resp.exp_basis(steps, resp.fixed_params(f))
+    packed = series.pack(fields.first_steps(fields.anomaly(f)), steps.agg(F.count("*").alias("n_steps")))
+    return series.project_series(packed, resp.projection_weights(basis)), basis
+
+
+def series_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patterns of fields kept as one row a cell."""
+    return _r(series.patterns_of(_packed(spark, sf_dir)[0]), "v").select("expt", "variable", "mode", "cell", "v")
+
+
+def series_reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields made again of patterns kept as one row a cell."""
+    out = series.unpack(series.reconstruct_series(*_packed(spark, sf_dir)))
+    return _r(out, "value").select("expt", "variable", "step", "cell", "value")
+
+
 def _model(spark: SparkSession, sf_dir: str) -> scenario.PatternModel:
     patterns = _trained(spark, sf_dir)[2]
     rows = [(e, v, *p) for e in EXPERIMENTS for v, _ in MODES for p in resp.FIXED]
@@ -403,7 +423,7 @@ QUERIES = {
         ensemble_first, control_climatology, anomaly, first_100, field_gate, make_anom, nearest_fill, area_weight, area_weight_2d,
         area_weight_3d, fit_mean, global_mean, weighted_mean, amplitude_guess, initial_params, exp_response, exp_basis, exp_sum,
         weighted_residual, synthetic_forcing, forcing_increments, pc_convolution, pc_recursion, quadratic_forcing, pattern_projection,
-        pattern_map, reconstruct, predict_forcing, predict_combined, fit_timescales, parse_experiment, experiment_label, emissions_long,
+        pattern_map, reconstruct, series_projection, series_reconstruction, predict_forcing, predict_combined, fit_timescales, parse_experiment, experiment_label, emissions_long,
         plateau, perturbation, step_scaling, aerosol_mapping, forcer_attribution, natural_emissions, species_forcing, forcing_stack,
         diag_prediction_mean, diag_global_means, diag_weighted_means, diag_fast_means, period_change, anchored_series,
         trained_params, trained_patterns, trained_prediction, named_training, model_prediction, gas_parameters, gas_forcing, run_scaling, predict_emissions, stack_experiments, gridded_files,

@@ -71,7 +71,8 @@ class PatternModel:
         """(variable, time, cell, lat, lon, value): sum over experiments for species forcing (species, k, f) of a scenario."""
         experiments.check_experiments(names, control)
         shares = experiments.attribute_forcing(forcing, names).where(F.col("expt") != control)
-        return combine(self._predict(shares, variables), year_0)
+        out = self._predict(shares, variables, ("variable",))
+        return out.withColumn("time", year_stamp(F.col("k") + year_0)).drop("k")
 
     def predict_emissions(
         self, emissions: DataFrame, concentrations: DataFrame, gases: DataFrame, names: list[str], variables: list[str], conc_run: bool = False,
@@ -90,28 +91,22 @@ class PatternModel:
         shares = forcing.gas_forcing(emissions, concentrations, gases, emission_steps=emission_steps, conc_run=conc_run)
         return self.predict_scenario(shares, names, variables, control, year_0)
 
-    def _predict(self, forcing: DataFrame, variables: list[str]) -> DataFrame:
+    def _predict(self, forcing: DataFrame, variables: list[str], by: tuple[str, ...] = FIELD) -> DataFrame:
         own = lambda df: df.where(F.col("variable").isin(variables))
-        return predict(forcing, own(self.params).select(*FIELD, "mode", "s", "tau"), own(self.patterns), self.steps)
+        return predict(forcing, own(self.params).select(*FIELD, "mode", "s", "tau"), own(self.patterns), self.steps, by)
 
 
-def predict(forcing: DataFrame, params: DataFrame, patterns: DataFrame, steps: DataFrame) -> DataFrame:
-    """(expt, variable, k, cell, lat, lon, value) for forcing (expt, k, f), steps (expt, step_size).
+def predict(forcing: DataFrame, params: DataFrame, patterns: DataFrame, steps: DataFrame, by: tuple[str, ...] = FIELD) -> DataFrame:
+    """(by, k, cell, lat, lon, value) for forcing (expt, k, f), steps (expt, step_size); ``by``: what is told apart, (variable) adds experiments up.
 
-    Series are convolved before cells come in, so the cube is made once, by one join and one sum over modes. A step
-    size of 0 gives null.
+    Series are convolved before cells come in, so the cube is made once, by one join and one sum over modes, and
+    experiments where they are added up. A value is null where any part of it is; a step size of 0 gives null.
     """
     sized = forcing.join(F.broadcast(steps), "expt")
     moved = response.forcing_increments(sized, F.col("step_size"), ("expt",))
     pcs = response.pc_recursion(moved, params, ("expt",)).withColumnRenamed("y", "u")
     both = pcs.join(patterns, ["expt", "variable", "mode"])
-    return both.groupBy(*FIELD, "k", "cell", "lat", "lon").agg(response._all(F.col("u") * F.col("v")).alias("value"))
-
-
-def combine(predictions: DataFrame, year_0: int = 1850) -> DataFrame:
-    """Sum over experiments, null where any is, with a yearly time stamp."""
-    out = predictions.groupBy("variable", "k", "cell", "lat", "lon").agg(response._all(F.col("value")).alias("value"))
-    return out.withColumn("time", year_stamp(F.col("k") + year_0)).drop("k")
+    return both.groupBy(*by, "k", "cell", "lat", "lon").agg(response._all(F.col("u") * F.col("v")).alias("value"))
 
 
 def year_stamp(year: Column) -> Column:
