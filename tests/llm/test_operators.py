@@ -390,7 +390,7 @@ def test_mixing(spark):
     texts, labels = labelled_documents(rng, 300)
     docs = spark.createDataFrame([(i, t, 1) for i, t in [*texts, (900, None), (901, ""), (None, "x y z"), texts[5]]], "doc_id long, text string, rate int")
     known = spark.createDataFrame([(i, "bad" if t else "good") for i, _, t in labels] + [(None, "bad"), (4, None), (5, "other")], "doc_id long, domain string")
-    got = mixing.mix(docs, known, {"good": 0.9, "bad": 0.1}).toPandas()
+    got = mixing.mix(docs, known, {"good": 0.9, "bad": 0.1}, rounds=4).toPandas()
     p = np.array(got.posterior.tolist())
     assert len(got) == 304 and (got.rate >= 0).all() and np.allclose(p.sum(1), 1)
     totals = (p * (got.rate * got.n_tokens).to_numpy()[:, None]).sum(0)
@@ -398,14 +398,14 @@ def test_mixing(spark):
     truth = got.dropna(subset=["doc_id"]).set_index("doc_id").loc[range(300)]
     assert ((np.array(truth.posterior.tolist())[:, 0] > 0.5) == [i % 4 == 0 for i in truth.index]).mean() > 0.95
     # a least rate keeps all, and copies average to the rate
-    raised = mixing.mix(docs, known, {"good": 0.5, "bad": 0.5}, least=1.0)
+    raised = mixing.mix(docs, known, {"good": 0.5, "bad": 0.5}, least=1.0, rounds=4)
     out = raised.toPandas()
     assert out.rate.min() >= 1 and mixing.drawn(raised, "doc_id").count() == pytest.approx(out.rate.sum(), rel=0.1)
-    fewer = mixing.mix(docs, known, {"good": 0.9, "bad": 0.1}, keep_text=False).toPandas()
+    fewer = mixing.mix(docs, known, {"good": 0.9, "bad": 0.1}, keep_text=False, rounds=4).toPandas()
     assert "text" not in fewer.columns and sorted(fewer.rate) == pytest.approx(sorted(got.rate))
     assert set(mixing.drawn(raised, "doc_id").select("doc_id").distinct().toPandas().doc_id.fillna(-1)) == set(out.doc_id.fillna(-1))
-    assert mixing.mix(docs.where("false"), known, {"good": 0.5, "bad": 0.5}).count() == 0
-    assert mixing.mix(docs, known.where("false"), {"good": 0.5, "bad": 0.5}).count() == 304
+    assert mixing.mix(docs.where("false"), known, {"good": 0.5, "bad": 0.5}, rounds=4).count() == 0
+    assert mixing.mix(docs, known.where("false"), {"good": 0.5, "bad": 0.5}, rounds=4).count() == 304
 
 
 def test_gradient_steps_reach_the_least_squares_optimum(spark):
@@ -440,7 +440,7 @@ def test_posteriors_against_brute_force(spark):
     docs = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in texts], "doc_id long, text string, b int, x int, e int")
     known = spark.createDataFrame([(i, "bad" if t else "good") for i, _, t in labels], "doc_id long, domain string")
     for sample, checks in ((1500, 500), (40, 20)):
-        model = mixing.fit(docs, known, ["bad", "good"], sample=sample, checks=checks)
+        model = mixing.fit(docs, known, ["bad", "good"], sample=sample, checks=checks, rounds=4)
         assert 0 < model.scale
         got = mixing.with_posteriors(docs, model)
         assert got.columns == ["doc_id", "text", "b", "x", "e", "n_tokens", "posterior"]
@@ -549,14 +549,14 @@ def test_mixing_reports_what_it_reached(spark, tmp_path):
     texts, labels = labelled_documents(random.Random(4), 200)
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     known = spark.createDataFrame([(i, "bad" if t else "good") for i, _, t in labels], "doc_id long, domain string")
-    mixing.mix(docs, known, {"good": 0.9, "bad": 0.1}, unmet="raise").write.parquet(str(tmp_path / "mixed"))
+    mixing.mix(docs, known, {"good": 0.9, "bad": 0.1}, unmet="raise", rounds=4).write.parquet(str(tmp_path / "mixed"))
     told = mixing.report(spark.read.parquet(str(tmp_path / "mixed")))
     assert told["domains"] == ["bad", "good"] and told["met"]
     np.testing.assert_allclose(told["reached"], told["targets"], rtol=1e-3)
     with pytest.warns(UserWarning, match="not met"):
-        assert not mixing.report(mixing.mix(docs, known, {"good": 0.5, "bad": 0.25, "none": 0.25}))["met"]
+        assert not mixing.report(mixing.mix(docs, known, {"good": 0.5, "bad": 0.25, "none": 0.25}, rounds=4))["met"]
     with pytest.raises(ValueError, match="not met"):
-        mixing.mix(docs, known, {"good": 0.5, "bad": 0.25, "none": 0.25}, unmet="raise")
+        mixing.mix(docs, known, {"good": 0.5, "bad": 0.25, "none": 0.25}, unmet="raise", rounds=4)
 
 
 def test_pipeline_stages(spark, tmp_path):

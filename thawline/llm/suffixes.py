@@ -27,6 +27,8 @@ from thawline.llm.common import materialize, shuffle_parts, spread
 GRAM = 8
 #: Bits of a hash that give way to the place.
 PLACE_BITS = 20
+#: Makes other word hashes for a stretch's second number.
+OTHER = np.uint64(0x3C6EF372FE94F82B)
 
 
 def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
@@ -127,7 +129,7 @@ def repeated(rows: DataFrame, parts: int) -> DataFrame:
 
 
 def stretches(docs: DataFrame, places: DataFrame, least: int, window: int) -> DataFrame:
-    """(hash, doc_id, start) of every stretch around a repeated place."""
+    """(hash, other, doc_id, start) of every stretch around a repeated place; a stretch is known by two 64-bit numbers."""
     by_doc = places.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
     rows = docs.join(by_doc, "doc_id").select("doc_id", "places", "text")
 
@@ -148,11 +150,12 @@ def stretches(docs: DataFrame, places: DataFrame, least: int, window: int) -> Da
                 start = np.flatnonzero(np.cumsum(cover)[:-1] > 0)
                 start = start[start + least <= len(words.doc)]
                 start = start[words.doc[start] == words.doc[start + least - 1]]
-                h = tb.grams(words.hash, least)[start]
+                h, other = (tb.grams(x, least)[start] for x in (words.hash, tb.mix(words.hash ^ OTHER)))
                 d = words.doc[start]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), _column(batch, "doc_id").take(pa.array(d)), pa.array((start - first[d]).astype(np.int32))], names=["hash", "doc_id", "start"])
+                known = [pa.array(x.view(np.int64)) for x in (h, other)]
+                yield pa.RecordBatch.from_arrays([*known, _column(batch, "doc_id").take(pa.array(d)), pa.array((start - first[d]).astype(np.int32))], names=["hash", "other", "doc_id", "start"])
 
-    return rows.mapInArrow(work, "hash long, doc_id long, start int")
+    return rows.mapInArrow(work, "hash long, other long, doc_id long, start int")
 
 
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = 50, window: int = 36) -> DataFrame:
@@ -169,8 +172,8 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     docs = spread(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null"))
     places = repeated(materialize(suffixes(docs, least, window), "suffixes"), parts)
     found = materialize(stretches(docs, places, least, window), "stretches")
-    shared = found.groupBy("hash").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last")).where("first_doc_id < last").drop("last")
-    kept = found.join(materialize(shared, "shared"), "hash")  # of a frequent stretch the left rows are split by AQE
+    shared = found.groupBy("hash", "other").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last")).where("first_doc_id < last").drop("last")
+    kept = found.join(materialize(shared, "shared"), ["hash", "other"])  # of a frequent stretch the left rows are split by AQE
     order = Window.partitionBy("doc_id").orderBy("start")
     kept = kept.withColumn("new", F.coalesce((F.col("start") > F.lag("start").over(order) + least).cast("int"), F.lit(1)))
     kept = kept.withColumn("span", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
