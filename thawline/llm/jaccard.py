@@ -39,6 +39,9 @@ RUN_ROWS = 1000
 #: Parts that the rows of a frequent shingle are dealt to where they meet its first row.
 SHARES = 16
 _SEEN = 1 << 20
+#: Bytes of texts, and of compressed ones, that a task holds as words and shingles at once: some 25 bytes each.
+SLICE = 1 << 20
+PACKED_SLICE = 1 << 18
 
 
 def shingle_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,9 +94,9 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
     def work(batches):
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
         for big in batches:
-            for batch in tb.slices(big, "text"):
+            for batch in tb.slices(big, "text", SLICE):
                 g, offsets = shingle_sets(_column(batch, "text"), k)
-                counts += np.bincount((g >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
+                np.add.at(counts, (g >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
                 n = np.diff(offsets)
                 rows = len(n)
                 none = lambda t: pa.nulls(rows, t)  # noqa: B023, E731
@@ -157,7 +160,7 @@ def prefixes(docs: DataFrame, shared, usual: float, k: int, num: int, den: int,
     def work(batches):
         counts, seen = shared.value, set()
         for big in batches:
-            for batch in tb.slices(big, "text"):
+            for batch in tb.slices(big, "text", SLICE):
                 g, offsets = shingle_sets(_column(batch, "text"), k)
                 sig, n = _resolved(g, offsets, doubtful), np.diff(offsets)
                 df = counts[g >> np.uint64(64 - SKETCH_BITS)]
@@ -255,13 +258,13 @@ def candidate_sets(docs: DataFrame, ids: DataFrame, k: int, doubtful: list[int],
     def pack(batches):
         press = zstandard.ZstdCompressor(3).compress
         for big in batches:
-            for batch in tb.slices(big, "text"):
+            for batch in tb.slices(big, "text", SLICE):
                 packed = [press(x.as_buffer()) if x.is_valid else press(b"") for x in _column(batch, "text")]
                 yield pa.RecordBatch.from_arrays([_column(batch, "doc_id"), pa.array(packed, pa.binary())], names=["doc_id", "packed"])
 
     def work(batches):
         for big in batches:
-            for batch in tb.slices(big, "packed", 1 << 20):
+            for batch in tb.slices(big, "packed", PACKED_SLICE):
                 g, offsets = shingle_sets(_texts(_column(batch, "packed")), k)
                 n = np.diff(offsets)
                 doc = np.repeat(np.arange(len(n)), n)
@@ -290,7 +293,7 @@ def verify(pairs: DataFrame, sets: DataFrame, k: int, num: int, den: int) -> Dat
 
     def work(batches):
         for big in batches:
-            for batch in tb.slices(big, "pa", 1 << 19):
+            for batch in tb.slices(big, "pa", PACKED_SLICE):
                 (p, at), (q, to) = (shingle_sets(_texts(_column(batch, c)), k) for c in ("pa", "pb"))
                 keep = []
                 for r in range(batch.num_rows):
