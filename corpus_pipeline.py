@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import gc
 import uuid
 from collections.abc import Callable
 
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thawline.llm import decontam, jaccard, mixing, queries, tokenfiles
-from thawline.llm.common import materialize, noting, remove, shared_dir, table
+from thawline.llm.common import free, materialize, noting, remove, shared_dir, table
 
 _left: list[str] = []
 
@@ -33,10 +32,8 @@ def stage(work: Callable) -> Callable:
         if _left:
             read = docs.inputFiles()
             done = [path for path in _left if not any(path.split("/thawline/")[-1] in x for x in read)]
-            remove(spark, done)
+            free(spark, done)
             _left[:] = [path for path in _left if path not in done]
-            gc.collect()
-            spark._jvm.System.gc()
         with noting(_left):
             return work(spark, docs, sf_dir)
 
@@ -106,7 +103,8 @@ def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Token files, and their index as read back: a row a document, null texts with the end id alone, null doc_ids first."""
     path = f"{shared_dir(spark)}/thawline/{uuid.uuid4().hex}/tokens.orc"
     tokenfiles.write_tokens(docs, path)
-    return tokenfiles.token_index(spark, path)
+    with noting([]):  # the index stays as the files do, since the result is read from it
+        return tokenfiles.token_index(spark, path)
 
 
 STAGES = [

@@ -225,6 +225,26 @@ def test_token_files_round_trip(spark, tmp_path, monkeypatch, cache):
     assert tokenfiles.token_index(spark, path + "0").count() == 0
 
 
+def test_texts_reach_workers_in_small_batches(spark, tmp_path, monkeypatch):
+    class Sizes:
+        """Gives as ids how many bytes of text the worker's batch holds."""
+
+        def __init__(self, path):
+            pass
+
+        def encode(self, column, end_id):
+            return np.full(len(column), column.buffers()[2].size, np.int32), np.ones(len(column), np.int64)
+
+    monkeypatch.setattr(tokenfiles, "_Encoder", Sizes)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    frame = spark.range(6000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 1000).alias("text"))
+    tokenfiles.write_tokens(frame, path := str(tmp_path / "ids.orc"), shards=1)
+    back = tokenfiles.read_tokens(spark, path).agg(F.count("*").alias("n"), F.max(F.col("ids")[0]).alias("most")).first()
+    assert back.n == 6000 and 1 << 20 < back.most <= 5 << 20
+    assert spark.conf.get(key) == before
+
+
 def test_other_tokenizers_encode_whole_texts(spark, tmp_path):
     path, file = str(tmp_path / "ids.orc"), public_tokenizers.path("byte_bpe_50k.json")
     texts = [None, "", "Some Words  here,and\nthere", "don't word " * 300]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -52,6 +54,14 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
         where.getFileSystem(conf).delete(where, True)
 
 
+def free(spark: SparkSession, paths: list[str]) -> None:
+    """``remove``, and ask for what Spark drops once the driver has collected what refers to it: shuffle files and broadcasts."""
+    remove(spark, paths)
+    time.sleep(0.5)  # Spark's listeners hold the last query for a moment
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
@@ -62,6 +72,22 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "4m") -> Iterator[None]:
+    """Within it, queries that run send Python batches of about ``size`` at most, a row at least.
+
+    Spark's 64 MB, where rows are long, are held beside the heap by the JVM and by each worker, some of it twice. Rows
+    come all the same; after it the session's own limit is back.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

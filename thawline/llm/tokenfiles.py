@@ -21,10 +21,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from thawline.llm import textbytes as tb
-from thawline.llm.common import shuffle_parts
+from thawline.llm.common import materialize, shuffle_parts, small_batches
 
 #: Pieces a Python worker remembers with their ids; others are encoded again.
 CACHE_PIECES = 1 << 20
+#: Bytes of text that a worker encodes at once.
+SLICE = 1 << 20
 _workers: dict[str, "_Encoder"] = {}
 SCHEMA = "shard int, doc_id long, first long, n_tokens int, ids array<int>"
 
@@ -178,7 +180,7 @@ def write_tokens(
         encoder = _workers.get(file) or _workers.setdefault(file, _Encoder(file))
         before = 0
         for big in batches:
-            for batch in tb.slices(big, "text"):
+            for batch in tb.slices(big, "text", SLICE):
                 ids, n = encoder.encode(batch.column(2), end_id)
                 offsets = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
                 first = before + offsets[:-1].astype(np.int64)
@@ -193,7 +195,8 @@ def write_tokens(
         "compression": "zstd", "orc.stripe.size": stripe_bytes, "orc.row.index.stride": index_stride,
         "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": 0.01,
     }
-    encoded.write.options(**options).orc(path)
+    with small_batches(docs.sparkSession):
+        encoded.write.options(**options).orc(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -204,13 +207,14 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 def token_index(spark: SparkSession, path: str) -> DataFrame:
     """One row a document from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
 
-    A shard's start is the sum of the shards before it, from a row a shard.
+    A shard's start is the sum of the shards before it, from a row a shard. The files are read when this is called, and
+    what is known of each document goes to the shared folder.
     """
 
     def work(batches):
         for batch in batches:
             ids = batch.column(3)
-            flat, offsets = ids.flatten().to_numpy().astype("<u4"), np.concatenate(([0], np.cumsum(ids.value_lengths().to_numpy())))
+            flat, offsets = ids.flatten().to_numpy().astype("<i4", copy=False), np.concatenate(([0], np.cumsum(ids.value_lengths().to_numpy())))
             crc = [zlib.crc32(flat[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:3], pa.array(np.diff(offsets), pa.int64()), pa.array(crc, pa.int64())],
@@ -218,8 +222,9 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
             )
 
     rows = read_tokens(spark, path).select("shard", "doc_id", "first", "ids")
-    rows = rows.mapInArrow(work, "shard int, doc_id long, first long, n_tokens long, ids_crc32 long")
-    totals = read_tokens(spark, path).groupBy("shard").agg(F.sum("n_tokens").alias("n"))
+    with small_batches(spark):
+        rows = materialize(rows.mapInArrow(work, "shard int, doc_id long, first long, n_tokens long, ids_crc32 long"), "index")
+    totals = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     before = F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     starts = totals.select("shard", F.coalesce(before, F.lit(0)).alias("base"))
     return rows.join(starts, "shard").select("doc_id", (F.col("base") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
