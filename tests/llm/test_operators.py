@@ -1,6 +1,7 @@
 """Operators against brute force, with nulls, empty tables, ties, repeated rows and clashing columns."""
 
 import html
+import os
 import random
 import re
 import zlib
@@ -11,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from thawline.llm import components, decontam, htmltext, jaccard, knn, labelled_pages, mixing, queries, suffixes, toxicity
+from thawline.llm import common, components, decontam, htmltext, jaccard, knn, labelled_pages, mixing, queries, suffixes, toxicity
 
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -119,6 +120,24 @@ def test_repeated_passages(spark, docs):
     assert suffixes.repeated_passages(frame.where("false")).count() == 0
 
 
+def test_repeated_passages_leave_one_table(spark, docs):
+    with common.noting(noted := []):
+        got = suffixes.repeated_passages(docs[1])
+    assert [path.split("/")[-1] for path in noted] == ["kept"]
+    folder = os.path.dirname(os.path.dirname(noted[0].removeprefix("file:")))
+    left = [x for x in os.listdir(folder) for x in os.listdir(f"{folder}/{x}")]
+    assert not {"suffixes", "repeats", "stretches", "shared"} & set(left) and got.count() > 0
+
+
+@pytest.mark.parametrize("clash", [False, True])
+def test_shared_stretches_of_one_number(spark, clash):
+    rows = [(1, 10, 5, 0), (1, 10, 3, 7), (1, 10, 3, 9), (2, 20, 4, 0), (2, 20, 4, 1), (3, 30, 8, 2), (3, 30, 9, 2)]
+    rows += [(1, 11, 1, 4), (4, 40, 1, 5), (4, 41, 2, 5), (3, 31, 6, 1), (3, 31, 7, 1)] if clash else []
+    found = spark.createDataFrame(rows, "hash long, other long, doc_id long, start int")
+    got = sorted(map(tuple, suffixes.shared_stretches(found).collect()))
+    assert got == sorted([(5, 0, 3), (3, 7, 3), (3, 9, 3), (8, 2, 8), (9, 2, 8)] + ([(6, 1, 6), (7, 1, 6)] if clash else []))
+
+
 def test_first_of_equal_minimisers_is_taken_in_long_texts(monkeypatch):
     monkeypatch.setattr(suffixes, "PLACE_BITS", 6)
     rng = np.random.RandomState(5)

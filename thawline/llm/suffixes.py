@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from thawline.llm import textbytes as tb
-from thawline.llm.common import materialize, shuffle_parts, spread
+from thawline.llm.common import free, materialize, noting, shuffle_parts, spread
 
 GRAM = 8
 #: Bits of a hash that give way to the place.
@@ -158,6 +158,23 @@ def stretches(docs: DataFrame, places: DataFrame, least: int, window: int) -> Da
     return rows.mapInArrow(work, "hash long, other long, doc_id long, start int")
 
 
+def shared_stretches(found: DataFrame) -> DataFrame:
+    """(doc_id, start, first_doc_id) of the stretches that two documents hold; first_doc_id: the least of these.
+
+    Stretches go by their first number, so that half of the key moves; where unlike ones share it, of 10^10 about three
+    pairs, all go by both.
+    """
+    least = [F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last"), F.min("other").alias("one"), F.max("other").alias("two")]
+    of = lambda *keys: materialize(found.groupBy(*keys).agg(*least).where("first_doc_id < last").drop("last"), "shared")
+    keys, shared = ["hash"], of("hash")
+    if not shared.where("one < two").isEmpty():
+        keys = ["hash", "other"]
+        shared = of(*keys)
+    free(found.sparkSession, [])
+    kept = found.select(*keys, "doc_id", "start").join(shared.drop("one", "two"), keys)  # of a frequent stretch the left rows are split by AQE
+    return kept.select("doc_id", "start", "first_doc_id")
+
+
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = 50, window: int = 36) -> DataFrame:
     """Maximal spans of passages that other documents hold too: (doc_id, start_word, end_word, n_words, first_doc_id).
 
@@ -170,10 +187,14 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     """
     parts = shuffle_parts(docs.sparkSession)
     docs = spread(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null"))
-    places = repeated(materialize(suffixes(docs, least, window), "suffixes"), parts)
-    found = materialize(stretches(docs, places, least, window), "stretches")
-    shared = found.groupBy("hash", "other").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last")).where("first_doc_id < last").drop("last")
-    kept = found.join(materialize(shared, "shared"), ["hash", "other"])  # of a frequent stretch the left rows are split by AQE
+    with noting(written := []):  # each table goes once the next is there
+        places = repeated(materialize(suffixes(docs, least, window), "suffixes"), parts)
+        free(docs.sparkSession, [written.pop(0)])
+        found = materialize(stretches(docs, places, least, window), "stretches")
+        free(docs.sparkSession, [written.pop(0)])
+        kept = shared_stretches(found)
+    kept = materialize(kept, "kept")
+    free(docs.sparkSession, written)
     order = Window.partitionBy("doc_id").orderBy("start")
     kept = kept.withColumn("new", F.coalesce((F.col("start") > F.lag("start").over(order) + least).cast("int"), F.lit(1)))
     kept = kept.withColumn("span", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
