@@ -578,6 +578,51 @@ def test_mixing_reports_what_it_reached(spark, tmp_path):
         mixing.mix(docs, known, {"good": 0.5, "bad": 0.25, "none": 0.25}, unmet="raise", rounds=4)
 
 
+def test_rounds_of_mixing_share_their_code(spark):
+    rng = np.random.RandomState(3)
+    rows = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(rng.randint(1, 50, 60), rng.dirichlet([1, 1, 1], 60))], "n_tokens long, posterior array<double>")
+    compiled = spark._jvm.org.apache.spark.metrics.source.CodegenMetrics.METRIC_COMPILATION_TIME().getCount
+    mixing.solve(rows, [0.2, 0.3, 0.5])
+    before = compiled()
+    assert mixing.solve(rows, [0.25, 0.45, 0.3]).met
+    assert compiled() - before <= 2
+    # totals of several multipliers at once, and of no rows
+    p, n = (np.array(x.tolist()) for x in (rows.toPandas().posterior, rows.toPandas().n_tokens))
+    points = [np.array(x) for x in ([0.0, 0.0, 0.0], [0.3, -0.2, 2.0])]
+    for x, (totals, fall) in zip(points, mixing._totals(rows, points, 0.0), strict=True):
+        rate = np.maximum(0, 1 - p @ x)
+        np.testing.assert_allclose(totals, (n * rate) @ p)
+        np.testing.assert_allclose(fall, (p * (n * (rate > 0))[:, None]).T @ p)
+    assert all((t == 0).all() and (f == 0).all() for t, f in mixing._totals(rows.where("false"), points, 0.0))
+
+
+def test_rounds_of_mixing_start_no_threads_of_adaptive_plans(spark, monkeypatch):
+    texts, labels = labelled_documents(random.Random(4), 100)
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    known = spark.createDataFrame([(i, "bad" if t else "good") for i, _, t in labels], "doc_id long, domain string")
+    names = lambda: {t.getId() for t in spark._jvm.java.lang.Thread.getAllStackTraces().keySet() if t.getName().startswith(("shuffle-exchange", "ResultQueryStage"))}
+    started = {}
+
+    def counted(name):
+        work = getattr(mixing, name)
+
+        def run(*given, **more):
+            before = names()
+            out = work(*given, **more)
+            started[name] = len(names() - before)
+            return out
+
+        return run
+
+    for name in ("_search", "solve"):
+        monkeypatch.setattr(mixing, name, counted(name))
+    keys = ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")
+    before = [spark.conf.get(k) for k in keys]
+    assert mixing.mix(docs, known, {"good": 0.5, "bad": 0.5}, rounds=2).count() == len(texts)
+    assert started == {"_search": 0, "solve": 0}
+    assert [spark.conf.get(k) for k in keys] == before
+
+
 def test_pipeline_stages(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     sf = "/root/testdata/sf0.001"

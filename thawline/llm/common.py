@@ -7,7 +7,7 @@ import tempfile
 import time
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 from contextvars import ContextVar
 
 import pyarrow as pa
@@ -73,19 +73,34 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, size: str = "4m") -> Iterator[None]:
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Within it, queries run with these settings of the session; after it the session's own are back, unset ones unset."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    try:
+        for key, value in values.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def small_batches(spark: SparkSession, size: str = "4m") -> AbstractContextManager[None]:
     """Within it, queries that run send Python batches of about ``size`` at most, a row at least.
 
     Spark's 64 MB, where rows are long, are held beside the heap by the JVM and by each worker, some of it twice. Rows
-    come all the same; after it the session's own limit is back.
+    come all the same.
     """
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, size)
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+    return settings(spark, {"spark.sql.execution.arrow.maxBytesPerBatch": size})
+
+
+def small_rounds(spark: SparkSession) -> AbstractContextManager[None]:
+    """For a loop of many queries that shuffle little: within it they are planned once, over as many partitions as there are cores.
+
+    Adaptive plans run each exchange and each result in a thread of its own that the driver keeps for a minute, so a loop
+    would leave it hundreds of stacks, and they describe a query anew after each stage.
+    """
+    return settings(spark, {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": str(spark.sparkContext.defaultParallelism)})
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

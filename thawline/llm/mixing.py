@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from thawline.llm.common import materialize, spread, unused
+from thawline.llm.common import materialize, small_rounds, spread, unused
 from thawline.llm.decontam import words_of
 
 BUCKETS = 1 << 13
@@ -104,7 +104,12 @@ def fit(
     if len(n) < 2:
         return Classifier(domains, [0.0] * BUCKETS, [[0.0] * FEATURES for _ in domains[1:]], prior)
     whole = sum(n.values())
-    words = known.select("doc", F.explode("b").alias("b"))
+    weight, y = F.lit(0.0), F.lit(0)
+    for i, d in enumerate(domains):
+        weight = F.when(F.col("domain") == d, math.exp(prior[i]) * whole / max(1, n.get(d, 0))).otherwise(weight)
+        y = F.when(F.col("domain") == d, i).otherwise(y)
+    known = known.withColumns({"y": y, "weight": weight})
+    words = known.select("doc", "y", "weight", F.explode("b").alias("b"))
     rare = F.log((F.lit(whole) + 1.0) / (F.count("*") + 1)).alias("r")
     rare = materialize(words.groupBy("b").agg(rare), "rarity")  # a row a bucket at most
     rarity = [math.log(whole + 1)] * BUCKETS
@@ -112,30 +117,28 @@ def fit(
         rarity[r["b"]] = r["r"]
     words = words.join(F.broadcast(rare), "b")
     norms = words.groupBy("doc").agg(F.sqrt(F.sum(F.col("r") * F.col("r"))).alias("norm"))
-    words = words.join(F.broadcast(norms), "doc").select("doc", "b", (F.col("r") * LENGTH / F.greatest("norm", F.lit(1e-9))).alias("v"))
-    others = known.select("doc", F.posexplode(F.array(*_others("b", "size"))).alias("b", "v")).withColumn("b", F.col("b") + BIAS)
+    words = words.join(F.broadcast(norms), "doc").select("doc", "y", "weight", "b", (F.col("r") * LENGTH / F.greatest("norm", F.lit(1e-9))).alias("v"))
+    others = known.select("doc", "y", "weight", F.posexplode(F.array(*_others("b", "size"))).alias("b", "v")).withColumn("b", F.col("b") + BIAS)
     entries = words.unionByName(others).repartition(docs.sparkSession.sparkContext.defaultParallelism, "doc")
-    weight = F.lit(0.0)
-    for i, d in enumerate(domains):
-        weight = F.when(F.col("domain") == d, math.exp(prior[i]) * whole / max(1, n.get(d, 0))).otherwise(weight)
-    examples = known.select("doc", "domain", weight.alias("weight"))
-    weights = _search(materialize(entries, "entries"), materialize(examples, "examples"), domains, prior, rounds)
+    entries = materialize(entries, "entries")
+    with small_rounds(docs.sparkSession):
+        weights = _search(entries, prior, rounds)
     odds = [_added("b", "size", "norm", w, rarity) - (prior[i + 1] - prior[0]) for i, w in enumerate(weights)]
     rows = held.where("check").withColumn("norm", F.sqrt(_squares(F.col("b"), _table(rarity)))).select("domain", *odds).collect()  # of bounded size
     return Classifier(domains, rarity, weights, prior, _scale(domains, prior, rows))
 
 
-def _search(entries: DataFrame, examples: DataFrame, domains: list[str], prior: list[float], rounds: int) -> list[list[float]]:
+def _search(entries: DataFrame, prior: list[float], rounds: int) -> list[list[float]]:
     """Coefficients (of domains but the first, less those of the first) of least penalised log-loss, by quasi-Newton steps.
 
-    entries: (doc, b, v), the features of the examples (doc, domain, weight). A round is two joins with tables of bounded
-    size, that of the coefficients and that of the examples, and an aggregation by feature.
+    entries: (doc, y, weight, b, v), the features of the examples with their domain's place and their weight. A round is two
+    joins with tables of bounded size, that of the coefficients and that of the examples, and an aggregation by feature.
     """
-    k = len(domains)
+    k = len(prior)
     held = np.ones(FEATURES)
     held[BIAS:] = 0
     curved = np.ones(FEATURES)
-    for r in entries.join(F.broadcast(examples), "doc").groupBy("b").agg(F.sum(F.col("weight") * F.col("v") * F.col("v"))).collect():
+    for r in entries.groupBy("b").agg(F.sum(F.col("weight") * F.col("v") * F.col("v"))).collect():
         curved[r[0]] = r[1]
     share = np.exp(prior)
     curved = (share * (1 - share))[:, None] * curved + PULL * held + 1e-3  # about the second derivatives, by which steps are scaled
@@ -143,14 +146,13 @@ def _search(entries: DataFrame, examples: DataFrame, domains: list[str], prior:
 
     def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
         table = entries.sparkSession.createDataFrame([(b, *w) for b, w in enumerate(x.T.tolist())], f"b int, {names}")
-        z = entries.join(F.broadcast(table), "b").groupBy("doc").agg(*[F.sum(F.col("v") * F.col(f"w{i}")).alias(f"z{i}") for i in range(k)])
-        rows = z.join(F.broadcast(examples), "doc")
+        z = entries.join(F.broadcast(table), "b").groupBy("doc", "y", "weight").agg(*[F.sum(F.col("v") * F.col(f"w{i}")).alias(f"z{i}") for i in range(k)])
         top = F.greatest(*[F.col(f"z{i}") for i in range(k)])
-        rows = rows.withColumn("all", top + F.log(sum((F.exp(F.col(f"z{i}") - top) for i in range(k)), F.lit(0.0))))
-        told = [F.col("weight") * (F.exp(F.col(f"z{i}") - F.col("all")) - (F.col("domain") == d).cast("double")) for i, d in enumerate(domains)]
-        own = sum(((F.col("domain") == d).cast("double") * F.col(f"z{i}") for i, d in enumerate(domains)), F.lit(0.0))
+        rows = z.withColumn("all", top + F.log(sum((F.exp(F.col(f"z{i}") - top) for i in range(k)), F.lit(0.0))))
+        told = [F.col("weight") * (F.exp(F.col(f"z{i}") - F.col("all")) - (F.col("y") == i).cast("double")) for i in range(k)]
+        own = sum(((F.col("y") == i).cast("double") * F.col(f"z{i}") for i in range(k)), F.lit(0.0))
         rows = rows.select("doc", (F.col("weight") * (F.col("all") - own)).alias("lost"), *[t.alias(f"g{i}") for i, t in enumerate(told)])
-        sums = entries.join(F.broadcast(rows), "doc").groupBy("b")
+        sums = entries.select("doc", "b", "v").join(F.broadcast(rows), "doc").groupBy("b")
         sums = sums.agg(F.sum("lost").alias("lost"), *[F.sum(F.col(f"g{i}") * F.col("v")) for i in range(k)]).collect()  # a row a feature at most
         slope = PULL * held * x
         lost = PULL * float((held * x * x).sum()) / 2
@@ -241,26 +243,32 @@ class Plan(NamedTuple):
     optimal: bool
 
 
-def rate_of(steps: list[list[float]], least: float, start: Column | None = None) -> Column:
+def rate_of(steps: Sequence[Sequence[float | Column]], least: float, start: Column | None = None) -> Column:
     """The rate of a document from its posterior by the steps."""
     r = F.lit(max(1.0, least)) if start is None else start
     for s in steps:
-        r = F.greatest(F.lit(float(least)), r - sum((F.lit(float(x)) * F.element_at("posterior", i + 1) for i, x in enumerate(s)), F.lit(0.0)))
+        r = F.greatest(F.lit(float(least)), r - sum((F.lit(x) * F.element_at("posterior", i + 1) for i, x in enumerate(s)), F.lit(0.0)))
     return r
 
 
 def _totals(known: DataFrame, points: list[np.ndarray], least: float) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For some multipliers at once: totals by domain, and how fast they fall with the multipliers. One aggregation."""
+    """For some multipliers at once: totals by domain, and how fast they fall with the multipliers. One aggregation.
+
+    The multipliers are an array of constants and not numbers in the expressions: so all rounds run the same compiled
+    code, where the driver would else compile and hold code of its own for each.
+    """
     k = len(points[0])
+    tried = known.select("n_tokens", "posterior", F.posexplode(F.lit([[float(v) for v in x] for x in points])).alias("j", "m"))
     p = [F.element_at("posterior", i + 1) for i in range(k)]
     n = F.col("n_tokens").cast("double")
-    rows = known.withColumns({f"_r{j}": rate_of([list(x)], least) for j, x in enumerate(points)})
-    sums = []
-    for j in range(len(points)):
-        free = F.when(F.col(f"_r{j}") > least, n).otherwise(0.0)
-        sums += [F.sum(n * F.col(f"_r{j}") * x) for x in p] + [F.sum(free * x * y) for x in p for y in p]
-    row = rows.agg(*[F.coalesce(x, F.lit(0.0)).alias(f"x{i}") for i, x in enumerate(sums)]).first()
-    return [(x[:k], x[k:].reshape(k, k)) for x in np.array(row, float).reshape(len(points), -1)]
+    rows = tried.withColumn("r", rate_of([[F.element_at("m", i + 1) for i in range(k)]], least))
+    free = F.when(F.col("r") > least, n).otherwise(0.0)
+    sums = [F.sum(n * F.col("r") * x) for x in p] + [F.sum(free * x * y) for x in p for y in p]
+    sums = [F.coalesce(x, F.lit(0.0)).alias(f"x{i}") for i, x in enumerate(sums)]
+    out = np.zeros((len(points), k + k * k))
+    for row in rows.groupBy("j").agg(*sums).collect():
+        out[row[0]] = row[1:]
+    return [(x[:k], x[k:].reshape(k, k)) for x in out]
 
 
 def solve(
@@ -336,7 +344,8 @@ def mix(
     model = fit(docs, labels, domains, text=text, **fitting)
     known = with_posteriors(docs, model, text)
     known = materialize(known if keep_text else known.drop(text), "posteriors")  # classified once, whatever is asked of the rates
-    plan = solve(known.select("n_tokens", "posterior"), [targets[d] for d in domains], budget, least)
+    with small_rounds(docs.sparkSession):
+        plan = solve(known.select("n_tokens", "posterior"), [targets[d] for d in domains], budget, least)
     told = {"domains": domains, "reached": plan.reached, "targets": plan.targets, "met": plan.met, "optimal": plan.optimal}
     if not plan.met:
         totals = ", ".join(f"{d} {a:.0f} of {b:.0f}" for d, a, b in zip(domains, plan.reached, plan.targets, strict=True))
