@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thawline.llm import decontam, jaccard, mixing, queries, tokenfiles
-from thawline.llm.common import free, materialize, noting, remove, shared_dir, table
+from thawline.llm.common import free, materialize, noting, remove, shared_dir, small_batches, table
 
 _left: list[str] = []
 
@@ -49,7 +49,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     plain = _plain(docs)
     scored = queries.toxicity_scores(spark, plain, sf_dir, keep_text=True)
-    return scored.where("predicted = 0").select(*plain.columns).toDF(*docs.columns)
+    with small_batches(spark):  # texts are scored while they are written
+        return materialize(scored.where("predicted = 0").select(*plain.columns), "clean").toDF(*docs.columns)
 
 
 @stage

@@ -623,6 +623,19 @@ def test_rounds_of_mixing_start_no_threads_of_adaptive_plans(spark, monkeypatch)
     assert [spark.conf.get(k) for k in keys] == before
 
 
+def test_toxicity_sends_small_batches(spark, monkeypatch):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    sf, key, seen = "/root/testdata/sf0.001", "spark.sql.execution.arrow.maxBytesPerBatch", {}
+    before = spark.conf.get(key)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    gather, write = type(docs).toArrow, corpus_pipeline.materialize
+    monkeypatch.setattr(type(docs), "toArrow", lambda df: seen.setdefault("fit", []).append(spark.conf.get(key)) or gather(df))
+    monkeypatch.setattr(corpus_pipeline, "materialize", lambda df, label: seen.setdefault(label, spark.conf.get(key)) and write(df, label))
+    out = corpus_pipeline.drop_toxic(spark, docs, sf)
+    assert seen == {"fit": ["4m", "4m"], "clean": "4m"} and spark.conf.get(key) == before
+    assert out.columns == docs.columns and 0 < out.count() <= docs.count()
+
+
 def test_pipeline_stages(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     sf = "/root/testdata/sf0.001"

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thawline.llm import textbytes as tb
-from thawline.llm.common import add_columns
+from thawline.llm.common import add_columns, small_batches
 
 #: Examples in a block, and postings read at once.
 BLOCK = 64
@@ -229,7 +229,8 @@ def fit(
     sample = spark.createDataFrame(ids, "doc_id long, y int, check boolean")  # of bounded size
     texts = docs.select(F.col(text).alias("text"), F.col(doc_id).cast("long").alias("doc_id")).where("text is not null")
     rows = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y", "check").agg(F.min("text").alias("text")).select("text", "doc_id", "y", "check")
-    rows = rows.mapInArrow(count, "doc_id long, y int, check boolean, size long, words binary, times binary").toArrow()
+    with small_batches(spark):
+        rows = rows.mapInArrow(count, "doc_id long, y int, check boolean, size long, words binary, times binary").toArrow()
     held = rows.column("check").to_numpy()
     shown, checked = (_counts(rows.filter(pa.array(x))) for x in (~held, held))
     del rows
@@ -258,7 +259,8 @@ def fit(
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(df[held])], names=["word", "n"])
 
     docs_with = np.zeros(len(words) + 1)
-    totals = docs.select(F.col(text).alias("text")).mapInArrow(frequencies, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    with small_batches(spark):
+        totals = docs.select(F.col(text).alias("text")).mapInArrow(frequencies, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
     shared.destroy()
     docs_with[totals["word"].to_numpy()] = totals["n"].to_numpy()
     idf = np.log((1 + docs_with[-1]) / (1 + docs_with[:-1]))
